@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.fragment_bpe import encode_decode
+from marginalia.llm.packing import pack
 from marginalia.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they exceed 4096."""
     counts = token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
@@ -41,7 +47,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op8_token_counts, op10_bpe_roundtrip]
+    found = [op5_packing, op8_token_counts, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
