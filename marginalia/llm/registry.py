@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.fragment_bpe import encode_decode
 from marginalia.llm.packing import pack
+from marginalia.llm.progressive_jpeg import media_columns
 from marginalia.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document kept in a progressive JPEG file: digests of what is read back, and features of the tensor."""
+    media = media_columns(_table(spark, sf_dir, "documents"))
+    sums = F.array_join(F.col("channel_sums").cast("array<string>"), ",")
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%d rgb %s %s", "height", "width", sums, F.substring(F.sha2("tensor", 256), 1, 16)).alias("feature"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they exceed 4096."""
     counts = token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
@@ -47,7 +64,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op5_packing, op8_token_counts, op10_bpe_roundtrip]
+    found = [op5_packing, op7_progressive_jpeg, op8_token_counts, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
