@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.fragment_bpe import encode_decode
 from marginalia.llm.packing import pack
+from marginalia.llm.parity_join import jaccard_groups
 from marginalia.llm.progressive_jpeg import media_columns
 from marginalia.llm.token_counts import token_counts
 
@@ -25,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 5-word shingles have a similarity of 0.75 or more."""
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -64,7 +70,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op5_packing, op7_progressive_jpeg, op8_token_counts, op10_bpe_roundtrip]
+    found = [op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
