@@ -11,7 +11,9 @@ from marginalia.llm.fragment_bpe import encode_decode
 from marginalia.llm.packing import pack
 from marginalia.llm.parity_join import jaccard_groups
 from marginalia.llm.progressive_jpeg import media_columns
+from marginalia.llm.quality import classify_quality
 from marginalia.llm.token_counts import token_counts
+from marginalia.llm.toxicity import classify_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic."""
+    return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles have a similarity of 0.75 or more."""
     return jaccard_groups(_table(spark, sf_dir, "documents"))
@@ -58,6 +65,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being good."""
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     coded = encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -70,7 +82,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op10_bpe_roundtrip]
+    found = [op1_toxicity, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
