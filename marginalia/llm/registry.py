@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.fragment_bpe import encode_decode
 from marginalia.llm.packing import pack
 from marginalia.llm.parity_join import jaccard_groups
+from marginalia.llm.pivot_index import near_vectors
 from marginalia.llm.progressive_jpeg import media_columns
 from marginalia.llm.quality import classify_quality
 from marginalia.llm.token_counts import token_counts
@@ -33,6 +34,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.98 or more."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles have a similarity of 0.75 or more."""
     return jaccard_groups(_table(spark, sf_dir, "documents"))
@@ -82,7 +88,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
+    found = [op1_toxicity, op3_pivot_neighbours, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
