@@ -13,6 +13,7 @@ from marginalia.llm.parity_join import jaccard_groups
 from marginalia.llm.pivot_index import near_vectors
 from marginalia.llm.progressive_jpeg import media_columns
 from marginalia.llm.quality import classify_quality
+from marginalia.llm.suffix_tree import score_contexts
 from marginalia.llm.token_counts import token_counts
 from marginalia.llm.toxicity import classify_toxicity
 
@@ -34,6 +35,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, by the unigram base and by the suffix tree."""
+    return score_contexts(_table(spark, sf_dir, "documents"), stable=True)
+
+
 def op3_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of one label with a cosine of 0.98 or more."""
     return near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -88,7 +94,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op3_pivot_neighbours, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
+    found = [op1_toxicity, op2_suffix_tree, op3_pivot_neighbours, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
