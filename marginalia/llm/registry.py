@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.fragment_bpe import encode_decode
+from marginalia.llm import licenses
 from marginalia.llm.packing import pack
 from marginalia.llm.parity_join import jaccard_groups
 from marginalia.llm.pivot_index import near_vectors
@@ -55,6 +56,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among whole documents and their lines."""
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document kept in a progressive JPEG file: digests of what is read back, and features of the tensor."""
     media = media_columns(_table(spark, sf_dir, "documents"))
@@ -94,9 +100,9 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_suffix_tree, op3_pivot_neighbours, op4_parity_jaccard, op5_packing, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
+    found = [op1_toxicity, op2_suffix_tree, op3_pivot_neighbours, op4_parity_jaccard, op5_packing, op6_licenses, op7_progressive_jpeg, op8_token_counts, op9_quality, op10_bpe_roundtrip]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.ORACLE}
