@@ -8,22 +8,26 @@ at least so many cells, of which at least ``t`` aren't empty:
 
     t = cells - bound of the difference - empty cells
 
-Sketches are joined on (band, cell, content). A set keeps only cells that another set shares, and of those, from
-the rarest on, all but t - 1: one of the cells that two similar sets have in common must be among these. Sets for
-which t isn't positive keep all and are joined with each other on a plain prefix of shingles, too. Nothing is
-lost, and what many texts share (a passage, a footer) isn't compared unless it makes up most of a text.
+Sketches are joined on (band, cell, content). Only sets that share at least t cells with others go on; sets for
+which t isn't positive are joined with each other on a plain prefix of shingles, too. Nothing is lost, and what
+many texts share (a passage, a footer) brings nobody further unless it makes up much of a text.
+
+The few sets that go on are joined again at the finest resolution, a cell for each shingle. Cells are ordered from the
+rarest on; sets of sizes n and m that are similar share 3/7 (n + m) cells, so that one of them is among the first of
+either, and what stands before it bounds what they can share. Each pair meets in the smaller set's class of sizes.
 
 Candidates are verified exactly, by the intersection of the sets. Within a cell's sets only what could still
-change the components is compared: first each with the cell's first set, then, between different components, all.
+change the components is compared: first each with the cell's most central set, then, between different
+components, all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +38,9 @@ from marginalia.llm.shared import Scratch
 #: Words to a shingle. Similarity is at least LEAST / 100.
 WORDS, LEAST = 5, 75
 #: Bytes of text to a bucket of sketch cells, and cells that a task holds before it hands them on.
-BUCKET_BYTES, HELD_CELLS = 16 << 20, 1 << 20
+BUCKET_BYTES, HELD_CELLS = 8 << 20, 1 << 19
+#: Ratio of the sizes of adjoining classes.
+CLASS = 1.08
 #: Members of a group that are verified together; a larger group is split.
 GROUP = 256
 #: Bits of the filter that finds the texts to verify; its table has at most FILTER_BITS / 64 rows.
@@ -99,12 +105,27 @@ def sketch(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _describe(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """One row per document (``key, n, sid``) and, with a null sid, per bucket and task: packed sketch cells."""
-    schema = T.StructType(
-        [T.StructField(key, docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("bucket", T.IntegerType())]
-        + [T.StructField(x, T.BinaryType()) for x in ("keys", "owners", "sids", "needs")]
-    )
+def _set_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n, sid`` of each row: the size and the identity of its set."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = buffers(batch.column(1))
+            sizes, idents = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, hashes in shingle_sets(raw, at):
+                sizes[row], idents[row] = len(hashes), set_id(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(idents)], schema.names)
+
+    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _cells(docs: DataFrame, text: str, buckets: int, cells_of: Callable[[np.ndarray], list[tuple[np.ndarray, int]]]) -> DataFrame:
+    """Packed sketch cells of all distinct sets, a row for each bucket and some of a task's sets.
+
+    ``cells_of``: a set's (keys of its cells, number that goes with them) for each band.
+    """
+    schema = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in ("keys", "owners", "sids", "needs")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -114,54 +135,43 @@ def _describe(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         seen: set[int] = set()
         held = 0
 
-        def hand_on() -> pa.RecordBatch:
+        def hand_on() -> Iterator[pa.RecordBatch]:
             nonlocal held
             cells = np.concatenate(keys)
             owners = np.repeat(np.arange(len(counts)), counts)
             order = np.argsort(cells)
             cells, owners = cells[order], owners[order]
-            bucket = ((cells >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            cuts = np.searchsorted((cells >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             sids, needs = np.array(owner_sid, np.int64), np.array(owner_need, "<u4")
-            rows: list[tuple] = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[b], cuts[b + 1])
-                own, where = np.unique(owners[part], return_inverse=True)
-                rows.append((b, pack_sorted(cells[part]), _planes(where), sids[own].tobytes(), _planes(needs[own])))
             for x in (keys, owner_sid, owner_need, counts):
                 x.clear()
             held = 0
-            n = len(rows)
-            columns = [pa.nulls(n, batch_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32())]
-            columns += [pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4)]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[b], cuts[b + 1])
+                own, where = np.unique(owners[part], return_inverse=True)
+                row = (b, pack_sorted(cells[part]), _planes(where), sids[own].tobytes(), _planes(needs[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], schema.names)
 
-        batch_type = None
         for batch in batches:
-            batch_type = batch.column(0).type
-            raw, at = buffers(batch.column(1))
-            sizes, idents = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, hashes in shingle_sets(raw, at):
-                sizes[row] = len(hashes)
-                idents[row] = ident = set_id(hashes)
-                if ident in seen or not batch.column(0)[row].is_valid:
+            raw, at = buffers(batch.column(0))
+            for _, hashes in shingle_sets(raw, at):
+                ident = set_id(hashes)
+                if ident in seen:
                     continue
                 if len(seen) < 1_000_000:  # only spares work: equal sets are joined later on
                     seen.add(ident)
-                for cells, need in sketch(hashes):
+                for cells, need in cells_of(hashes):
                     keys.append(cells)
                     owner_sid.append(ident)
                     owner_need.append(need)
                     counts.append(len(cells))
                     held += len(cells)
                 if held >= HELD_CELLS:
-                    yield hand_on()
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(idents), pa.nulls(batch.num_rows, pa.int32()), none, none, none, none], schema.names)
+                    yield from hand_on()
         if held:
-            yield hand_on()
+            yield from hand_on()
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -172,8 +182,8 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _shared_cells(table: pa.Table) -> pa.Table:
-    """Of one bucket, the cells that more than one set has: ``sid, need, key, sets``."""
+def _in_common(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket, the cells that more than one set has: set ids, their numbers, keys, how many sets."""
     keys, sids, needs = [], [], []
     for k, o, s, t in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "sids", "needs")), strict=True):
         owners = _from_planes(o)
@@ -195,8 +205,49 @@ def _shared_cells(table: pa.Table) -> pa.Table:
     sets = np.diff(np.append(start, len(key)))
     sets = np.repeat(sets, sets)
     several = sets > 1
-    columns = [sid[several], need[several], key[several].view(np.int64), sets[several].astype(np.int32)]
-    return pa.table([pa.array(c) for c in columns], names=["sid", "need", "key", "sets"])
+    return sid[several], need[several], key[several].view(np.int64), sets[several].astype(np.int32)
+
+
+def _shared_cells(table: pa.Table) -> pa.Table:
+    return pa.table([pa.array(c) for c in _in_common(table)], names=["sid", "need", "key", "sets"])
+
+
+def _shared_counts(table: pa.Table) -> pa.Table:
+    """How many cells of one bucket each set shares in each of its bands: ``sid, need, cells``."""
+    sid, need, _, _ = _in_common(table)
+    order = np.lexsort((need, sid))
+    sid, need = sid[order], need[order]
+    start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1]))) if len(sid) else np.zeros(0, np.int64)
+    cells = np.diff(np.append(start, len(sid)))
+    return pa.table([pa.array(sid[start]), pa.array(need[start]), pa.array(cells, pa.int64())], names=["sid", "need", "cells"])
+
+
+def _buckets(spark: SparkSession, volume: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+
+
+def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cell, sid, n, place, rank``: the cells of the finest resolution in which similar sets must meet.
+
+    ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set.
+    """
+    spark = texts.sparkSession
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = _buckets(spark, volume)
+    fine = _cells(texts, "text", buckets, lambda hashes: [(hashes, len(hashes))] if len(hashes) else [])
+    shared = fine.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_cells, "sid long, need int, key long, sets int")
+    own = shared.groupBy("sid", F.col("need").cast("long").alias("n")).agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("cells"))  # as many as a set has shingles
+    own = own.withColumn("rank", F.expr("cast(-aggregate(cells, 0L, (s, c) -> s + c.sets) div n as int)")).withColumn("least", F.expr(f"({LEAST} * n + 99) div 100"))
+    own = own.where("size(cells) >= least").withColumn("first", F.expr("cast(size(cells) - least + 1 as int)"))
+    cells = own.select("sid", F.col("n").cast("int").alias("n"), "rank", "least", F.expr("cast(n - size(cells) as int)").alias("before"), F.posexplode(F.expr("slice(cells, 1, first)")).alias("i", "c"))
+    cells = cells.select(F.col("c.key").alias("cell"), "sid", "n", (F.col("before") + F.col("i")).alias("place"), "rank", "least")
+    # what stands before a cell bounds the size of a similar set that has it, too; keep a set where such sizes occur
+    kind = lambda c: f"cast(floor(ln({c}) / ln({CLASS})) as int)"
+    cells = cells.withColumn("most", F.expr(f"({100 + LEAST} * (n - place)) div {LEAST} - n")).where("most >= least")
+    together = Window.partitionBy("cell")
+    cells = cells.withColumn("sizes", F.collect_set(F.expr(kind("n"))).over(together)).withColumn("sets", F.count("*").over(together))
+    cells = cells.where("sets > 1").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
+    return scratch.save(cells.select("cell", "sid", "n", "place", "rank"), "kept")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -260,22 +311,17 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     volume = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
-    described = scratch.save(_describe(docs, key, text, buckets), "described")
-    sets = described.where("sid is not null").select(key, "n", "sid")
-    cells = described.where("bucket is not null").select("bucket", "keys", "owners", "sids", "needs").repartition(buckets, "bucket")
-    shared = scratch.save(cells.groupBy("bucket").applyInArrow(_shared_cells, "sid long, need int, key long, sets int"), "shared")
-    # of the cells that a set shares, all but its need - 1 most common ones
-    kept = shared.groupBy("sid", "need").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("cells"))  # as many as a set has cells
-    kept = kept.where(F.size("cells") >= F.col("need")).select("sid", F.explode(F.expr("slice(cells, 1, size(cells) - need + 1)")).alias("c"))
-    kept = scratch.save(kept.select("sid", F.col("c.key").alias("cell")).distinct(), "kept")
-    scratch.drop("shared")
-    named = sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least"))
-    least = named
-    wanted = kept.select("sid").distinct().join(least, "sid").select(F.col("least").alias(key), "sid")
+    buckets = _buckets(spark, volume)
+    sets = scratch.save(_set_ids(docs, key, text), "sets")
+    cells = _cells(docs.where(F.col(key).isNotNull()), text, buckets, sketch)  # not kept: a second reading of the texts is cheaper
+    shared = cells.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_counts, "sid long, need int, cells long")
+    going_on = shared.groupBy("sid", "need").agg(F.sum("cells").alias("cells")).where("cells >= need").select("sid").distinct()
+    least = sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least"))
+    wanted = scratch.save(going_on.join(least, "sid").select(F.col("least").alias(key), "sid"), "wanted")
     # a repeated key may have several texts: its sets are told apart again by their ids
     texts = _texts_of(docs, wanted, key, text).mapInArrow(_with_own_id, "own long, sid long, text string").where("own = sid").select("sid", "text")
     texts = scratch.save(texts.dropDuplicates(["sid"]), "texts")
+    kept = _finest(texts, scratch)
     links = _linked(kept, texts, scratch)
     links = links.unionByName(_same_key(sets, key))
     roots = connected_components(links, scratch, "components")
@@ -303,27 +349,45 @@ def _same_key(sets: DataFrame, key: str) -> DataFrame:
 
 
 def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links that join the same sets as all links between sets that share a kept cell do."""
-    first = F.min("sid").over(Window.partitionBy("cell"))
-    stars = kept.withColumn("a", first).where("a <> sid").select("a", F.col("sid").alias("b"))
-    tried = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    """Links that join the same sets as all links between sets that share a kept cell do.
+
+    A cell's first set is its most central one: that whose cells are shared by the most sets, on average. An original
+    is more central than its altered copies, so that most of them are linked to it at once.
+    """
+    head = F.struct("rank", "sid", "n", "place")
+    possible = f"{LEAST} * greatest({{0}}.n, {{1}}.n) <= 100 * least({{0}}.n, {{1}}.n) and {100 + LEAST} * least({{0}}.n - {{0}}.place, {{1}}.n - {{1}}.place) >= {LEAST} * ({{0}}.n + {{1}}.n)"
+    stars = kept.withColumn("own", head).withColumn("a", F.min(head).over(Window.partitionBy("cell"))).where("a.sid <> sid").where(possible.format("a", "own"))
+    tried = stars.groupBy(F.col("sid").alias("b")).agg(F.min("a").alias("a")).select("a.sid", "b").toDF("a", "b")
     links = _verify(tried, texts, scratch, "first")
     tried = scratch.spark.read.parquet(f"{scratch.root}/first-pairs").select("a", "b")
     for turn, all_pairs in (("stars", False), ("all", True)):
         roots = connected_components(links, scratch, f"{turn}-components")
         open_ = kept.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        several = open_.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "low")
+        several = open_.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
         open_ = scratch.save(open_.join(several, "cell"), f"{turn}-open")
         if all_pairs:
-            left = open_.select("cell", F.col("sid").alias("a"), F.col("root").alias("x"))
-            right = open_.select("cell", F.col("sid").alias("b"), F.col("root").alias("y"))
-            more = left.join(right, "cell").where("a < b and x <> y").select("a", "b").distinct()
+            left, right = open_.alias("l"), open_.alias("r")
+            more = left.join(right, F.expr("l.cell = r.cell and l.sid < r.sid and l.root <> r.root and " + possible.format("l", "r")))
+            more = more.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
         else:
-            heads = open_.where("root = low").groupBy("cell").agg(F.min("sid").alias("a"))
-            more = open_.where("root <> low").join(heads, "cell").select("a", F.col("sid").alias("b")).distinct()
+            heads = open_.groupBy("cell").agg(F.min(F.struct("rank", "sid", "n", "place", "root")).alias("a"))
+            more = open_.withColumn("own", head).join(heads, "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()
         done = tried.union(tried.select("b", "a"))
         more = more.join(done, ["a", "b"], "left_anti")
         found = _verify(more, texts, scratch, turn)
         tried = tried.union(scratch.spark.read.parquet(f"{scratch.root}/{turn}-pairs").select("a", "b"))
         links = links.union(found)
     return links
+
+
+def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that ``jaccard_groups`` puts in a group of a smaller key.
+
+    Of rows with one key one stays; rows with a null key all stay.
+    """
+    groups = jaccard_groups(docs, key=key, text=text)
+    groups = Scratch(docs.sparkSession, "kept").save(groups.where(F.col(key).isNotNull()).select(key, (F.col(key) != F.col("component_id")).alias("other")), "groups")
+    out = docs.join(groups.where("other").select(key).distinct(), key, "left_anti").select(*docs.columns)
+    if groups.groupBy(key).count().where("count > 1").isEmpty():
+        return out
+    return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
