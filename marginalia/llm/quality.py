@@ -31,7 +31,7 @@ STATISTICS = (
 #: Random features, their width in standard deviations, the ridge, and folds for calibration.
 FEATURES, WIDTH, RIDGE, FOLDS = 256, 6.0, 0.1, 4
 #: Labelled rows of either class that are learned from at most, rows to a task, and bins of scores.
-LIMIT, TASK_ROWS, BINS = 200_000, 20_000, 512
+LIMIT, TASK_ROWS, BINS = 50_000, 20_000, 512
 
 _CLASS = np.full(256, len(BYTE_CLASSES), np.int64)
 for _i, _chars in enumerate(BYTE_CLASSES):
@@ -98,22 +98,13 @@ def text_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def statistics_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, statistics array<float>`` of each row."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("statistics", T.ArrayType(T.FloatType(), False))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = buffers(batch.column(1))
-            row, n = 0, batch.num_rows
-            while row < n:  # some texts at once, whatever the batch
-                last = min(max(row + 1, int(np.searchsorted(at, at[row] + (1 << 21), "right")) - 1), n)
-                found = text_statistics(raw[at[row] : at[last]], at[row : last + 1] - at[row]).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(STATISTICS), pa.int32()), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, last - row), lists], schema.names)
-                row = last
-
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+def in_parts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, statistics) of some texts at once, whatever the batch."""
+    row, n = 0, len(at) - 1
+    while row < n:
+        last = min(max(row + 1, int(np.searchsorted(at, at[row] + (1 << 21), "right")) - 1), n)
+        yield row, text_statistics(raw[at[row] : at[last]], at[row : last + 1] - at[row])
+        row = last
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -217,6 +208,40 @@ def fit(rows: DataFrame, *, seed: int = 7) -> Model | None:
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, folds: int, limit: int) -> Model:
+    """A model of at most ``limit`` labelled texts of either class.
+
+    Without texts of both classes, every score is the share of ones, or 0.5.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = scratch.save(training_labels(labels, label, key=key, folds=folds, limit=limit), "labels")
+    schema = "label int, statistics array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, found in in_parts(*buffers(batch.column(1))):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(STATISTICS), pa.int32()), pa.array(found.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), lists], ["label", "statistics"])
+
+    texts = docs.where(F.col(key).isNotNull()).join(F.broadcast(known), key)  # 2 * limit keys at most
+    rows = texts.select("label", F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    rows = scratch.save(rows.withColumn("fold", F.pmod(F.xxhash64("statistics"), F.lit(FOLDS)).cast("int")), "rows")
+    rows = rows.coalesce(max(1, -(-rows.count() // TASK_ROWS)))
+    share = rows.agg(F.avg("label")).first()[0]
+    return fit(rows) or constant(0.5 if share is None else float(share))
+
+
+def constant(score: float) -> Model:
+    k = len(STATISTICS)
+    return Model(np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.zeros(2), np.zeros(1), np.array([score]))
+
+
+def score_column(column: pa.Array, model: Model) -> np.ndarray:
+    """The probability of label 1 of each text of a column."""
+    parts = [model.score(x.astype(np.float32).astype(np.float64)) for _, x in in_parts(*buffers(column))]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = 0.3, limit: int = LIMIT) -> DataFrame:
     """``key, held_out boolean, score double, predicted int`` of each row.
 
@@ -224,27 +249,26 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     either class. Inputs are the statistics of the text alone. ``score`` is the probability of label 1, for any
     text; a null text counts as empty. Without rows of both labels every score is the share of ones, or 0.5.
     Null keys and repeated rows are scored like others; other columns are left out, so clashing names do no harm.
-    One pass over the texts; what is shuffled is the statistics of labelled rows.
+    One narrow pass over all whole texts, and one over the labelled ones; texts aren't shuffled.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    table = scratch.save(statistics_table(docs, key, text), "statistics")
-    known = training_labels(labels, label, key=key, folds=folds, limit=limit)
-    rows = table.where(F.col(key).isNotNull()).join(known, key).select("statistics", "label", F.pmod(F.xxhash64("statistics"), F.lit(FOLDS)).cast("int").alias("fold"))
-    rows = scratch.save(rows, "rows")
-    tasks = max(1, -(-rows.count() // TASK_ROWS))
-    rows = rows.coalesce(tasks)
-    model = fit(rows)
-    constant = 0.5
-    if model is None and (share := rows.agg(F.avg("label")).first()[0]) is not None:
-        constant = float(share)
-
+    model = learn(docs, labels, key=key, text=text, label=label, folds=folds, limit=limit)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score(_matrix(batch.column(1))) if model else np.full(batch.num_rows, constant)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_column(batch.column(1), model))], schema.names)
 
-    out = table.mapInArrow(run, schema)
+    out = docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     return out.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = 0.3, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score (see ``classify_quality``) is ``threshold`` or more."""
+    model = learn(docs, labels, key=key, text=text, label=label, folds=folds, limit=limit)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_column(batch.column(place), model) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -311,3 +311,19 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     out = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
     return out.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "n_hits")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score (see ``classify_toxicity``) is below ``threshold``."""
+    model = learn(docs, labels, key=key, text=text, label=label, folds=folds, limit=limit)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.weights, model.exceptions)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = score_texts([t or "" for t in part.column(place).to_pylist()], model, matcher)
+                yield part.filter(pa.array([f[0] < threshold for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
