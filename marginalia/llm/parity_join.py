@@ -212,14 +212,35 @@ def _shared_cells(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c) for c in _in_common(table)], names=["sid", "need", "key", "sets"])
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """How many cells of one bucket each set shares in each of its bands: ``sid, need, cells``."""
-    sid, need, _, _ = _in_common(table)
+def _counter(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """How many cells of one bucket each set shares in each of its bands, packed by buckets of set ids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, need, _, _ = _in_common(table)
+        sid = sid.view(np.uint64)
+        order = np.lexsort((need, sid))
+        sid, need = sid[order], need[order]
+        start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1]))) if len(sid) else np.zeros(0, np.int64)
+        cells = np.diff(np.append(start, len(sid)))
+        sid, need = sid[start], need[start]
+        cuts = np.searchsorted((sid >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+        columns = [pa.array([f(x[p]) for p in parts], pa.binary()) for f, x in ((pack_sorted, sid), (_planes, need), (_planes, cells))]
+        return pa.table([pa.array(some, pa.int32()), *columns], names=["part", "sids", "needs", "cells"])
+
+    return run
+
+
+def _going_on(table: pa.Table) -> pa.Table:
+    """The sets of one bucket of ids that share as many cells as they need in one of their bands."""
+    sid = np.concatenate([unpack_sorted(x) for x in table.column("sids").to_pylist()])
+    need, cells = (np.concatenate([_from_planes(x) for x in table.column(c).to_pylist()]) for c in ("needs", "cells"))
     order = np.lexsort((need, sid))
-    sid, need = sid[order], need[order]
-    start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1]))) if len(sid) else np.zeros(0, np.int64)
-    cells = np.diff(np.append(start, len(sid)))
-    return pa.table([pa.array(sid[start]), pa.array(need[start]), pa.array(cells, pa.int64())], names=["sid", "need", "cells"])
+    sid, need, cells = sid[order], need[order], cells[order]
+    start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1])))
+    enough = np.add.reduceat(cells.astype(np.int64), start) >= need[start]
+    return pa.table([pa.array(np.unique(sid[start][enough]).view(np.int64))], names=["sid"])
 
 
 def _buckets(spark: SparkSession, volume: int) -> int:
@@ -314,8 +335,8 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     buckets = _buckets(spark, volume)
     sets = scratch.save(_set_ids(docs, key, text), "sets")
     cells = _cells(docs.where(F.col(key).isNotNull()), text, buckets, sketch)  # not kept: a second reading of the texts is cheaper
-    shared = cells.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_counts, "sid long, need int, cells long")
-    going_on = shared.groupBy("sid", "need").agg(F.sum("cells").alias("cells")).where("cells >= need").select("sid").distinct()
+    shared = cells.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counter(buckets), "part int, sids binary, needs binary, cells binary")
+    going_on = shared.repartition(buckets, "part").groupBy("part").applyInArrow(_going_on, "sid long")
     least = sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least"))
     wanted = scratch.save(going_on.join(least, "sid").select(F.col("least").alias(key), "sid"), "wanted")
     # a repeated key may have several texts: its sets are told apart again by their ids
