@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.text import tolerant_json
 from marginalia.operators import relations, sequences
@@ -43,7 +44,7 @@ def ask(asked: DataFrame, judge: Judge, tries: int = 4, wait: float = 0.7, facto
                         pause *= factor
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*batch.schema.names, "answer"])
 
-    return asked.mapInArrow(run, asked.withColumn("answer", F.lit("")).schema)
+    return asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("answer", T.StringType())]))
 
 
 def remaining(asked: DataFrame, answered: DataFrame, *keys: str) -> DataFrame:

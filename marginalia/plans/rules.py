@@ -222,7 +222,11 @@ def citation_style_tex(tex: DataFrame) -> DataFrame:
 
 
 def unreferenced_numbers(lines: DataFrame) -> DataFrame:
-    """Captioned floats whose number no line mentions, lists of numbers and words broken over two lines included."""
+    """Captioned floats whose number no line mentions, lists of numbers and words broken over two lines included.
+
+    A line is also read together with the end of the line before it on its page, so that a caption below another
+    line counts as mentioned.
+    """
     text = F.col("text")
     kept = lines.where(~is_toc_line(text, r"(?:\.\s){4,}|\.{4,}"))
     head = rf"^\s*(Figure|Fig\.|Table|Algorithm|Listing)\s+({NUM})\s*(?::|\.(?=\s|$))"

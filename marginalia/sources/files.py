@@ -61,7 +61,7 @@ def transcript_sections(texts: DataFrame, key: str = "doc_id", text: str = "text
     """``doc_id, i, script, body``: the parts of a transcript after banners '>>> script.py'."""
     parts = F.filter(F.split(text, r"(?m)^>>> "), lambda p: p.rlike(r"^\S+\.py"))
     rows = texts.select(F.col(key).alias("doc_id"), F.posexplode(parts).alias("i", "part"))
-    return rows.select("doc_id", "i", F.regexp_extract("part", r"^(\S+)\.py", 1).alias("script"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+    return rows.select("doc_id", "i", F.regexp_extract("part", r"^(\S+)\.py", 1).alias("script"), F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def tex_units(lines: DataFrame) -> DataFrame:
