@@ -38,6 +38,14 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             (1, 15, r"\begin{table}\caption{T}\label{tab:t}"), (1, 16, r"\end{table}"), (1, 17, r"\label{eq:b} \hyperref[sec:one]{there}"), (1, 18, r"\bibliographystyle{unsrtnat} \citet{x} \citep{y}"), (2, 1, r"\ref{tab:t} \label{lem:z}"), (2, 2, r"\begin{figure} no caption"), (2, 3, r"\end{figure} \usepackage[style=ieee]{biblatex}"),
         ],
     ),
+    "formulas": (
+        "doc_id int, ord int, text string",
+        [
+            (1, 1, r"\begin{equation}\label{eq:a}"), (1, 2, r"a = b \nonumber"), (1, 3, r"\end{equation}"), (1, 4, "Then it follows."), (1, 5, r"\[ c = d \]"), (1, 6, ""), (1, 7, "Here starts a sentence."), (1, 8, r"\begin{align} e &= f, \end{align}"), (1, 9, "Fine."),
+            (1, 10, r"\begin{gather*}"), (1, 11, r"g % a comment."), (1, 12, r"\end{gather*} where"), (1, 13, r"where $x$ and $" + "y + " * 25 + r"z$ are"), (1, 14, r"\begin{figure}\caption[s]{A {nested \emph{short}} one}"), (1, 15, r"\end{figure}"),
+            (1, 16, r"\begin{table*} none \end{table*}"), (1, 17, r"\begin{figure}"), (1, 18, r"\caption{This is a caption with quite enough words}"), (1, 19, r"\end{figure}"), (2, 1, "(Birch, 2020) (Cole and Dunn, 2019a) (Eck et al., 2018)"), (2, 2, "(Frost 2021)"), (2, 3, "References"), (2, 4, "(Gale, 2001)"),
+        ],
+    ),
     "sentences": (
         "doc_id int, ord int, text string",
         [

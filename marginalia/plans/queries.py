@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.operators import catalog, relations, sequences
-from marginalia.plans import rules
+from marginalia.plans import rules, tex_blocks
 from marginalia.plans.fixtures import cte, frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +519,26 @@ def rule_ai_disclosure(spark, d):
     return rules.ai_disclosure(frame(spark, "ai"))
 
 
+@query()
+def rule_formulas(spark, d):
+    return tex_blocks.formulas(frame(spark, "formulas"))
+
+
+@query()
+def rule_tex_captions(spark, d):
+    return tex_blocks.tex_captions(frame(spark, "formulas"), listed=True)
+
+
+@query(
+    """, r AS (SELECT doc_id, min(ord) AS stop FROM formulas WHERE regexp_matches(trim(text), '(?i)^(References|Bibliography)\\s*$') GROUP BY 1),
+    n AS (SELECT f.doc_id, sum(len(regexp_extract_all(text, '\\([A-Z][a-zA-Z]+(?:\\s+(?:and|&)\\s+[A-Z][a-zA-Z]+|\\s+et\\s+al\\.?)?,?\\s+(?:19|20)[0-9]{2}[a-z]?\\)'))) AS n, min(ord) AS ord FROM formulas f LEFT JOIN r ON f.doc_id = r.doc_id WHERE r.stop IS NULL OR f.ord < r.stop GROUP BY 1)
+    SELECT doc_id, 'CITE-STYLE' AS code, 'INFO' AS severity, ord, n::VARCHAR AS subject FROM n WHERE n > 3""",
+    ("formulas",),
+)
+def rule_author_year(spark, d):
+    return tex_blocks.author_year_citations(frame(spark, "formulas"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Customers' orders numbered within each status, and how common each status is."""
     orders = table(spark, d, "orders").where(catalog.equals("o_orderpriority", "1-urgent"))

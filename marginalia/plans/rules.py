@@ -271,7 +271,7 @@ def bibliography(bib: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 # Headings of AI statements, of methods and of any section, tools, versions and mentions.
-AI_HEADING = r"(?i)^\s*(?:chapter\s+)?(?:\d+(?:\.\d+)*\s+)?(?:use\s+of\s+(?:generative\s+)?ai|(?:ai|generative\s+ai)\s+(?:disclosure|statement|declaration)|disclosure\s+of\s+ai|declaration\s+of\s+(?:ai|the\s+use)|statement\s+on\s+(?:the\s+)?use\s+of\s+ai)\b.{0,40}$"
+AI_HEADING = r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(use\s+of\s+(?:ai|artificial\s+intelligence|generative\s+ai)|(?:ai|artificial\s+intelligence)[ -]use|(?:ai|generative\s+ai)\s+(?:disclosure|statement|declaration)|disclosure\s+of\s+ai|declaration\s+of\s+(?:ai|the\s+use)|statement\s+on\s+(?:the\s+)?use\s+of\s+ai)\b.{0,40}$"
 METHODS_HEADING, ANY_HEADING = r"(?i)^\s*(?:chapter\s+)?\d?\.?\s*(methods?|methodology)\s*$", r"(?i)^\s*(?:chapter\s+)?\d+(?:\.\d+)*\s+\S|^\s*(abstract|acknowledg|contents|references|bibliography|appendix)"
 AI_TOOL = r"(?i)\b(ChatGPT|GPT-?[3-9](?:\.\d)?[a-z]*|Claude(?:\s+(?:Code|Opus|Sonnet|Haiku))?|Gemini|Copilot|Grammarly|DeepL|LLaMA|Mistral|Qwen|DeepSeek|Cursor|Perplexity|Overleaf\s+AI|Writefull|QuillBot|large\s+language\s+model)\b"
 AI_VERSION = r"(?i)\b(v?\d+(?:\.\d+)+|GPT-?[3-9](?:\.\d)?[a-z]*|4o|o[13](?:-mini)?|(?:Opus|Sonnet|Haiku)\s*[\d.]*|20\d{2}-\d{2}|version\s+\S+)\b"

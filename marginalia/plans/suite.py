@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans import rules
+from marginalia.plans import rules, tex_blocks
 from marginalia.sources.files import scanned_units, tex_units
 
 #: name: (group, modes, profiles, linter over lines)
@@ -21,6 +21,9 @@ LINTERS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], Callable[[DataFr
     "numbers": ("Floats", ("pdf",), ("thesis", "paper"), rules.unreferenced_numbers),
     "labels": ("Floats", ("tex",), ("thesis", "paper"), rules.unreferenced_tex),
     "eqref": ("Math", ("tex",), ("thesis", "paper"), rules.eqref),
+    "formulas": ("Math", ("tex",), ("thesis", "paper"), tex_blocks.formulas),
+    "captions_tex": ("Floats", ("tex",), ("thesis", "paper"), tex_blocks.tex_captions),
+    "author_year": ("References", ("pdf",), ("thesis",), tex_blocks.author_year_citations),
     "structure": ("Structure", ("pdf",), ("thesis",), lambda lines: rules.lone_children(scanned_units(lines))),
     "structure_tex": ("Structure", ("tex",), ("thesis",), lambda lines: rules.lone_children(tex_units(lines))),
     "citations": ("References", ("pdf",), ("thesis",), rules.citation_style),

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import render
-from marginalia.plans import rules
+from marginalia.plans import rules, tex_blocks
 from marginalia.plans.fixtures import frame
 from marginalia.plans.suite import run_suite, suite_status
 
@@ -31,6 +31,15 @@ def test_findings(spark, name):
         assert len(got) == len(want)
 
 
+def test_blocks_of_tex(spark):
+    df = frame(spark, "formulas").repartition(3)
+    got = {(r.code, r.ord) for r in tex_blocks.formulas(df).collect()}
+    assert got == {("EQ-NO-PUNCT", 5), ("EQ-PUNCT-CHECK", 1), ("EQ-PUNCT-CHECK", 10), ("LONG-INLINE", 13)}
+    got = {(r.code, r.ord, r.subject) for r in tex_blocks.tex_captions(df, listed=True).collect()}
+    assert got == {("SHORT-CAPTION", 14, "4"), ("NO-CAPTION", 16, "table"), ("CAPTION", 17, "8")}
+    assert {(r.doc_id, r.subject) for r in tex_blocks.author_year_citations(df).collect()} == {(2, "4")}
+
+
 def lines(spark, *texts, page=1):
     return spark.createDataFrame([(1, i + 1, page, t) for i, t in enumerate(texts)], "doc_id int, ord int, page int, text string")
 
