@@ -248,9 +248,10 @@ def _buckets(spark: SparkSession, volume: int) -> int:
 
 
 def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``cell, sid, n, place, rank``: the cells of the finest resolution in which similar sets must meet.
+    """``cell, sid, n, place, rank, head``: the cells of the finest resolution in which similar sets must meet.
 
     ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set.
+    ``head``: the cell's most central set. A cell's sets are only ever pre-aggregated, or joined to one row.
     """
     spark = texts.sparkSession
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -265,10 +266,10 @@ def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
     # what stands before a cell bounds the size of a similar set that has it, too; keep a set where such sizes occur
     kind = lambda c: f"cast(floor(ln({c}) / ln({CLASS})) as int)"
     cells = cells.withColumn("most", F.expr(f"({100 + LEAST} * (n - place)) div {LEAST} - n")).where("most >= least")
-    together = Window.partitionBy("cell")
-    cells = cells.withColumn("sizes", F.collect_set(F.expr(kind("n"))).over(together)).withColumn("sets", F.count("*").over(together))
-    cells = cells.where("sets > 1").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
-    return scratch.save(cells.select("cell", "sid", "n", "place", "rank"), "kept")
+    cells = scratch.save(cells, "cells")
+    together = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.collect_set(F.expr(kind("n"))).alias("sizes"), F.min(F.struct("rank", "sid", "n", "place")).alias("head"))
+    cells = cells.join(together.where("sets > 1").drop("sets"), "cell").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
+    return scratch.save(cells.select("cell", "sid", "n", "place", "rank", "head"), "kept")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -375,10 +376,10 @@ def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     A cell's first set is its most central one: that whose cells are shared by the most sets, on average. An original
     is more central than its altered copies, so that most of them are linked to it at once.
     """
-    head = F.struct("rank", "sid", "n", "place")
+    own = F.struct("rank", "sid", "n", "place")
     possible = f"{LEAST} * greatest({{0}}.n, {{1}}.n) <= 100 * least({{0}}.n, {{1}}.n) and {100 + LEAST} * least({{0}}.n - {{0}}.place, {{1}}.n - {{1}}.place) >= {LEAST} * ({{0}}.n + {{1}}.n)"
-    stars = kept.withColumn("own", head).withColumn("a", F.min(head).over(Window.partitionBy("cell"))).where("a.sid <> sid").where(possible.format("a", "own"))
-    tried = stars.groupBy(F.col("sid").alias("b")).agg(F.min("a").alias("a")).select("a.sid", "b").toDF("a", "b")
+    stars = kept.withColumn("own", own).where("head.sid <> sid").where(possible.format("head", "own"))
+    tried = stars.groupBy(F.col("sid").alias("b")).agg(F.min("head").alias("a")).select("a.sid", "b").toDF("a", "b")
     links = _verify(tried, texts, scratch, "first")
     tried = scratch.spark.read.parquet(f"{scratch.root}/first-pairs").select("a", "b")
     for turn, all_pairs in (("stars", False), ("all", True)):
@@ -392,7 +393,7 @@ def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             more = more.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
         else:
             heads = open_.groupBy("cell").agg(F.min(F.struct("rank", "sid", "n", "place", "root")).alias("a"))
-            more = open_.withColumn("own", head).join(heads, "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()
+            more = open_.withColumn("own", own).join(heads, "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()
         done = tried.union(tried.select("b", "a"))
         more = more.join(done, ["a", "b"], "left_anti")
         found = _verify(more, texts, scratch, turn)
