@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.bytetext import mix
+from marginalia.llm.bytetext import buffers, mix
 from marginalia.llm.labelled import remainder, training_labels
 from marginalia.llm.shared import Scratch
 
@@ -90,6 +90,16 @@ def fold(texts: list[str]) -> list[str]:
     return [f" {x} " for x in out[out != 0].astype("<u4").tobytes().decode("utf-32-le").split("\n")]
 
 
+def folded_parts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, folded texts) of some rows at once, about ``size`` bytes; nulls are empty."""
+    _, at = buffers(column)
+    row, n = 0, len(column)
+    while row < n:
+        last = min(max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1), n)
+        yield row, fold([t or "" for t in column.slice(row, last - row).to_pylist()])
+        row = last
+
+
 def _dollars(text: str) -> str:
     return re.sub(r"(?<=[^\W\d_])\$(?=[^\W\d_])", "s", text)
 
@@ -213,7 +223,7 @@ def choose_entries(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -
 
 def _with_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        families = [family(t) for t in fold(batch.column(1).to_pylist())]
+        families = [family(t) for _, folded in folded_parts(batch.column(1)) for t in folded]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(families, pa.int64()), batch.column(1)], ["label", "family", "text"])
 
 
@@ -227,7 +237,7 @@ def _count_patterns(texts: DataFrame, among: frozenset[str] | None) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["pattern", "n"])
 
         for batch in batches:
-            for folded in fold(batch.column(0).to_pylist()):
+            for folded in (t for _, part in folded_parts(batch.column(0)) for t in part):
                 own = patterns(folded)
                 counts.update(own if among is None else own & among)
                 if len(counts) > 500_000:
@@ -267,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = Counter()
-            for y, t in zip(batch.column(0).to_pylist(), fold(batch.column(1).to_pylist()), strict=True):
+            for y, t in zip(batch.column(0).to_pylist(), (t for _, part in folded_parts(batch.column(1)) for t in part), strict=True):
                 rows[y, *(round(v, 2) for v in measures(matcher.hits(t), t))] += 1
             columns = list(zip(*[(*k, n) for k, n in rows.items()], strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -280,14 +290,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     return model
 
 
-def score_texts(texts: list[str], model: Model, matcher: Matcher) -> list[tuple[float, int]]:
-    """(probability, number of hits) of each text."""
-    out = []
-    for folded in fold(texts):
-        hits = matcher.hits(folded)
-        z = float(np.dot(model.coefficients[:3], measures(hits, folded)) + model.coefficients[3])
-        out.append((1 / (1 + float(np.exp(-min(max(z, -30), 30)))), len(hits)))
-    return out
+def score_parts(column: pa.Array, model: Model, matcher: Matcher) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """(first row, (probability, number of hits) of each text) of some rows at once."""
+    for row, part in folded_parts(column):
+        out = []
+        for folded in part:
+            hits = matcher.hits(folded)
+            z = float(np.dot(model.coefficients[:3], measures(hits, folded)) + model.coefficients[3])
+            out.append((1 / (1 + float(np.exp(-min(max(z, -30), 30)))), len(hits)))
+        yield row, out
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
@@ -304,10 +315,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.weights, model.exceptions)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = score_texts(part.column(1).to_pylist(), model, matcher)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], schema.names)
+            for row, found in score_parts(batch.column(1), model, matcher):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], schema.names)
 
     out = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
     return out.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "n_hits")
@@ -321,9 +330,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.weights, model.exceptions)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = score_texts([t or "" for t in part.column(place).to_pylist()], model, matcher)
-                yield part.filter(pa.array([f[0] < threshold for f in found], pa.bool_()))
+            for row, found in score_parts(batch.column(place), model, matcher):
+                yield batch.slice(row, len(found)).filter(pa.array([f[0] < threshold for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
