@@ -46,6 +46,14 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             (1, 16, r"\begin{table*} none \end{table*}"), (1, 17, r"\begin{figure}"), (1, 18, r"\caption{This is a caption with quite enough words}"), (1, 19, r"\end{figure}"), (2, 1, "(Birch, 2020) (Cole and Dunn, 2019a) (Eck et al., 2018)"), (2, 2, "(Frost 2021)"), (2, 3, "References"), (2, 4, "(Gale, 2001)"),
         ],
     ),
+    "layout": (
+        "doc_id int, ord int, page int, y double, bottom double, x0 double, text string, bold boolean",
+        [
+            (1, 1, 1, 10.0, 20.0, 50.0, "1 Introduction", True), (1, 2, 1, 40.0, 50.0, 50.0, "The first line", False), (1, 3, 1, 52.0, 62.0, 50.0, "goes on (3) as in Eq. (4) and (4).", False), (1, 4, 1, 80.0, 90.0, 500.0, "(3)", False),
+            (1, 5, 2, 5.0, 15.0, 50.0, "Figure 2: Caption", False), (1, 6, 2, 16.0, 26.0, 50.0, "2 Not bold", False), (1, 7, 3, 5.0, 15.0, 50.0, "(9)", False), (2, 1, 1, 0.0, 10.0, 10.0, "Alone", False),
+        ],
+    ),
+    "terms_used": ("doc_id int, ord int, term string", [(1, 1, "Kernel"), (1, 2, " kernel "), (1, 3, "Widget"), (2, 1, "KERNEL"), (1, 4, "widget")]),
     "sentences": (
         "doc_id int, ord int, text string",
         [

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
-from marginalia.operators import catalog, relations, sequences
-from marginalia.plans import rules, tex_blocks
+from marginalia.functions.similarity import similarity
+from marginalia.operators import catalog, layout, relations, render, sequences
+from marginalia.plans import judge, rules, tex_blocks
 from marginalia.plans.fixtures import cte, frame
+from marginalia.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -452,12 +455,40 @@ def a9_code_schemes(spark, d):
     return rules.codes(frame(spark, "codes"))
 
 
-@query()
+def _term_pattern(variant: str) -> str:
+    """The variant between characters that no word has; separators of the text are doubled first."""
+    return r"(?i)(?:^|[^\w-])" + re.escape(variant).replace(r"\ ", r"[\s~]+") + r"(?:e?s)?(?:[^\w-]|$)"
+
+
+_VARIANTS = " UNION ALL ".join(f"SELECT doc_id, ord, {_pattern(t)} AS term, {_pattern(v)} AS variant, {i} AS i, len(regexp_extract_all(regexp_replace(text, '([^\\w-])', '\\1\\1', 'g'), {_pattern(_term_pattern(v))})) AS n FROM terms" for t, vs in rules.TERMS for i, v in enumerate(vs))
+
+
+@query(
+    f""", c AS ({_VARIANTS}), f AS (SELECT doc_id, term, variant, i, sum(n) AS n, min(ord) AS ord FROM c WHERE n > 0 GROUP BY 1, 2, 3, 4 HAVING sum(n) >= 2),
+    g AS (SELECT doc_id, term, count(*) AS kinds, min(i) AS least, min(ord) AS ord, string_agg(variant, ', ' ORDER BY n DESC, i) AS variants FROM f GROUP BY 1, 2)
+    SELECT doc_id, CASE WHEN kinds > 1 THEN 'TERM-MIX' ELSE 'NON-DICTIONARY' END AS code, CASE WHEN kinds > 1 THEN 'WARN' ELSE 'INFO' END AS severity, ord, variants AS subject FROM g WHERE kinds > 1 OR least > 0""",
+    ("terms",),
+)
 def a17_term_mix(spark, d):
     return rules.terminology(frame(spark, "terms"))
 
 
-@query()
+_KEPT = f"""k AS (SELECT doc_id, ord, regexp_replace(text, '\\[[0-9]+(?:,\\s*[0-9]+)*\\]', ' ', 'g') AS text FROM (SELECT *, coalesce(max(CASE WHEN regexp_matches(trim(text), {_pattern(sequences.REFERENCES)}) THEN 1 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), 0) AS refs FROM lines WHERE NOT regexp_matches(text, {_pattern(tx.TOC_STRICT)})) WHERE refs = 0 AND NOT regexp_matches(trim(text), {_pattern(sequences.CAPTION)}))"""
+
+
+@query(
+    f""", {_KEPT}, u AS (SELECT doc_id, ord, regexp_replace(unnest(regexp_extract_all(text, {_pattern(rules.ACRONYM)}, 1)), 's+$', '') AS acro FROM k),
+    v AS (SELECT * FROM u WHERE acro NOT IN ({", ".join(_pattern(x) for x in rules.KNOWN_ACRONYMS)}) AND length(regexp_replace(acro, '[^A-Z]', '', 'g')) >= 2),
+    p AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, {_pattern(rules.EXPANSION)}, 1)) AS long, regexp_replace(unnest(regexp_extract_all(text, {_pattern(rules.EXPANSION)}, 2)), 's+$', '') AS acro FROM k),
+    q AS (SELECT *, string_split(lower(regexp_replace(acro, '[^A-Za-z]', '', 'g')), '') AS letters, list_transform(regexp_split_to_array(long, '[ -]'), lambda w: lower(left(w, 1))) AS initials FROM p),
+    e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, acro ORDER BY ord) AS i FROM q WHERE len(letters) >= 2 AND len(list_filter(letters, lambda c: list_contains(initials, c))) >= greatest(2, len(letters) - 1)),
+    f AS (SELECT doc_id, acro, ord AS start_at FROM e WHERE i = 1)
+    SELECT v.doc_id, 'USED-BEFORE-EXPANSION' AS code, 'WARN' AS severity, min(v.ord) AS ord, v.acro AS subject FROM v JOIN f ON v.doc_id = f.doc_id AND v.acro = f.acro AND v.ord < f.start_at GROUP BY v.doc_id, v.acro
+    UNION ALL SELECT doc_id, 'RE-EXPANDED', 'WARN', ord, acro FROM e WHERE i > 1
+    UNION ALL SELECT doc_id, 'EXPANDED-ONCE-UNUSED', 'INFO', start_at, acro FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = f.doc_id AND v.acro = f.acro AND v.ord > f.start_at)
+    UNION ALL SELECT doc_id, 'NEVER-EXPANDED', 'WARN', min(ord), acro FROM v WHERE NOT EXISTS (SELECT 1 FROM f WHERE v.doc_id = f.doc_id AND v.acro = f.acro) GROUP BY doc_id, acro HAVING count(*) >= 2""",
+    ("lines",),
+)
 def rule_acronyms(spark, d):
     return rules.acronyms(frame(spark, "lines"))
 
@@ -473,22 +504,69 @@ def j1_unreferenced_labels(spark, d):
     return rules.unreferenced_tex(frame(spark, "tex"), all_labels=True).where("code = 'UNREFERENCED'").select("doc_id", "ord", F.col("subject").alias("label"))
 
 
-@query()
+_ENVS = "|".join(x.replace("*", r"\*") for x in (*rules.MATH, *[m + "*" for m in rules.MATH], *rules.FLOATS))
+_TOKENS = f"""c AS (SELECT doc_id, ord, regexp_replace(text, '(^|[^\\\\])%.*', '\\1', 'g') AS t FROM tex),
+    k AS (SELECT doc_id, ord, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, ord, regexp_extract_all(t, {_pattern(rf"(\\begin\{{(?:{_ENVS})\}}|\\end\{{(?:{_ENVS})\}}|\\label\{{[^}}]+\}}|\\caption\b)")}, 1) AS l FROM c)),
+    o AS (SELECT *, last_value(CASE WHEN starts_with(tok, '\\begin') THEN regexp_extract(tok, '\\{{([^}}]+)\\}}', 1) WHEN starts_with(tok, '\\end') THEN '' END IGNORE NULLS) OVER w AS env,
+      max(CASE WHEN starts_with(tok, '\\begin') OR starts_with(tok, '\\end') THEN ord * 10000 + i END) OVER w AS block FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ord, i ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT doc_id, ord, coalesce(env, '') AS env, trim(regexp_extract(tok, '\\{{([^}}]+)\\}}', 1)) AS label FROM o WHERE starts_with(tok, '\\label'))"""
+_MATHS, _FLOATS = (", ".join(map(_pattern, x)) for x in (rules.MATH, rules.FLOATS))
+
+
+@query(
+    f""", {_TOKENS}, r AS (SELECT DISTINCT trim(unnest(string_split(x, ','))) AS label FROM (SELECT unnest(regexp_extract_all(t, {_pattern(rules.REFERRING)}, 1)) AS x FROM c) UNION SELECT trim(unnest(regexp_extract_all(t, '\\\\hyperref\\[([^\\]]+)\\]', 1))) FROM c),
+    n AS (SELECT *, CASE WHEN contains(label, ':') THEN lower(split_part(label, ':', 1)) ELSE '' END AS prefix, regexp_replace(env, '\\*$', '') AS base FROM l),
+    b AS (SELECT doc_id, block, any_value(env) AS env, min(ord) AS ord, bool_or(starts_with(tok, '\\label')) AS labelled, bool_or(starts_with(tok, '\\caption')) AS captioned FROM o WHERE env <> '' GROUP BY 1, 2)
+    SELECT doc_id, 'UNREFERENCED' AS code, 'WARN' AS severity, ord, label AS subject FROM n WHERE label NOT IN (SELECT label FROM r) AND (base IN ({_MATHS}) OR base IN ('figure', 'table', 'algorithm', 'listing') OR prefix IN ('eq', 'fig', 'tab', 'table', 'alg', 'lst'))
+    UNION ALL SELECT doc_id, 'UNLABELED-EQ', 'WARN', ord, env FROM b WHERE NOT labelled AND env IN ({_MATHS})
+    UNION ALL SELECT doc_id, 'UNLABELED-FLOAT', 'WARN', ord, env FROM b WHERE NOT labelled AND captioned AND env IN ({_FLOATS})""",
+    ("tex",),
+)
 def rule_unreferenced_tex(spark, d):
     return rules.unreferenced_tex(frame(spark, "tex"))
 
 
-@query()
+@query(
+    f""", {_TOKENS}, m AS (SELECT DISTINCT doc_id, label FROM l WHERE regexp_replace(env, '\\*$', '') IN ({_MATHS})),
+    r AS (SELECT doc_id, ord, trim(unnest(string_split(x, ','))) AS label FROM (SELECT doc_id, ord, unnest(regexp_extract_all(t, '\\\\ref\\*?\\{{([^}}]+)\\}}', 1)) AS x FROM c))
+    SELECT r.doc_id, 'REF-NOT-EQREF' AS code, 'WARN' AS severity, r.ord, r.label AS subject FROM r JOIN m ON r.doc_id = m.doc_id AND r.label = m.label
+    UNION ALL SELECT doc_id, 'EQNARRAY', 'INFO', ord, 'eqnarray' FROM c WHERE regexp_matches(t, '\\\\begin\\{{eqnarray\\*?\\}}')""",
+    ("tex",),
+)
 def rule_eqref(spark, d):
     return rules.eqref(frame(spark, "tex"))
 
 
-@query()
+_CAP = _pattern(sequences.CAPTION)
+
+
+@query(
+    f""", t AS (SELECT doc_id, ord, trim(text) AS x, regexp_matches(trim(text), {_CAP}) AND NOT regexp_matches(trim(text), {_pattern(tx.TOC_STRICT)}) AS s FROM lines),
+    a AS (SELECT *, max(CASE WHEN s THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS start_at FROM t),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start_at ORDER BY ord) - 1 AS i, max(CASE WHEN x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, start_at ORDER BY ord ROWS UNBOUNDED PRECEDING) AS gap FROM a WHERE start_at IS NOT NULL),
+    c AS (SELECT doc_id, start_at, string_agg(CASE WHEN s THEN regexp_extract(x, {_CAP}, 3) ELSE x END, ' ' ORDER BY i) AS cap, arg_min(regexp_extract(x, {_CAP}, 1) || ' ' || regexp_extract(x, {_CAP}, 2), i) AS name FROM b WHERE gap = 0 AND i <= 5 GROUP BY 1, 2)
+    SELECT doc_id, 'SHORT-CAPTION' AS code, 'WARN' AS severity, start_at AS ord, name AS subject FROM c WHERE len(regexp_extract_all(cap, '[A-Za-z][A-Za-z\\-'']*')) < 6""",
+    ("lines",),
+)
 def rule_captions(spark, d):
     return rules.short_captions(frame(spark, "lines"))
 
 
-@query()
+_BODY = "regexp_replace(text, '^\\[[0-9]+\\]\\s+', '')"
+_AUTHORS = " OR ".join(f"regexp_matches({_BODY}, {_pattern(p)})" for p in rules.IEEE_AUTHORS)
+_WEB = " OR ".join(f"regexp_matches({_BODY}, {_pattern(p)})" for p in rules.WEB)
+
+
+@query(
+    f""", t AS (SELECT doc_id, ord, trim(text) AS x FROM lines), h AS (SELECT doc_id, max(CASE WHEN regexp_matches(x, {_pattern(sequences.REFERENCES)}) THEN ord END) AS s FROM t GROUP BY 1),
+    n AS (SELECT t.doc_id, t.ord, t.x, sum(CASE WHEN regexp_matches(x, '^\\[[0-9]+\\]\\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.ord) AS entry FROM t JOIN h ON t.doc_id = h.doc_id AND t.ord > h.s AND t.x <> ''),
+    e AS (SELECT doc_id, entry, min(ord) AS ord, string_agg(x, ' ' ORDER BY ord) AS text FROM n WHERE entry > 0 GROUP BY 1, 2),
+    b AS (SELECT doc_id, ord, NOT ({_AUTHORS}) AND NOT ({_WEB}) AS a, NOT regexp_matches({_BODY}, {_pattern(rules.QUOTED)}) AND NOT ({_WEB}) AND NOT regexp_matches({_BODY}, {_pattern(rules.BOOK)}) AS q FROM e)
+    SELECT doc_id, 'ENTRY-STYLE' AS code, 'WARN' AS severity, ord, CASE WHEN a AND q THEN 'authors+title' WHEN a THEN 'authors' ELSE 'title' END AS subject FROM b WHERE a OR q
+    UNION ALL SELECT doc_id, 'NO-REFS-SECTION', 'WARN', 0, '-' FROM h WHERE s IS NULL
+    UNION ALL SELECT doc_id, 'REFS-NOT-NUMBERED', 'ERROR', s, '-' FROM h WHERE s IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM e)""",
+    ("lines",),
+)
 def rule_citation_style(spark, d):
     return rules.citation_style(frame(spark, "lines"))
 
@@ -509,12 +587,49 @@ def rule_unreferenced_numbers(spark, d):
     return rules.unreferenced_numbers(frame(spark, "lines"))
 
 
-@query()
+_LAST = "list_transform({0}, lambda a: lower(list_extract(string_split(trim(a), ' '), -1)))"
+_LONG = "list_filter(regexp_split_to_array(lower({0}), '[^a-z]+'), lambda w: length(w) > 3)"
+_SAME = "(a = f OR contains(a, f) OR contains(f, a))"
+
+
+@query(
+    f""", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bib_id ORDER BY sim DESC, ord) AS k FROM candidates) WHERE k = 1),
+    j AS (SELECT bib.*, b.sim, b.year AS found_year, b.venue AS found_venue, bib.url <> '' AND bib.venue = '' AND len(bib.authors) = 0 AS web, {_LAST.format("bib.authors")} AS own, {_LAST.format("b.authors")} AS theirs FROM bib LEFT JOIN b ON bib.id = b.bib_id),
+    p AS (SELECT id, count(*) FILTER (WHERE any_) AS hits, bool_or(any_ AND i = 1) AS lead FROM (SELECT id, a, i, bool_or({_SAME}) AS any_ FROM (SELECT id, unnest(own) AS a, generate_subscripts(own, 1) AS i, theirs FROM j) x, unnest(x.theirs) t(f) GROUP BY id, a, i) GROUP BY id),
+    c AS (SELECT id, 'WEB-SOURCE' AS code, 'INFO' AS severity FROM j WHERE web
+      UNION ALL SELECT id, 'NOT-FOUND', 'WARN' FROM j WHERE NOT web AND (sim IS NULL OR sim < 0.55)
+      UNION ALL SELECT id, 'TITLE-DRIFT', 'WARN' FROM j WHERE sim >= 0.55 AND sim < 0.85
+      UNION ALL SELECT j.id, 'AUTHOR-MISMATCH', 'ERROR' FROM j JOIN p ON j.id = p.id WHERE sim >= 0.55 AND (hits < greatest(1, len(own) // 2) OR NOT lead)
+      UNION ALL SELECT id, 'YEAR-MISMATCH', 'WARN' FROM j WHERE sim >= 0.55 AND abs(try_cast(year AS INT) - try_cast(found_year AS INT)) > 1
+      UNION ALL SELECT id, 'INCOMPLETE', 'WARN' FROM j WHERE NOT web AND venue = '' AND arxiv = '' AND url = ''
+      UNION ALL SELECT id, 'PREPRINT', 'WARN' FROM j WHERE sim >= 0.55 AND arxiv <> '' AND found_venue <> '' AND NOT contains(lower(found_venue), 'arxiv')
+      UNION ALL SELECT id, 'VENUE-MISMATCH', 'WARN' FROM j WHERE sim >= 0.55 AND arxiv = '' AND venue <> '' AND found_venue <> '' AND NOT list_has_any({_LONG.format("venue")}, {_LONG.format("found_venue")}))
+    SELECT * FROM c UNION ALL SELECT id, 'OK', 'INFO' FROM j WHERE id NOT IN (SELECT id FROM c)""",
+    ("bib", "candidates"),
+)
 def rule_bibliography(spark, d):
     return rules.bibliography(frame(spark, "bib"), frame(spark, "candidates"))
 
 
-@query()
+def _matches(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, {_pattern(pattern)})"
+
+
+@query(
+    f""", t AS (SELECT doc_id, ord, text, trim(text) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM ai),
+    m AS (SELECT *, CASE WHEN {_matches("x", rules.METHODS_HEADING)} THEN 2 WHEN {_matches("x", rules.ANY_HEADING)} THEN 1 END AS h FROM t),
+    r AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 1) = 2 AND coalesce(h, 0) <> 2 AS methods FROM m),
+    s AS (SELECT doc_id, min(CASE WHEN {_matches("x", rules.AI_HEADING)} THEN i END) AS head, min(CASE WHEN {_matches("text", rules.AI_SENTENCE)} THEN i END) AS loose FROM t GROUP BY 1),
+    a AS (SELECT *, coalesce(head, loose) AS start_at FROM s),
+    o AS (SELECT r.*, a.head, a.start_at, coalesce(max(CASE WHEN r.i > a.start_at AND {_matches("x", rules.ANY_HEADING)} THEN 1 END) OVER (PARTITION BY r.doc_id ORDER BY r.i ROWS UNBOUNDED PRECEDING), 0) AS stop FROM r JOIN a ON r.doc_id = a.doc_id AND r.i BETWEEN a.start_at AND a.start_at + 60),
+    b AS (SELECT doc_id, any_value(head) AS head, min(ord) AS ord, arg_min(methods, ord) AS methods, string_agg(text, ' ' ORDER BY ord) AS body FROM o WHERE stop = 0 GROUP BY 1)
+    SELECT doc_id, 'NO-AI-STATEMENT' AS code, 'WARN' AS severity, 0 AS ord, '-' AS subject FROM a WHERE start_at IS NULL
+    UNION ALL SELECT doc_id, 'STATEMENT-FOUND', 'INFO', ord, CASE WHEN head IS NULL THEN 'sentence' ELSE 'heading' END FROM b
+    UNION ALL SELECT doc_id, 'NO-TOOL-NAMED', 'WARN', ord, '-' FROM b WHERE NOT {_matches("body", rules.AI_TOOL)} AND NOT {_matches("body", rules.NO_AI)}
+    UNION ALL SELECT doc_id, 'NO-VERSION', 'WARN', ord, '-' FROM b WHERE {_matches("body", rules.AI_TOOL)} AND NOT {_matches("body", rules.AI_VERSION)}
+    UNION ALL SELECT doc_id, 'IN-METHODS', 'WARN', ord, '-' FROM b WHERE head IS NULL AND methods""",
+    ("ai",),
+)
 def rule_ai_disclosure(spark, d):
     return rules.ai_disclosure(frame(spark, "ai"))
 
@@ -539,6 +654,148 @@ def rule_author_year(spark, d):
     return tex_blocks.author_year_citations(frame(spark, "formulas"))
 
 
+# ---- layout ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, ord, text FROM layout WHERE page BETWEEN 2 AND 3", ("layout",))
+def p7_page_range(spark, d):
+    return layout.page_range(frame(spark, "layout"), 3, 2).select("doc_id", "ord", "text")
+
+
+@query(
+    """, s AS (SELECT *, CASE WHEN y - lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY y, ord) > 14 THEN 1 ELSE 0 END AS s FROM layout), r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY y, ord ROWS UNBOUNDED PRECEDING) AS para FROM s)
+    SELECT doc_id, page, para, string_agg(text, ' ' ORDER BY y, ord) AS text FROM r GROUP BY 1, 2, 3""",
+    ("layout",),
+)
+def s11_gap_paragraphs(spark, d):
+    return layout.gap_paragraphs(frame(spark, "layout"))
+
+
+@query(
+    f"SELECT doc_id, ord, CASE WHEN regexp_matches(trim(text), {_pattern(layout.CAPTION_HEAD)}) THEN 'caption' WHEN regexp_matches(trim(text), {_pattern(layout.EQUATION_TAG)}) AND x0 > 0.55 * 600 THEN 'equation' WHEN regexp_matches(trim(text), {_pattern(layout.HEADING)}) AND bold THEN 'heading' ELSE 'text' END AS kind FROM layout",
+    ("layout",),
+)
+def s12_line_kinds(spark, d):
+    return frame(spark, "layout").select("doc_id", "ord", layout.line_kind(F.lit(600.0)).alias("kind"))
+
+
+@query("SELECT doc_id, left(string_agg(line, chr(10) ORDER BY ord), 60) AS text FROM (SELECT *, CASE WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY ord) IS NOT DISTINCT FROM page THEN text ELSE '[p. ' || page || '] ' || text END AS line FROM layout) GROUP BY 1", ("layout",))
+def w19_page_markers(spark, d):
+    return layout.page_marked_text(frame(spark, "layout"), 60)
+
+
+@query("SELECT doc_id, ord, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(term)) ORDER BY ord) AS k FROM terms_used) WHERE k = 1", ("terms_used",))
+def a16_first_spellings(spark, d):
+    return layout.first_spellings(frame(spark, "terms_used"), "term", "doc_id")
+
+
+@query("SELECT doc_id, ord, term, row_number() OVER (PARTITION BY doc_id, lower(trim(term)) ORDER BY ord) AS k FROM terms_used QUALIFY k > 1", ("terms_used",))
+def w17_after_the_first(spark, d):
+    w = Window.partitionBy("doc_id", F.lower(F.trim("term"))).orderBy("ord")
+    return frame(spark, "terms_used").withColumn("k", F.row_number().over(w)).where("k > 1")
+
+
+@query(
+    "SELECT num, row_number() OVER (ORDER BY regexp_extract(num, '^([A-Z]*)', 1), coalesce(try_cast(regexp_extract(num, '^([A-Z]*)\\.?([0-9]+)(?:\\.([0-9]+))?', 2) AS INT), 0), coalesce(try_cast(regexp_extract(num, '^([A-Z]*)\\.?([0-9]+)(?:\\.([0-9]+))?', 3) AS INT), 0)) AS place FROM (VALUES ('A.10'), ('A.2'), ('10'), ('2.4'), ('2.10'), ('1')) t(num)"
+)
+def o2_natural_order(spark, d):
+    rows = spark.createDataFrame([("A.10",), ("A.2",), ("10",), ("2.4",), ("2.10",), ("1",)], "num string")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(layout.natural_order(F.col("num")))))
+
+
+@query(
+    """, e AS (SELECT u.doc_id, u.ord, u.level, u.title, (SELECT min(v.ord) FROM units v WHERE v.doc_id = u.doc_id AND v.ord > u.ord AND v.level <= u.level) AS stop FROM units u)
+    SELECT e.doc_id, e.ord, e.title, string_agg(c.title, ', ' ORDER BY c.ord) AS children FROM e JOIN units c ON c.doc_id = e.doc_id AND c.ord > e.ord AND (e.stop IS NULL OR c.ord < e.stop) AND c.level = e.level + 1 GROUP BY 1, 2, 3""",
+    ("units",),
+)
+def j9_children_lists(spark, d):
+    return layout.children(frame(spark, "units")).withColumn("children", F.array_join("children", ", "))
+
+
+@query(
+    """, b AS (SELECT DISTINCT doc_id, ord, unnest(regexp_extract_all(text, '\\(([0-9]{1,3})\\)', 1)) AS num FROM layout), n AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '\\b(?:Equations?|Eqs?\\.)\\s*\\(?([0-9]+)\\)?', 1)) AS num FROM layout)
+    SELECT doc_id, ord, num FROM b WHERE EXISTS (SELECT 1 FROM defs d WHERE d.kind = 'equation' AND d.doc_id = b.doc_id AND d.num = b.num) AND NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = b.doc_id AND n.ord = b.ord AND n.num = b.num)""",
+    ("layout", "defs"),
+)
+def j19_bare_equations(spark, d):
+    return layout.bare_equations(frame(spark, "layout"), frame(spark, "defs"))
+
+
+@query("SELECT k.kind, k.place, count(d.num) AS n FROM (VALUES ('figure', 1), ('table', 2), ('algorithm', 3), ('equation', 4)) k(kind, place) LEFT JOIN defs d ON d.kind = k.kind GROUP BY 1, 2", ("defs",))
+def a6_counts_in_fixed_order(spark, d):
+    kinds = spark.createDataFrame([("figure", 1), ("table", 2), ("algorithm", 3), ("equation", 4)], "kind string, place int")
+    counted = frame(spark, "defs").groupBy("kind").agg(F.count("*").alias("n"))
+    return F.broadcast(kinds).join(counted, "kind", "left").select("kind", "place", F.coalesce("n", F.lit(0)).alias("n"))  # four kinds
+
+
+@query("SELECT id, len(list_intersect(a, b)) > 0 AS overlap, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS rest FROM (SELECT bib.id, string_split(lower(bib.venue), ' ') AS a, string_split(lower(c.venue), ' ') AS b FROM bib JOIN candidates c ON c.bib_id = bib.id AND c.ord = 1)", ("bib", "candidates"))
+def u3_u4_difference_and_overlap(spark, d):
+    first = frame(spark, "candidates").where("ord = 1").select(F.col("bib_id").alias("id"), F.split(F.lower("venue"), " ").alias("b"))
+    both = frame(spark, "bib").select("id", F.split(F.lower("venue"), " ").alias("a")).join(first, "id")
+    return both.select("id", F.arrays_overlap("a", "b").alias("overlap"), F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("rest"))
+
+
+@query("SELECT doc_id, ord, CASE WHEN p > 11 THEN '…' ELSE '' END || substring(text, greatest(1, p - 10), least(length(text), p + 2 + 10) - greatest(1, p - 10) + 1) || CASE WHEN p + 12 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT *, strpos(text, 'the') AS p FROM paragraphs2) WHERE p > 0".replace("paragraphs2", "(SELECT doc_id, ix AS ord, text FROM paragraphs)"), ("paragraphs",))
+def f15_snippets(spark, d):
+    at = F.locate("the", F.col("text"))
+    rows = frame(spark, "paragraphs").withColumnRenamed("ix", "ord").where(at > 0)
+    return rows.select("doc_id", "ord", tx.snippet(F.col("text"), at, F.lit(3), 10).alias("snippet"))
+
+
+# ---- sources, sinks and the judge shell -----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 1 AS page, i - 1 AS at, l[i] AS text FROM (SELECT doc_id, list_append(string_split(text, chr(10)), '') AS l, unnest(generate_series(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE NOT contains(text, chr(12)))")
+def s3_page_lines(spark, d):
+    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("\f")))
+    return files.page_lines(docs).select("doc_id", "page", (F.col("line_no") - 1).alias("at"), "text")
+
+
+@query(
+    """SELECT university, part, i, '| ' || i || ' | ' || author || ' | ' || title || ' | ' || date || ' | ' || industry || ' |' AS line FROM
+    (SELECT *, CASE WHEN lower(status) = 'ongoing' THEN 0 ELSE 1 END AS part, row_number() OVER (PARTITION BY university, CASE WHEN lower(status) = 'ongoing' THEN 0 ELSE 1 END ORDER BY ord) AS i FROM catalog)""",
+    ("catalog",),
+)
+def k1_markdown_rows(spark, d):
+    return render.catalog_lines(frame(spark, "catalog"))
+
+
+@query(f"SELECT doc_id, max(CASE WHEN severity IN ('ERROR', 'WARN') THEN 1 ELSE 0 END) AS code FROM ({_PROSE}) GROUP BY 1", ("sentences",))
+def k6_exit_codes(spark, d):
+    return render.exit_codes(rules.prose(frame(spark, "sentences")))
+
+
+@query("SELECT conv_id AS doc_id, b AS batch, 'Judge:' || chr(10) || string_agg(turn || '. ' || text, chr(10) ORDER BY turn) AS prompt FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS b FROM conversations) GROUP BY 1, 2")
+def x10_judge_requests(spark, d):
+    return judge.requests(table(spark, d, "conversations"), 2, "Judge:", "conv_id", "turn")
+
+
+@query("SELECT c.item, c.question, CASE WHEN length(c.question) % 2 = 0 THEN 'PASS' ELSE 'UNCLEAR' END AS verdict, CASE WHEN length(c.question) % 2 = 0 THEN 'even' ELSE '' END AS note FROM checklist c", ("checklist",))
+def x1_checklist_with_a_stub(spark, d):
+    """The whole shell with a deterministic judge: requests, answers, tolerant parsing, defaults."""
+    items = frame(spark, "checklist")
+
+    def stub(prompts: list[str]) -> list[str]:
+        return ['```json\n{"verdict": "PASS", "note": "even"}\n```' if len(p) % 2 == 0 else "no idea" for p in prompts]
+
+    answers = judge.ask(items.select("item", F.lit(1).alias("ord"), F.col("question").alias("prompt")), stub)
+    return judge.verdicts(answers, items, "item")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations WHERE turn % 4 <> 3) WHERE p = turn")
+def t3_contiguous_prefix(spark, d):
+    done = table(spark, d, "conversations").where("turn % 4 <> 3")
+    return judge.contiguous_prefix(done, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query("SELECT bib_id, ord, sim FROM candidates WHERE sim = 1.0", ("candidates",))
+def f8_title_similarity(spark, d):
+    """Candidates whose squeezed title is the entry's: a matching-blocks ratio of 1."""
+    bib = frame(spark, "bib").select(F.col("id").alias("bib_id"), F.col("title").alias("cited"))
+    found = frame(spark, "candidates").join(bib, "bib_id")
+    return found.withColumn("sim", similarity(tx.squeezed_title(F.col("cited")), tx.squeezed_title(F.col("title")))).where("sim = 1.0").select("bib_id", "ord", "sim")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Customers' orders numbered within each status, and how common each status is."""
     orders = table(spark, d, "orders").where(catalog.equals("o_orderpriority", "1-urgent"))

@@ -37,6 +37,10 @@ TERMS = (
     ("test set", ("test set", "test data", "testing set")), ("learning rate", ("learning rate", "step size", "step-size")), ("hyperparameter", ("hyperparameter", "hyper-parameter", "tuning parameter")), ("empirical risk", ("empirical risk", "training loss", "empirical error")),
     ("artificial neural network", ("neural network", "neural net")), ("k-means", ("k-means", "kmeans", "k means")), ("i.i.d.", ("i.i.d.", "iid", "independent and identically distributed")), ("machine learning", ("machine learning", "statistical learning")),
 )
+# Forms of authors, signs of web sources and of books, and quoted titles in reference lists.
+IEEE_AUTHORS = (r"^[A-Z]\.(?:\s?-?[A-Z]\.)*\s+(?:van|von|de|del|da|Le)?\s*[A-Z][a-zA-Z'’\-]+", r"^[A-Z][a-zA-Z\-]+\s+[A-Z]\.")
+WEB = (r"^(https?://|www\.)", r"(?i)\b(dataset|documentation|available|online|accessed)\b")
+BOOK, QUOTED = r"\b(Press|Springer|Wiley|Elsevier|McGraw|Prentice|University|Ph\.?D\.?|M\.?Sc\.?|dissertation|thesis|ed\.|Std\.)\b", "[\"“][^\"”]{6,}[,.]?[\"”]"
 # Environments of numbered formulas and of floats, and what refers to a label.
 MATH, FLOATS = ("equation", "align", "gather", "multline", "eqnarray", "alignat", "flalign"), ("figure", "table", "figure*", "table*", "algorithm", "listing")
 REFERRING = r"\\(?:ref|eqref|autoref|cref|Cref|vref|pageref)\*?\{([^}]+)\}"
@@ -195,10 +199,8 @@ def citation_style(lines: DataFrame) -> DataFrame:
     """Entries that don't look like A. B. Surname, "Title," of a numbered list; lists that aren't there or not numbered."""
     body = F.regexp_replace("text", r"^\[[0-9]+\]\s+", "")
     entries = reference_entries(lines)
-    authors = body.rlike(r"^[A-Z]\.(?:\s?-?[A-Z]\.)*\s+(?:van|von|de|del|da|Le)?\s*[A-Z][a-zA-Z'’\-]+") | body.rlike(r"^[A-Z][a-zA-Z\-]+\s+[A-Z]\.")
-    web = body.rlike(r"^(https?://|www\.)") | body.rlike(r"(?i)\b(dataset|documentation|available|online|accessed)\b")
-    book = body.rlike(r"\b(Press|Springer|Wiley|Elsevier|McGraw|Prentice|University|Ph\.?D\.?|M\.?Sc\.?|dissertation|thesis|ed\.|Std\.)\b")
-    quoted = body.rlike("[\"“][^\"”]{6,}[,.]?[\"”]")
+    some = lambda ps: F.coalesce(*[F.when(body.rlike(p), True) for p in ps], F.lit(False))
+    authors, web, book, quoted = some(IEEE_AUTHORS), some(WEB), some((BOOK,)), some((QUOTED,))
     bad = F.concat_ws("+", F.when(~authors & ~web, "authors"), F.when(~quoted & ~web & ~book, "title"))
     heads = lines.groupBy("doc_id").agg(F.max(F.when(F.trim("text").rlike(REFERENCES), F.col("ord"))).alias("ord"))
     numbered = entries.select("doc_id").distinct()
