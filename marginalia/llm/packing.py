@@ -24,8 +24,9 @@ from marginalia.llm.bytetext import buffers
 from marginalia.llm.fragment_bpe import encoder
 from marginalia.llm.shared import Scratch
 
-#: Numbers of groups of equal cardinality to try; the plan with the fewest sequences is taken.
-GROUPS = (4, 6, 8, 12, 16, 24, 32, 64)
+#: Numbers of groups of equal cardinality, and shares of the capacity above which a length is large, to try; the plan
+#: with the fewest sequences is taken.
+GROUPS, SHARES = (4, 8, 16, 32, 64, 128), (2, 3, 4)
 
 
 @dataclass
@@ -122,19 +123,19 @@ def _configurations(sizes: list[int], counts: list[int], capacity: int) -> Itera
             yield list(chosen), times
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS) -> Plan:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS, shares: tuple[int, ...] = SHARES) -> Plan:
     """Where pieces go, by length and rank, in as few sequences as found; lengths are 1..capacity."""
     if any(not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    return min((_grouped_plan(histogram, capacity, g) for g in groups), key=lambda plan: plan.bins)
+    return min((_grouped_plan(histogram, capacity, g, s) for s in shares for g in groups), key=lambda plan: plan.bins)
 
 
-def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int) -> Plan:
+def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, share_of: int) -> Plan:
     planner = _Planner(capacity)
     if whole := histogram.get(capacity, 0):
         planner.put(capacity, 0, whole, 1, 0)
         planner.bins = whole
-    large = [(x, n) for x, n in sorted(histogram.items(), reverse=True) if capacity // 4 < x < capacity and n]
+    large = [(x, n) for x, n in sorted(histogram.items(), reverse=True) if capacity // share_of < x < capacity and n]
     total = sum(n for _, n in large)
     share = max(1, -(-total // groups))
     members: list[list[list[int]]] = []  # by group: [length, count], lengths descend
@@ -172,7 +173,7 @@ def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int) -> Plan
             planner.bins += n
             times -= n
     for x, n in sorted(histogram.items(), reverse=True):
-        if x <= capacity // 4 and n:
+        if x <= capacity // share_of and n:
             planner.fit(x, n)
     runs = np.array(sorted(planner.runs), np.int64).reshape(-1, 5)
     return Plan(*(np.ascontiguousarray(c) for c in runs.T), planner.bins)
