@@ -10,7 +10,7 @@ ABBREVIATIONS = ("e.g", "i.e", "et al", "cf", "vs", "Fig", "Eq", "Sec", "Tab", "
 # Patterns of lines of a table of contents, strict, loose and spaced.
 TOC_STRICT, TOC_LOOSE, TOC_SPACED = r"\.{4,}\s*[0-9]+\s*$", r"\.{4,}", r"(\.\s){4,}|\.{4,}"
 # The pattern that keeps a TeX line up to its first unescaped per cent sign.
-TEX_KEEP = r"^((?:\\.|[^%\\])*\\?)"
+TEX_KEEP = r"^((?:[^%\\]+|\\.)*\\?)"
 # Replacements that make text safe in TeX and in HTML.
 TEX_SPECIAL = (("{", r"\{"), ("}", r"\}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"))
 HTML_SPECIAL = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))

@@ -67,7 +67,7 @@ def tex_captions(tex: DataFrame, min_words: int = 6, listed: bool = False) -> Da
     """Floats without a caption or with a short one, and all others if ``listed``; comments count, as they stand."""
     pattern = rf"(?s){_LINE}\\begin\{{(figure|table)\*?\}}(.*?)\\end\{{\2\*?\}}"
     found = matches(marked_text(tex, F.col("text")), pattern, ord=1, env=2, body=3)
-    inner = r"[^{}\\]|\\."
+    inner = r"[^{}\\]++|\\."
     caption = rf"(?s)\\caption(?:\[[^\]]*\])?\{{((?:{inner}|\{{(?:{inner}|\{{(?:{inner})*\}})*\}})*)\}}"
     text = F.regexp_replace(F.regexp_extract(unmarked(F.col("body")), caption, 1), r"\\[A-Za-z]+\*?(\[[^\]]*\])?|\{|\}", " ")
     rows = found.withColumn("has", F.col("body").rlike(r"\\caption(?:\[[^\]]*\])?\{")).withColumn("words", word_count(text))

@@ -27,7 +27,7 @@ def kept(line):
 
 
 def test_comments(spark):
-    some = strings(2000, "a%\\ ", 9)
+    some = [*strings(2000, "a%\\ ", 9), "a b " * 100_000 + "% c", "x \\% " * 300]
     got = column(spark, some).select("i", tx.strip_tex_comment(F.col("t")).alias("x")).collect()
     assert all(r.x == kept(some[r.i]) for r in got)
 
