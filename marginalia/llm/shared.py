@@ -19,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's own limit, which suits narrower rows than texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python in smaller batches, so that neither side holds much of them at once."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:  # nobody has set it
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one run, written to the shared folder, so that a lost executor costs no more than its tasks.
 
@@ -27,6 +38,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
 
