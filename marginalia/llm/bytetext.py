@@ -98,17 +98,28 @@ def pieces(raw: np.ndarray, at: np.ndarray, size: int = PIECE) -> Iterator[tuple
         row = last
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by its content alone.
-
-    A polynomial over random byte values modulo 2**64, then mixed with the length.
-    """
+def range_sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A polynomial over random byte values modulo 2**64 for each byte range."""
     up, down = _power(len(values))
     total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE_VALUE[values] * down[: len(values)], out=total[1:])
-    h = (total[stop] - total[start]) * up[start]
-    return mix(h ^ ((stop - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    return (total[stop] - total[start]) * up[start]
+
+
+def followed(first: int, size: int, second: int) -> int:
+    """The ``range_sums`` of a range of ``size`` bytes and another after it, from theirs."""
+    return (first + second * pow(int(_MULT), -size, 1 << 64)) % (1 << 64)
+
+
+def sum_hashes(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges, from their ``range_sums`` mixed with their lengths."""
+    return mix(sums ^ (sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, by its content alone."""
+    return sum_hashes(range_sums(values, start, stop), stop - start)
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -78,6 +78,19 @@ def test_statistics_do_not_depend_on_the_batch(monkeypatch):
         assert np.allclose(text_statistics(*buffers(pa.array([t]))), whole[i])
 
 
+@pytest.mark.parametrize("tail", ["", "the end", "\n"])
+def test_lines_of_long_texts_are_counted_over_all_parts(tail):
+    r = random.Random(4)
+    wide = "wide line " * 150_000 + "\n"  # longer than a part
+    some = [prose(r, 20) + "\n" for _ in range(3000)]
+    texts = ["short\ntext\nshort\n", "".join(some * 10) + tail, wide * 2 + "a\n" + wide + "wide line\n" + tail, "same line here\n" * 200_000 + tail, "x y"]
+    x = dict(zip(STATISTICS, text_statistics(*buffers(pa.array(texts))).T, strict=True))
+    lines = [t.removesuffix("\n").split("\n") for t in texts]
+    ends = [[a + "\n" for a in own[:-1]] + [own[-1] + "\n" * t.endswith("\n")] for own, t in zip(lines, texts, strict=True)]
+    assert x["distinct lines"].tolist() == pytest.approx([len(set(own)) / len(own) for own in ends])
+    assert x["words to a line"].tolist() == pytest.approx([np.log1p(len(t.split()) / len(own)) for own, t in zip(ends, texts, strict=True)])
+
+
 def test_isotonic_fit():
     x, y = pool_adjacent(np.arange(5.0), np.array([1, 0, 2, 1, 4.0]), np.array([2, 2, 4, 2, 4.0]))
     assert np.allclose(y, [0.25, 0.5, 1.0]) and np.allclose(x, [0.5, (2 * 4 + 3 * 2) / 6, 4])
