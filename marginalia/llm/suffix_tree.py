@@ -10,8 +10,8 @@ frequent word and retained, else the root, which is the unigram distribution wit
 
 Counts of all words and all contexts of the training rows are gathered. Texts are handled in blocks: a block sends its
 distinct words or transitions, as sorted hashes, to the buckets of a hash; a bucket adds up what all blocks sent and
-answers each block with the numbers for its own. Nothing of the model is broadcast but the frequent words, whose
-number is fixed.
+answers each block with the numbers for its own. All transitions between frequent words are counted, too, by the word
+before. Nothing of the model is broadcast but the frequent words and some totals of each, whose number is fixed.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from marginalia.llm.shared import Scratch
 
 #: Frequent words, longest context, gain in nats from which on a context is retained.
 FREQUENT, LONGEST, GAIN = 4096, 3, 3.0
-#: Parts by which transitions between frequent words are counted, and such transitions of a part that are kept, the most common.
-PARTS, PAIRS = 16, 30_000
+#: Buckets by which transitions between frequent words are counted; each has all transitions of some words.
+PARTS = 128
 #: Bytes of text to a block and to a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: What is added to each count of the root's distribution.
@@ -112,47 +112,54 @@ def frequent_places(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.
     return before, own
 
 
+def frequent_pairs(block: Block, frequent: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct transitions between frequent words, the word before times ``width`` plus the next, with how often
+    each occurs in training rows; which tokens are such, the place of each of these among them, and the word before each token.
+    """
+    before, own = frequent_places(block, frequent)
+    both = (before >= 0) & (own >= 0)
+    found, counts, place = _distinct(before[both] * width + own[both], block.train[both])
+    return found, counts, both, place, before
+
+
+def _pair_cuts(keys: np.ndarray, width: int) -> np.ndarray:
+    return np.searchsorted(keys // width * PARTS // width, np.arange(PARTS + 1))
+
+
 @dataclass
 class Frequent:
-    """States of frequent words: transitions between them and what is left for other words. Of fixed size.
-
-    ``keys``: place of the word before, times ``width``, plus that of the next; sorted. By word: ``n`` occurrences,
-    ``kinds`` of next words, ``rest`` of the occurrences and of the root's probability, whether it is ``retained``.
+    """States of frequent words, by word: ``n`` occurrences, ``kinds`` of next words, ``rest`` of the occurrences and of
+    the root's probability for words it isn't followed by repeatedly, and whether it is ``retained``. Of fixed size.
     """
 
-    width: int
-    keys: np.ndarray
-    counts: np.ndarray
     n: np.ndarray
     kinds: np.ndarray
     rest: np.ndarray
     rest_root: np.ndarray
     retained: np.ndarray
 
-    def probability(self, before: np.ndarray, own: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Of each token after a frequent word whose state is retained; the root's for others."""
+    def probability(self, before: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Of each token after a frequent word whose state is retained, by its transition's count; the root's for others."""
         state = before >= 0
         state[state] = self.retained[before[state]]
         out = root.copy()
-        f, p = before[state], root[state]
-        key = f * self.width + own[state]
-        place = np.searchsorted(self.keys, key)
-        place[place == len(self.keys)] = 0
-        known = (own[state] >= 0) & (self.keys[place] == key)
-        mass = np.where(known, self.counts[place], self.rest[f] * p / self.rest_root[f])
+        f, p, c = before[state], root[state], counts[state]
+        mass = np.where(c > 1, c, self.rest[f] * p / self.rest_root[f])
         out[state] = (mass + self.kinds[f] * p) / (self.n[f] + self.kinds[f])
         return out
 
 
-def frequent_states(keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray, n: np.ndarray, root: np.ndarray) -> Frequent:
-    """``keys`` with their counts; by frequent word: kinds of next words, occurrences, probability at the root."""
-    f, w = keys // FREQUENT, keys % FREQUENT
+def frequent_states(sums: np.ndarray, n: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Kinds, rest, rest at the root, and gain of frequent words: ``sums`` by word and next one, ``n`` by word, ``root`` by next one."""
+    kinds = (sums > 0).sum(1)
+    f, w = np.nonzero(sums > 1)
+    counts = sums[f, w]
     total = lambda v: np.bincount(f, v, len(n)).astype(np.float64)
     rest = n - total(counts)
     rest_root = np.maximum(1 - total(root[w]), 1e-12)
     gain = total(counts * np.log((counts - 1 + kinds[f] * root[w]) / ((n[f] - 1 + kinds[f]) * root[w])))
     gain += np.where(rest > 0, rest * np.log((np.maximum(rest - 1, 0) / rest_root + kinds) / np.maximum(n - 1 + kinds, 1) + 1e-300), 0)
-    return Frequent(FREQUENT, keys, counts, n, kinds, rest, rest_root, (gain > GAIN) & (kinds > 0))
+    return np.stack([kinds, rest, rest_root, gain])
 
 
 def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +178,7 @@ _SENT = "bucket int, block long, keys binary, counts binary"
 def _send(docs: DataFrame, buckets: int, frequent: np.ndarray | None) -> DataFrame:
     """What the blocks ask for: their distinct words or, if ``frequent`` is given, transitions, with own counts."""
 
-    size = BLOCK_BYTES
+    size, width = BLOCK_BYTES, FREQUENT
 
     def of(block: Block, number: int) -> Iterator[pa.RecordBatch]:
         keys = block.words if frequent is None else transitions(block, frequent)
@@ -182,10 +189,8 @@ def _send(docs: DataFrame, buckets: int, frequent: np.ndarray | None) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_sorted(found[part])], pa.binary()), pa.array([_planes(counts[part])], pa.binary())], ["bucket", "block", "keys", "counts"])
         if frequent is None:
             return
-        before, own = frequent_places(block, frequent)
-        both = (before >= 0) & (own >= 0) & block.train
-        found, counts = np.unique(before[both] * FREQUENT + own[both], return_counts=True)
-        cuts = np.searchsorted(found // FREQUENT * PARTS // FREQUENT, np.arange(PARTS + 1))
+        found, counts, *_ = frequent_pairs(block, frequent, width)
+        cuts = _pair_cuts(found, width)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
             yield pa.RecordBatch.from_arrays([pa.array([buckets + b], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_sorted(found[part].astype(np.uint64))], pa.binary()), pa.array([_planes(counts[part])], pa.binary())], ["bucket", "block", "keys", "counts"])
@@ -294,15 +299,31 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     known, chance = known[by_next], ((often + ADDED) / divisor)[by_next]
     rare = (float(often.min() if len(often) else 0) + ADDED) / divisor
 
+    width, at_root = FREQUENT, (often + ADDED) / divisor
+
+    def answer_pairs(table: pa.Table, bucket: int) -> pa.Table:
+        """Counts of all transitions that each block asks for, and for the whole: the states of the bucket's words."""
+        f = np.arange(-(-(bucket - buckets) * width // PARTS), min(-(-(bucket - buckets + 1) * width // PARTS), len(frequent)))
+        sent, sums = table.column("keys"), np.zeros(len(f) * width, np.int64)
+        own = lambda x: unpack_sorted(x.as_py()).astype(np.int64) - f[0] * width
+        for x, counts in zip(sent, table.column("counts"), strict=True):
+            sums[own(x)] += _from_planes(counts.as_py())
+        answers = [_planes(sums[own(x)]) for x in sent]
+        states = frequent_states(sums.reshape(-1, width)[:, : len(often)], often[f], at_root)
+        n = len(answers) + 1
+        return pa.table(
+            [
+                pa.array([bucket] * n, pa.int32()), pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([None] * n, pa.binary()),
+                pa.array([*answers, None], pa.binary()), pa.array([None] * (n - 1) + [f.tobytes()], pa.binary()), pa.array([None] * (n - 1) + [states.tobytes()], pa.binary()),
+            ],
+            names=["bucket", "block", "hits", "sums", "n", "d"],
+        )
+
     def answer(table: pa.Table) -> pa.Table:
-        blocks, keys, bounds, place, sums = _added(table)
         bucket = table.column("bucket")[0].as_py()
-        if bucket >= buckets:  # transitions between frequent words
-            f, kinds = np.unique(keys // np.uint64(FREQUENT), return_counts=True)
-            kept = np.sort(np.argsort(-sums, kind="stable")[:PAIRS])
-            kept = kept[sums[kept] > 1]
-            row = (pack_sorted(keys[kept]), _planes(sums[kept]), _planes(f), _planes(kinds))
-            return pa.table([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["bucket", "block", "hits", "sums", "n", "d"])
+        if bucket >= buckets:
+            return answer_pairs(table, bucket)
+        blocks, keys, bounds, place, sums = _added(table)
         nxt = keys & low
         where = np.searchsorted(known, nxt)
         where[where == len(known)] = 0
@@ -317,11 +338,11 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
         return pa.table([pa.array([bucket] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(4))], names=["bucket", "block", "hits", "sums", "n", "d"])
 
     states = scratch.save(_send(rows, buckets, frequent).applyInArrow(answer, "bucket int, block long, hits binary, sums binary, n binary, d binary"), "states")
-    pairs = sorted(states.where("block is null").collect(), key=lambda r: r["bucket"])  # PARTS rows of PAIRS transitions at most
-    joined = [np.concatenate([np.zeros(0, np.int64), *parts]) for parts in ([unpack_sorted(r["hits"]).astype(np.int64) for r in pairs], *([_from_planes(r[c]) for r in pairs] for c in ("sums", "n", "d")))]
-    kinds_of = np.zeros(len(frequent), np.int64)
-    kinds_of[joined[2]] = joined[3]
-    common = frequent_states(joined[0], joined[1], kinds_of, often, (often + ADDED) / divisor)
+    of_words = np.stack([np.zeros(len(often)), often, np.ones(len(often)), np.full(len(often), -np.inf)])  # without transitions
+    for r in states.where("block is null").select("n", "d").collect():  # PARTS rows at most, a few numbers of each frequent word
+        of_words[:, np.frombuffer(r["n"], np.int64)] = np.frombuffer(r["d"], np.float64).reshape(4, -1)
+    kinds_of, rest, rest_root, gain = of_words
+    common = Frequent(often, kinds_of, rest, rest_root, (gain > GAIN) & (kinds_of > 0))
     fields = [rows.schema[key]]
     tagged = _tagged(rows, key)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("hits", "binary"), ("sums", "binary"), ("n", "binary"), ("d", "binary"))]
@@ -354,8 +375,16 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
             if hits is not None:
                 where = cuts[b] + unpack_sorted(hits).astype(np.int64)
                 sums[where], often_of[where], kinds[where] = _from_planes(s), _from_planes(m), _from_planes(d)
-        before, after = frequent_places(block, frequent)
-        shorter = common.probability(before, after, root) if len(common.keys) else root
+        pairs, _, both, pair, before = frequent_pairs(block, frequent, width)
+        cuts, repeated = _pair_cuts(pairs, width), np.full(len(pairs), -1)
+        for b, hits, s in zip(table["bucket"], table["hits"], table["sums"], strict=True):
+            if b >= buckets and hits is None:
+                repeated[cuts[b - buckets] : cuts[b - buckets + 1]] = _from_planes(s)
+        if (repeated < 0).any():
+            raise RuntimeError("a block isn't what it was: its rows were read in another order or partition")
+        follows = np.zeros(n, np.int64)
+        follows[both] = repeated[pair]
+        shorter = common.probability(before, follows, root) if len(frequent) else root
         state = often_of[place] > 0
         tree = np.where(state, (sums[place] + kinds[place] * shorter) / np.maximum(often_of[place] + kinds[place], 1), shorter)
         state |= (before >= 0) & common.retained[before] if len(frequent) else False

@@ -126,6 +126,17 @@ def test_long_texts_and_empty_tables(spark):
     assert score_contexts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_all_repeated_transitions_of_frequent_words_count(spark):
+    # every second word is followed by each of 900 others, twice: more transitions than any fixed table holds
+    firsts, nexts = [f"a{i}" for i in range(700)], [f"b{i}" for i in range(900)]
+    rows = [(i * 2 + k, " ".join(f"{a} {b} z{i}x{j}y{k}" for j, b in enumerate(nexts))) for i, a in enumerate(firsts) for k in range(2)]
+    got = score_contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    both = [r for r in got if r.doc_id not in held and r.doc_id ^ 1 not in held]
+    gains = [(r.score - r.base_score) / 900 for r in both]
+    assert len(both) > 1000 and max(gains) - min(gains) < 0.01  # no word's transitions are told from another's by their bucket
+
+
 def test_only_repeated_transitions_keep_a_context():
     key = lambda s, w: np.uint64(s << 30 | w)
     keys = np.array([key(1, 1), key(1, 2), key(2, 1), key(3, 5), key(4, 7)])
