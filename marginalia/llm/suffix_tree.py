@@ -80,8 +80,8 @@ def tokens(raw: np.ndarray, at: np.ndarray, learn: np.ndarray) -> Block:
     return Block(np.concatenate(words) if words else np.zeros(0, np.uint64), row, learn[row], len(at) - 1)
 
 
-def transitions(block: Block, frequent: np.ndarray) -> np.ndarray:
-    """A key for each token: the hash of its context above, that of the token itself below."""
+def contexts(block: Block, frequent: np.ndarray) -> np.ndarray:
+    """The hash of each token's context."""
     words, n = block.words, len(block.words)
     context = np.zeros(n, np.uint64)
     open_ = np.ones(n, bool)
@@ -96,8 +96,14 @@ def transitions(block: Block, frequent: np.ndarray) -> np.ndarray:
         place[place == len(frequent)] = 0
         common = frequent[place] == earlier if len(frequent) else np.zeros(n, bool)
         open_ &= common & inside
-    low = np.uint64((1 << _NEXT_BITS) - 1)
-    return (mix(context) & ~low) | (mix(words) & low)
+    return mix(context)
+
+
+def transitions(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts and next words, sorted by context, how often each two occur in training rows, and their place by token."""
+    context, words = contexts(block, frequent), block.words
+    context_of, next_of, place = _distinct_pairs(context, words)
+    return context_of, next_of, np.bincount(place[block.train], minlength=len(context_of)), place
 
 
 def frequent_places(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +174,21 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, np.bincount(place[train], minlength=len(found)), place
 
 
+def _distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and the place of each pair among them."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[new], b[new], place
+
+
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-_SENT = "bucket int, block long, keys binary, counts binary"
+_SENT = "bucket int, block long, keys binary, next binary, counts binary"
 
 
 def _send(docs: DataFrame, buckets: int, frequent: np.ndarray | None) -> DataFrame:
@@ -180,20 +196,26 @@ def _send(docs: DataFrame, buckets: int, frequent: np.ndarray | None) -> DataFra
 
     size, width = BLOCK_BYTES, FREQUENT
 
+    def sent_row(bucket: int, number: int, keys: np.ndarray, nexts: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+        parts = pack_sorted(keys), None if nexts is None else nexts.astype("<u8").tobytes(), _planes(counts)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], ["bucket", "block", "keys", "next", "counts"])
+
     def of(block: Block, number: int) -> Iterator[pa.RecordBatch]:
-        keys = block.words if frequent is None else transitions(block, frequent)
-        found, counts, _ = _distinct(keys, block.train)
+        if frequent is None:
+            (found, counts, _), nexts = _distinct(block.words, block.train), None
+        else:
+            found, nexts, counts, _ = transitions(block, frequent)
         cuts = _cuts(found, buckets)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_sorted(found[part])], pa.binary()), pa.array([_planes(counts[part])], pa.binary())], ["bucket", "block", "keys", "counts"])
+            yield sent_row(b, number, found[part], None if nexts is None else nexts[part], counts[part])
         if frequent is None:
             return
         found, counts, *_ = frequent_pairs(block, frequent, width)
         cuts = _pair_cuts(found, width)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([buckets + b], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_sorted(found[part].astype(np.uint64))], pa.binary()), pa.array([_planes(counts[part])], pa.binary())], ["bucket", "block", "keys", "counts"])
+            yield sent_row(buckets + b, number, found[part].astype(np.uint64), None, counts[part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -218,6 +240,17 @@ def _added(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarr
     return blocks, distinct, bounds, place, np.bincount(place, counts, len(distinct)).astype(np.int64)
 
 
+def _added_pairs(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_added``, with distinct contexts and next words; a context is given by its rank, as ``retained`` takes it."""
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    bounds = np.append(0, np.cumsum([len(k) for k in keys]))
+    counts = np.concatenate([_from_planes(x) for x in table.column("counts").to_pylist()])
+    nexts = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("next").to_pylist()])
+    context, nxt, place = _distinct_pairs(np.concatenate(keys), nexts)
+    rank = np.cumsum(np.append(False, context[1:] != context[:-1])[: len(context)]).astype(np.uint64) << np.uint64(_NEXT_BITS)
+    return table.column("block").to_pylist(), rank, nxt, bounds, place, np.bincount(place, counts, len(context)).astype(np.int64)
+
+
 def _answer_words(table: pa.Table) -> pa.Table:
     """Counts for each block, and for the whole: tokens, distinct words and the commonest ones."""
     blocks, distinct, bounds, place, sums = _added(table)
@@ -238,7 +271,7 @@ def _answer_words(table: pa.Table) -> pa.Table:
 
 
 def retained(keys: np.ndarray, sums: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By key (sorted): whether its context is retained, how often that occurs, and with how many next words.
+    """By key (sorted; the context's number above ``_NEXT_BITS``): whether its context is retained, how often that occurs, and with how many next words.
 
     ``probability``: of each key's next word at the root, or a bound above it.
     """
@@ -293,13 +326,10 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     order = np.argsort(frequent)
     frequent, often = frequent[order], often[order]
     divisor = total + ADDED * (distinct + 1)
-    low = np.uint64((1 << _NEXT_BITS) - 1)
-    known = mix(frequent) & low
-    by_next = np.argsort(known)
-    known, chance = known[by_next], ((often + ADDED) / divisor)[by_next]
+    chance = (often + ADDED) / divisor
     rare = (float(often.min() if len(often) else 0) + ADDED) / divisor
 
-    width, at_root = FREQUENT, (often + ADDED) / divisor
+    width = FREQUENT
 
     def answer_pairs(table: pa.Table, bucket: int) -> pa.Table:
         """Counts of all transitions that each block asks for, and for the whole: the states of the bucket's words."""
@@ -309,7 +339,7 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
         for x, counts in zip(sent, table.column("counts"), strict=True):
             sums[own(x)] += _from_planes(counts.as_py())
         answers = [_planes(sums[own(x)]) for x in sent]
-        states = frequent_states(sums.reshape(-1, width)[:, : len(often)], often[f], at_root)
+        states = frequent_states(sums.reshape(-1, width)[:, : len(often)], often[f], chance)
         n = len(answers) + 1
         return pa.table(
             [
@@ -323,11 +353,10 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:
             return answer_pairs(table, bucket)
-        blocks, keys, bounds, place, sums = _added(table)
-        nxt = keys & low
-        where = np.searchsorted(known, nxt)
-        where[where == len(known)] = 0
-        probability = np.where(known[where] == nxt, chance[where], rare) if len(known) else np.full(len(keys), rare)
+        blocks, keys, nxt, bounds, place, sums = _added_pairs(table)
+        where = np.searchsorted(frequent, nxt)
+        where[where == len(frequent)] = 0
+        probability = np.where(frequent[where] == nxt, chance[where], rare) if len(frequent) else np.full(len(keys), rare)
         good, n, d = retained(keys, sums, probability)
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -368,7 +397,7 @@ def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
             raise RuntimeError("a block isn't what it was: its rows were read in another order or partition")
         own = counts[place]
         root = (own + ADDED) / divisor
-        found, _, place = _distinct(transitions(block, frequent), block.train)
+        found, _, _, place = transitions(block, frequent)
         cuts = _cuts(found, buckets)
         sums, often_of, kinds = (np.zeros(len(found)) for _ in range(3))
         for b, hits, s, m, d in zip(*(table[c] for c in ("bucket", "hits", "sums", "n", "d")), strict=True):

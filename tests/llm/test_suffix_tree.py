@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from marginalia.llm import suffix_tree
-from marginalia.llm.bytetext import buffers
+from marginalia.llm.bytetext import buffers, mix, word_hashes
 from marginalia.llm.suffix_tree import retained, score_contexts, tokens
 
 
@@ -137,6 +137,31 @@ def test_all_repeated_transitions_of_frequent_words_count(spark):
     assert len(both) > 1000 and max(gains) - min(gains) < 0.01  # no word's transitions are told from another's by their bucket
 
 
+def test_contexts_and_next_words_of_like_hashes_are_told_apart():
+    block = tokens(*buffers(pa.array(["a b"])), np.array([True]))
+    like = np.array([7, 7 ^ 1, 7 ^ (1 << 35), 7], np.uint64)  # these differ in one bit of 64
+    first, second, place = suffix_tree._distinct_pairs(np.concatenate([like, np.full(4, 9, np.uint64)]), np.concatenate([np.full(4, 9, np.uint64), like]))
+    assert len(first) == 6 and place[0] == place[3] and place[4] == place[7] and len(set(place.tolist())) == 6
+    context, nxt, counts, place = suffix_tree.transitions(block, np.zeros(0, np.uint64))
+    assert counts.tolist() == [1, 1, 1] and (nxt[place] == block.words).all()
+    table = pa.table({"block": [0, 1], "keys": [suffix_tree.pack_sorted(np.array([8, 9], np.uint64)), suffix_tree.pack_sorted(np.array([8], np.uint64))], "next": [np.array([5, 5], "<u8").tobytes(), np.array([5 + (1 << 40)], "<u8").tobytes()], "counts": [suffix_tree._planes(np.array([2, 3])), suffix_tree._planes(np.array([1]))]})
+    _, keys, nxt, _, place, sums = suffix_tree._added_pairs(table)
+    assert (keys >> np.uint64(30)).tolist() == [0, 0, 1] and nxt.tolist() == [5, 5 + (1 << 40), 5] and sums.tolist() == [2, 1, 3] and place.tolist() == [0, 2, 1]
+
+
+def test_an_unseen_word_is_not_taken_for_one_of_a_like_hash(spark):
+    names = [f"u{i}" for i in range(200_000)]
+    _, hashes = word_hashes(*buffers(pa.array([" ".join(names)])))
+    low = mix(hashes) & np.uint64((1 << 30) - 1)
+    order = np.argsort(low)
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
+    seen, like = names[order[at]], names[order[at + 1]]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, f"before {seen}") for i in range(200) if i not in held] + [(held[0], f"before {like}"), (held[1], "before unknown")]
+    got = {r.doc_id: r for r in score_contexts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].score == pytest.approx(got[held[1]].score) and got[held[0]].n_states == got[held[1]].n_states
+
+
 def test_only_repeated_transitions_keep_a_context():
     key = lambda s, w: np.uint64(s << 30 | w)
     keys = np.array([key(1, 1), key(1, 2), key(2, 1), key(3, 5), key(4, 7)])
