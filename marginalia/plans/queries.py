@@ -788,6 +788,11 @@ def t3_contiguous_prefix(spark, d):
     return judge.contiguous_prefix(done, "conv_id", "turn").select("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE p = turn")
+def t3_contiguous_prefix_of_all(spark, d):
+    return judge.contiguous_prefix(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn")
+
+
 @query("SELECT bib_id, ord, sim FROM candidates WHERE sim = 1.0", ("candidates",))
 def f8_title_similarity(spark, d):
     """Candidates whose squeezed title is the entry's: a matching-blocks ratio of 1."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import relations
 from marginalia.plans import judge
 from marginalia.plans.fixtures import frame
+from marginalia.plans.queries import QUERIES
 from marginalia.sources import bibtex, files
 from marginalia.streaming.introduced import forward_terms
 
@@ -89,6 +90,13 @@ def test_the_judge_shell(spark):
     assert {(r.doc_id, r.ix) for r in judge.contiguous_prefix(done).collect()} == {(1, 0), (1, 1)}
 
 
+def test_the_prefix_of_whole_conversations_ends_at_a_gap(spark, tmp_path):
+    rows = [(1, t) for t in range(7)] + [(2, t) for t in (0, 1, 2, 3, 4, 6, 7)] + [(3, 1), (3, 2)]
+    spark.createDataFrame(rows, "conv_id int, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in QUERIES["t3_contiguous_prefix_of_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, t) for t in range(7)} | {(2, t) for t in range(5)}
+
+
 def test_the_stream_gives_what_the_batch_gives(spark, tmp_path):
     from marginalia.operators.sequences import introduced_before
 
