@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once; temporaries are about forty times as large.
 PIECE = 1 << 20
-_SEED = 0x9E3779B97F4A7C15
-_MULT = np.uint64(0xD6E8FEB86659FD93)
+#: Ranges of more bytes are hashed one by one.
+SHORT = 64
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,30 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, PIECE + (PIECE >> 3))
-        inverse = pow(int(_MULT), -1, 1 << 64)
-        for name, base in (("up", int(_MULT)), ("down", inverse)):
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            done, step = 1, base
-            while done < size:
-                k = min(done, size - done)
-                out[done : done + k] = out[:k] * np.uint64(step)
-                done += k
-                step = step * step % (1 << 64)
-            _powers[name] = out
-    return _powers["up"], _powers["down"]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,28 +81,47 @@ def pieces(raw: np.ndarray, at: np.ndarray, size: int = PIECE) -> Iterator[tuple
         row = last
 
 
-def range_sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A polynomial over random byte values modulo 2**64 for each byte range."""
-    up, down = _power(len(values))
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE_VALUE[values] * down[: len(values)], out=total[1:])
-    return (total[stop] - total[start]) * up[start]
-
-
-def followed(first: int, size: int, second: int) -> int:
-    """The ``range_sums`` of a range of ``size`` bytes and another after it, from theirs."""
-    return (first + second * pow(int(_MULT), -size, 1 << 64)) % (1 << 64)
-
-
-def sum_hashes(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ranges, from their ``range_sums`` mixed with their lengths."""
-    return mix(sums ^ (sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+def _eights(values: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last."""
+    padded = np.concatenate([values, np.zeros(8, np.uint8)])
+    return np.ndarray(len(values) + 1, "<u8", padded, strides=(1,))
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by its content alone."""
-    return sum_hashes(range_sums(values, start, stop), stop - start)
+    """A 64-bit hash of each byte range, by its content alone.
+
+    Eight bytes at a time are mixed in, so that ranges of up to eight bytes and one length never collide; a longer range
+    than SHORT is hashed by xxh3.
+    """
+    size = stop - start
+    eights = _eights(values)
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _SEED)
+    own = np.flatnonzero((size > 0) & (size <= SHORT))
+    done = 0
+    while len(own):
+        out[own] = mix(out[own] ^ (eights[start[own] + done] & _KEEP[np.minimum(size[own] - done, 8)]))
+        done += 8
+        own = own[size[own] > done]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(values[start[i] : stop[i]], 7)
+    return out
+
+
+def same_ranges(values: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each byte range has the same bytes as the range numbered ``other``."""
+    size = stop - start
+    same = size == size[other]
+    eights = _eights(values)
+    own = np.flatnonzero(same & (size <= SHORT) & (other != np.arange(len(other))))
+    done = 0
+    while len(own):
+        keep = _KEEP[np.minimum(size[own] - done, 8)]
+        same[own] &= ((eights[start[own] + done] ^ eights[start[other[own]] + done]) & keep) == 0
+        done += 8
+        own = own[size[own] > done]
+    for i in np.flatnonzero(same & (size > SHORT) & (other != np.arange(len(other)))).tolist():
+        same[i] = np.array_equal(values[start[i] : stop[i]], values[start[other[i]] : stop[other[i]]])
+    return same
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 A byte pair that occurs inside no token of the vocabulary marks a certain cut: no token can span it, and
 merges on its two sides never meet. Texts are cut there, and where the tokenizer's own pre-tokenisation
-cuts, all on numpy arrays; each distinct fragment is merged once, and the ids are gathered back in order.
+cuts, all on numpy arrays; each distinct fragment, by its bytes, is merged once, and the ids are gathered back in order.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.bytetext import PIECE, buffers, gather_ranges, range_hashes
+from marginalia.llm.bytetext import PIECE, buffers, gather_ranges, range_hashes, same_ranges
 
 _OTHER, _LETTER, _NUMBER, _WHITE, _EDGE = range(5)
-#: Distinct fragments that a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+#: Distinct fragments that a worker remembers before it starts anew, and their bytes; bounds its memory.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
 
 
 @cache
@@ -87,13 +87,14 @@ class FragmentBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[int, int] = {}
+        self._known: dict[bytes, int] = {}
+        self._known_bytes = 0
         self._counts = np.zeros(1024, np.int64)
         self._starts = np.zeros(1024, np.int64)
         self._ids = np.zeros(4096, np.uint32)
         self._used = 0
 
-    def _remember(self, hashes: np.ndarray, fragments: list[bytes]) -> None:
+    def _remember(self, fragments: list[bytes]) -> None:
         found = [self._merge(x) for x in fragments]
         first, n = len(self._known), len(found)
         flat = np.fromiter((i for ids in found for i in ids), np.uint32)
@@ -106,7 +107,8 @@ class FragmentBPE:
         self._starts[first : first + n] = self._used + np.cumsum(counts) - counts
         self._ids[self._used : self._used + len(flat)] = flat
         self._used += len(flat)
-        self._known.update(zip(hashes.tolist(), range(first, first + n), strict=True))
+        self._known.update(zip(fragments, range(first, first + n), strict=True))
+        self._known_bytes += sum(map(len, fragments))
 
     def fragment_starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Byte positions, in order, at which a fragment starts; each row is a text of its own."""
@@ -159,16 +161,19 @@ class FragmentBPE:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         start = self.fragment_starts(raw, at)
         stop = np.append(start[1:], len(raw))
-        hashes, first, back = np.unique(range_hashes(raw, start, stop), return_index=True, return_inverse=True)
-        if len(self._known) > REMEMBERED:
+        text = raw.tobytes()
+        _, first, back = np.unique(range_hashes(raw, start, stop), return_index=True, return_inverse=True)
+        if not same_ranges(raw, start, stop, first[back]).all():  # different fragments have the same hash: told apart by their bytes
+            number: dict[bytes, int] = {}
+            back = np.array([number.setdefault(text[a:b], len(number)) for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+            _, first = np.unique(back, return_index=True)
+        if len(self._known) > REMEMBERED or self._known_bytes > REMEMBERED_BYTES:
             self._forget()
-        listed = hashes.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self._known]
+        fragments = [text[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        new = [x for x in fragments if x not in self._known]
         if new:
-            text = raw.tobytes()
-            spans = first[new]
-            self._remember(hashes[new], [text[a:b] for a, b in zip(start[spans].tolist(), stop[spans].tolist(), strict=True)])
-        place = np.fromiter(map(self._known.__getitem__, listed), np.int64, len(listed))[back]
+            self._remember(new)
+        place = np.fromiter(map(self._known.__getitem__, fragments), np.int64, len(fragments))[back]
         counts = self._counts[place]
         ids = self._ids[gather_ranges(self._starts[place], counts)]
         total = np.append(0, np.cumsum(counts))

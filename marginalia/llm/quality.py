@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.bytetext import buffers, followed, pieces, range_hashes, range_sums, row_words, sum_hashes
+from marginalia.llm.bytetext import PIECE, buffers, pieces, range_hashes, row_words
 from marginalia.llm.labelled import remainder, training_labels
 from marginalia.llm.shared import Scratch
 
@@ -54,32 +54,19 @@ def _distinct(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(owner, minlength=n), top
 
 
-class _LongLines:
-    """Lines of a text given in parts, which may end within a line: their number, and their distinct hashes by 40 bits."""
-
-    def __init__(self):
-        self.bytes = self.lines = 0
-        self.found = np.zeros(0, np.uint64)
-        self.open_sum = self.open_size = 0  # of the line that the last part ended in
-
-    def add(self, part: np.ndarray) -> None:
-        ends = np.flatnonzero(part == 10) + 1
-        start, stop = np.append(0, ends), np.append(ends, len(part))
-        sums, sizes = range_sums(part, start, stop), stop - start
-        sums[0] = followed(self.open_sum, self.open_size, int(sums[0]))
-        sizes[0] += self.open_size
-        self.open_sum, self.open_size = int(sums[-1]), int(sizes[-1])
-        self._count(sums[:-1], sizes[:-1])
-        self.bytes += len(part)
-
-    def end(self) -> tuple[int, int]:
-        if self.open_size:
-            self._count(np.array([self.open_sum], np.uint64), np.array([self.open_size]))
-        return self.lines, len(self.found)
-
-    def _count(self, sums: np.ndarray, sizes: np.ndarray) -> None:
-        self.lines += len(sums)
-        self.found = np.union1d(self.found, sum_hashes(sums, sizes) >> np.uint64(24))
+def _long_lines(row: np.ndarray) -> tuple[int, int]:
+    """Lines of one long text, and how many distinct ones by 40 bits of their hashes; some lines at once."""
+    ends = np.flatnonzero(row == 10) + 1
+    start = np.append(0, ends)
+    start = start[start < len(row)]
+    stop = np.append(start[1:], len(row))
+    found, i = np.zeros(0, np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + PIECE, "right")))
+        a, b = start[i], stop[j - 1]
+        found = np.union1d(found, range_hashes(row[a:b], start[i:j] - a, stop[i:j] - a) >> np.uint64(24))
+        i = j
+    return len(start), len(found)
 
 
 def text_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -87,16 +74,13 @@ def text_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(at) - 1
     counts = np.zeros((n, _KINDS), np.int64)
     lines, kinds = np.ones(n, np.int64), np.ones(n, np.int64)
-    long = _LongLines()
+    for i in np.flatnonzero(np.diff(at) > PIECE).tolist():
+        lines[i], kinds[i] = _long_lines(raw[at[i] : at[i + 1]])
     for part, where, first in pieces(raw, at):
         size = np.diff(where)
         rows = np.repeat(np.arange(len(size)), size)
         counts[first : first + len(size)] += np.bincount(rows * _KINDS + _CLASS[part], minlength=len(size) * _KINDS).reshape(-1, _KINDS)
-        if len(size) == 1 and len(part) < at[first + 1] - at[first]:  # a part of a long text
-            long.add(part)
-            if long.bytes == at[first + 1] - at[first]:
-                lines[first], kinds[first] = long.end()
-                long = _LongLines()
+        if at[first + 1] - at[first] > PIECE:  # a part of a long text
             continue
         head = np.zeros(len(part) + 1, bool)
         head[where[:-1]] = True

@@ -8,6 +8,8 @@ from tokenizers import Tokenizer
 
 from marginalia.llm.packing import pack, plan_packing
 
+from tests.llm.alike import mirrored
+
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -50,7 +52,7 @@ def test_best_possible_plans():
 
 
 def test_documents_are_cut_and_placed(spark):
-    texts = ["a b c", None, "", "word " * 30, "x y " * 200, "word " * 30] + [f"some text {i} " * (i % 9) for i in range(120)]
+    texts = ["a b c", None, "", "word " * 30, "x y " * 200, "word " * 30] + [f"some text {i} " * (i % 9) for i in range(120)] + [*mirrored()]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "null key", 1), (3, texts[3], 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(3)
     model = Tokenizer.from_file(BPE)

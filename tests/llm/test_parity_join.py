@@ -7,6 +7,7 @@ from marginalia.llm.components import connected_components, forest
 from marginalia.llm.parity_join import jaccard_groups, similar, sketch
 from marginalia.llm.shared import Scratch
 
+from tests.llm.alike import mirrored
 
 def brute(rows):
     """(key, n, component) by comparing all pairs; rows: (key, text)."""
@@ -77,6 +78,7 @@ def test_a_large_group_of_near_copies(spark):
 def test_nulls_empty_texts_repeated_rows_and_spellings(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one\ttwo"), (6, "two one"), (None, "one two"), (7, "a b c d e f g h"), (7, "a b c d e f g h"), (8, "x y z"), (9, "É b c d e"), (10, "é b c d e"), (8, "p q r"), (11, "P Q R")]
     rows += [(12, "long word " * 80_000), (13, "LONG word " * 80_001), (14, "z" * 300_000)]
+    rows += [(20 + i, t) for i, t in enumerate(mirrored())] + [(22 + i, f"a b c d e {t} f g") for i, t in enumerate(mirrored(12))]
     got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(a), b, c) for a, b, c in got) == brute(rows)
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 from marginalia.llm.fragment_bpe import encode_decode, encoder
 from marginalia.llm.token_counts import count_texts, token_counts
 
+from tests.llm.alike import mirrored
+
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = [*" \n\t\r'strmvledabcXY019.,!?-é日🙂́Ⅷ½\x85 <|>▁", "  ", "'s", "'ll", " '", "<|endoftext|>", "<s>", "the ", "Ünder ", "12 "]
 
@@ -22,6 +24,7 @@ def texts(n, longest=60, seed=5):
 def frame(spark):
     rows = [(i, t) for i, t in enumerate(texts(400))]
     rows += [(500, None), (501, ""), (None, "a b"), (1, rows[1][1]), (502, "word " * 400_000), (503, "x" * 200_000), (504, "a'll b's " * 150_000)]
+    rows += [(510 + i, t) for i, t in enumerate(mirrored())]
     return spark.createDataFrame([(*x, "clash", 7) for x in rows], "doc_id long, text string, ids string, n_tokens int"), rows
 
 
