@@ -38,7 +38,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability, by the unigram base and by the suffix tree."""
-    return score_contexts(_table(spark, sf_dir, "documents"), stable=True)
+    return score_contexts(_table(spark, sf_dir, "documents"))
 
 
 def op3_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of its own only where none is named."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Where none is named, a folder of its own if all runs on one machine; else ValueError, since executors couldn't read it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        named = spark.sparkContext.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def trim() -> None:
+    """Gives freed memory of this worker back to the system, which neither Arrow nor the C library does on their own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 #: Bytes of an Arrow batch, where the session leaves Spark's own limit, which suits narrower rows than texts.
@@ -52,6 +67,11 @@ class Scratch:
         frame.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
 
+    def free_shuffles(self) -> None:
+        """Has the driver notice which shuffles nobody reads any more, so that executors delete their files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         fs, path = self._path(f"{self.root}/{name}")
         fs.delete(path, True)

@@ -1,17 +1,21 @@
 """LM scoring (operator 2): a probabilistic suffix tree over words.
 
-A state is a context of one to three words. Contexts vary in length: one grows to the left as long as its leftmost
-word is a frequent one, since such a word alone tells little. A context is retained if its own next-word
-distribution predicts the training text better than the root's, each occurrence judged by the others (a
-divergence test that leaves one out). A word's probability comes from the
-longest suffix that is a retained state, smoothed by as many pseudo-counts as the state has
-different next words. Where it isn't retained, or to smooth it, its last word's state stands in if that is a
-frequent word and retained, else the root, which is the unigram distribution with 0.1 added to each count.
-
-Counts of all words and all contexts of the training rows are gathered. Texts are handled in blocks: a block sends its
-distinct words or transitions, as sorted hashes, to the buckets of a hash; a bucket adds up what all blocks sent and
-answers each block with the numbers for its own. All transitions between frequent words are counted, too, by the word
-before. Nothing of the model is broadcast but the frequent words and some totals of each, whose number is fixed.
+A state is a context of one to LONGEST words; its parent is the context without the leftmost word, and the root is
+the unigram distribution with 0.1 added to each count. A state's next-word distribution is smoothed by its parent's:
+
+    P(word | context) = (count of both + a * P(word | parent)) / (count of the context + a),  a = MASS * count ** POWER
+
+A context of any length is retained if it diverges from its parent: if its own distribution predicts what followed it
+in the training text better than the parent's by more than GAIN nats, each occurrence judged by the others alone (one is
+left out of the context's counts). A word is scored from the longest suffix of its past that is retained; for one that
+isn't, the parent stands in, down to the root. A context that occurs once can't be retained.
+
+The tree grows by length. Texts are turned once into blocks of tokens, which are written to the shared folder. In each
+round a block sends what it has of distinct word runs, as sorted hashes with its own counts, to the buckets of
+the hash; a bucket adds up what all blocks sent and answers each of them. Runs of k + 1 words are sent once the runs of k
+words before them are known to occur twice. What the runs after a context gain over its parent is summed by context in
+the same way. Every block sends a run or a context once, so no hash is hot; all runs are counted, and the model stays
+in the shared folder: nothing of it is broadcast or collected but the numbers of tokens and of distinct words.
 """
 
 from __future__ import annotations
@@ -26,423 +30,313 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.bytetext import buffers, mix, pack_sorted, row_words, unpack_sorted
+from marginalia.llm.bytetext import buffers, mix, row_words
 from marginalia.llm.labelled import remainder
-from marginalia.llm.shared import Scratch
-
-#: Frequent words, longest context, gain in nats from which on a context is retained.
-FREQUENT, LONGEST, GAIN = 4096, 3, 3.0
-#: Buckets by which transitions between frequent words are counted; each has all transitions of some words.
-PARTS = 128
-#: Bytes of text to a block and to a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+from marginalia.llm.shared import Scratch, trim
+
+#: Words of the longest context, and the gain in nats from which on a context is retained.
+LONGEST, GAIN = 3, 3.0
+#: Pseudo-counts of a state, by how often it occurs.
+MASS, POWER = 4.0, 0.7
 #: What is added to each count of the root's distribution.
 ADDED = 0.1
+#: Tokens of a block, tokens to a bucket, and steps to a nat in which a block's share of a gain is sent.
+BLOCK_TOKENS, BUCKET_TOKENS, STEPS = 1 << 19, 1 << 20, 1 << 12
 
-_END, _BEFORE = np.uint64(0x9E6C63D0676A9A99), np.uint64(0x3C79AC492BA7B653)
-_NEXT_BITS = 30
+_END = np.uint64(0x9E6C63D0676A9A99)
+_ON = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.minimum(values, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def pseudo_counts(n: np.ndarray) -> np.ndarray:
+    return MASS * n**POWER
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def shrink(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    raw = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
-@dataclass
-class Block:
-    """Tokens of some rows, each row's words and its end; ``train`` by token."""
+def grow(blob: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(blob, n * 8, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").ravel()
 
-    words: np.ndarray
-    row: np.ndarray
-    train: np.ndarray
-    rows: int
-
-
-def _spans(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of about ``size`` bytes, the blocks of a batch; the same for the same rows."""
-    row, n = 0, len(at) - 1
-    while row < n:
-        last = min(max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1), n)
-        yield row, last
-        row = last
-
-
-def tokens(raw: np.ndarray, at: np.ndarray, learn: np.ndarray) -> Block:
-    words, rows = [], []
-    for first, bounds, hashes in row_words(raw, at):
-        stops = bounds[1:]
-        words.append(np.insert(hashes, stops, _END))
-        rows.append(np.repeat(np.arange(first, first + len(stops)), np.diff(bounds) + 1))
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return Block(np.concatenate(words) if words else np.zeros(0, np.uint64), row, learn[row], len(at) - 1)
-
-
-def contexts(block: Block, frequent: np.ndarray) -> np.ndarray:
-    """The hash of each token's context."""
-    words, n = block.words, len(block.words)
-    context = np.zeros(n, np.uint64)
-    open_ = np.ones(n, bool)
-    for back in range(1, LONGEST + 1):
-        earlier = np.full(n, _BEFORE)
-        earlier[back:] = words[:-back]
-        inside = np.zeros(n, bool)
-        inside[back:] = block.row[back:] == block.row[:-back]
-        earlier[~inside] = _BEFORE
-        context = np.where(open_, mix(context + earlier * np.uint64(2 * back + 1)), context)
-        place = np.searchsorted(frequent, earlier)
-        place[place == len(frequent)] = 0
-        common = frequent[place] == earlier if len(frequent) else np.zeros(n, bool)
-        open_ &= common & inside
-    return mix(context)
-
-
-def transitions(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct contexts and next words, sorted by context, how often each two occur in training rows, and their place by token."""
-    context, words = contexts(block, frequent), block.words
-    context_of, next_of, place = _distinct_pairs(context, words)
-    return context_of, next_of, np.bincount(place[block.train], minlength=len(context_of)), place
-
-
-def frequent_places(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place among the frequent words of the word before each token, and of the token; -1 if there is none."""
-    own = np.full(len(block.words), -1)
-    if len(frequent):
-        place = np.searchsorted(frequent, block.words)
-        place[place == len(frequent)] = 0
-        own = np.where(frequent[place] == block.words, place, -1)
-    before = np.full(len(own), -1)
-    before[1:] = np.where(block.row[1:] == block.row[:-1], own[:-1], -1)
-    return before, own
-
-
-def frequent_pairs(block: Block, frequent: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct transitions between frequent words, the word before times ``width`` plus the next, with how often
-    each occurs in training rows; which tokens are such, the place of each of these among them, and the word before each token.
-    """
-    before, own = frequent_places(block, frequent)
-    both = (before >= 0) & (own >= 0)
-    found, counts, place = _distinct(before[both] * width + own[both], block.train[both])
-    return found, counts, both, place, before
 
+def shrink_sorted(keys: np.ndarray) -> bytes:
+    return shrink(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
 
-def _pair_cuts(keys: np.ndarray, width: int) -> np.ndarray:
-    return np.searchsorted(keys // width * PARTS // width, np.arange(PARTS + 1))
+
+def grow_sorted(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(grow(blob, n).view(np.uint64), dtype=np.uint64)
 
 
 @dataclass
-class Frequent:
-    """States of frequent words, by word: ``n`` occurrences, ``kinds`` of next words, ``rest`` of the occurrences and of
-    the root's probability for words it isn't followed by repeatedly, and whether it is ``retained``. Of fixed size.
+class Block:
+    """Tokens of some rows, each row's words and its end.
+
+    ``words``: distinct hashes, sorted; ``token``: each token's place among them. The first ``lead`` tokens belong to
+    another block and only give context. ``sizes``: own tokens of each row; ``train``: whether a row is learned from.
     """
 
-    n: np.ndarray
-    kinds: np.ndarray
-    rest: np.ndarray
-    rest_root: np.ndarray
-    retained: np.ndarray
-
-    def probability(self, before: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Of each token after a frequent word whose state is retained, by its transition's count; the root's for others."""
-        state = before >= 0
-        state[state] = self.retained[before[state]]
-        out = root.copy()
-        f, p, c = before[state], root[state], counts[state]
-        mass = np.where(c > 1, c, self.rest[f] * p / self.rest_root[f])
-        out[state] = (mass + self.kinds[f] * p) / (self.n[f] + self.kinds[f])
-        return out
-
-
-def frequent_states(sums: np.ndarray, n: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Kinds, rest, rest at the root, and gain of frequent words: ``sums`` by word and next one, ``n`` by word, ``root`` by next one."""
-    kinds = (sums > 0).sum(1)
-    f, w = np.nonzero(sums > 1)
-    counts = sums[f, w]
-    total = lambda v: np.bincount(f, v, len(n)).astype(np.float64)
-    rest = n - total(counts)
-    rest_root = np.maximum(1 - total(root[w]), 1e-12)
-    gain = total(counts * np.log((counts - 1 + kinds[f] * root[w]) / ((n[f] - 1 + kinds[f]) * root[w])))
-    gain += np.where(rest > 0, rest * np.log((np.maximum(rest - 1, 0) / rest_root + kinds) / np.maximum(n - 1 + kinds, 1) + 1e-300), 0)
-    return np.stack([kinds, rest, rest_root, gain])
-
-
-def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, how often each occurs in training rows, and the place of every key among them."""
-    found, place = np.unique(keys, return_inverse=True)
-    return found, np.bincount(place[train], minlength=len(found)), place
+    words: np.ndarray
+    token: np.ndarray
+    lead: int
+    sizes: np.ndarray
+    train: np.ndarray
 
+    @classmethod
+    def of(cls, hashes: np.ndarray, lead: int, sizes: np.ndarray, train: np.ndarray) -> Block:
+        words, token = np.unique(hashes, return_inverse=True)
+        return cls(words, token, lead, np.asarray(sizes, np.int64), np.asarray(train, bool))
 
-def _distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and the place of each pair among them."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return a[new], b[new], place
+    @property
+    def row(self) -> np.ndarray:
+        """Each token's row; the lead is part of the first one."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.concatenate([np.zeros(self.lead, np.int64), row])
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+Known = dict[tuple[int, str], np.ndarray]
+Asked = list[tuple[int, str, np.ndarray, np.ndarray]]
 
 
-_SENT = "bucket int, block long, keys binary, next binary, counts binary"
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(keys, return_inverse=True)
+    return found, place.astype(np.int32)
 
 
-def _send(docs: DataFrame, buckets: int, frequent: np.ndarray | None) -> DataFrame:
-    """What the blocks ask for: their distinct words or, if ``frequent`` is given, transitions, with own counts."""
+def climb(block: Block, known: Known, divisor: float, longest: int) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
+    """(what to ask next, each token's count, its probability at the root, its probability and context's length in the tree).
 
-    size, width = BLOCK_BYTES, FREQUENT
+    ``known``: answers by (length of context, "count" or "kept"), in the order of the sorted hashes that were asked for. Asked are, for
+    the first length whose ``kept`` isn't known, the gains of contexts, and counts of the runs that are one word longer.
+    """
+    own = np.arange(len(block.token)) >= block.lead
+    row = block.row
+    counted = own & block.train[row]
+    asked: Asked = []
+    if (0, "count") not in known:
+        asked.append((0, "count", block.words, np.bincount(block.token[counted], minlength=len(block.words))))
+    words = mix(block.words)[block.token]
+    run = words
+    count = known[0, "count"][block.token] if (0, "count") in known else np.zeros(len(words), np.int64)
+    first = count
+    root = (count + ADDED) / divisor
+    chance, length = root.copy(), np.zeros(len(words), np.int8)
+    for k in range(1, longest + 1):
+        inside = np.zeros(len(row), bool)
+        inside[k:] = row[k:] == row[:-k]
+        before, often = np.zeros_like(run), np.zeros_like(count)
+        before[1:], often[1:] = run[:-1], count[:-1]
+        often[~inside] = 0
+        ask = inside if k == 1 else often > 1
+        run = mix(before * _ON + words)
+        found, place = _distinct(run[ask])
+        if (k, "count") not in known:
+            asked.append((k, "count", found, np.bincount(place[counted[ask]], minlength=len(found))))
+            break
+        count = np.zeros_like(often)
+        count[ask] = known[k, "count"][place]
+        use = np.flatnonzero(often > 1)
+        contexts, place = _distinct(before[use])
+        if (k, "kept") in known:
+            kept = known[k, "kept"][place] > 0
+            use = use[kept]
+            n = often[use].astype(np.float64)
+            a = pseudo_counts(n)
+            chance[use] = (count[use] + a * chance[use]) / (n + a)
+            length[use] = k
+        else:
+            learn = counted[use]
+            use = use[learn]
+            n, p = often[use] - 1.0, chance[use]
+            a = pseudo_counts(n)
+            gain = np.bincount(place[learn], np.log((count[use] - 1 + a * p) / ((n + a) * p)), len(contexts))
+            asked.append((k, "kept", contexts, np.round(gain * STEPS).astype(np.int64)))
+    return asked, first, root, chance, length
 
-    def sent_row(bucket: int, number: int, keys: np.ndarray, nexts: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
-        parts = pack_sorted(keys), None if nexts is None else nexts.astype("<u8").tobytes(), _planes(counts)
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], ["bucket", "block", "keys", "next", "counts"])
 
-    def of(block: Block, number: int) -> Iterator[pa.RecordBatch]:
-        if frequent is None:
-            (found, counts, _), nexts = _distinct(block.words, block.train), None
-        else:
-            found, nexts, counts, _ = transitions(block, frequent)
-        cuts = _cuts(found, buckets)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[b], cuts[b + 1])
-            yield sent_row(b, number, found[part], None if nexts is None else nexts[part], counts[part])
-        if frequent is None:
-            return
-        found, counts, *_ = frequent_pairs(block, frequent, width)
-        cuts = _pair_cuts(found, width)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[b], cuts[b + 1])
-            yield sent_row(buckets + b, number, found[part].astype(np.uint64), None, counts[part])
+def _blocks(rows: DataFrame, key: str, longest: int) -> DataFrame:
+    """``rows`` (key, text, train) as blocks of about BLOCK_TOKENS tokens. A longer row has blocks of its own, which share a ``part``."""
+    fields = [("block", T.LongType()), ("keys", T.ArrayType(rows.schema[key].dataType)), ("part", T.LongType()), ("lead", T.IntegerType()), ("n", T.IntegerType()), ("kinds", T.IntegerType())]
+    fields += [(c, T.BinaryType()) for c in ("words", "tokens", "sizes", "train")]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        keys, sizes, train, tokens, held = [], [], [], [], 0
+
+        def block(keys: list[pa.Array], hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray, lead: int = 0, part: int | None = None) -> pa.RecordBatch:
+            nonlocal number
+            b = Block.of(hashes, lead, sizes, train)
+            kept = pa.concat_arrays(keys)
+            one = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([part], pa.int64())]
+            one += [pa.array([x], pa.int32()) for x in (lead, len(b.token), len(b.words))]
+            one += [pa.array([x], pa.binary()) for x in (shrink_sorted(b.words), shrink(b.token), shrink(b.sizes), np.packbits(b.train).tobytes())]
+            number += 1
+            return pa.RecordBatch.from_arrays(one, schema.names)
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if sizes:
+                yield block(keys, np.concatenate(tokens), np.concatenate(sizes), np.concatenate(train))
+            for x in (keys, sizes, train, tokens):
+                x.clear()
+            held = 0
+
         for batch in batches:
-            raw, at = buffers(batch.column(0))
-            learn = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for row, last in _spans(at, size):
-                yield from of(tokens(raw[at[row] : at[last]], at[row : last + 1] - at[row], learn[row:last]), number)
-                number += 1
-
-    sent = docs.select("text", "train", *[c for c in docs.columns if c not in ("text", "train")]).mapInArrow(run, _SENT)  # the same columns in every reading: a batch ends by bytes
-    return sent.repartition(buckets, "bucket").groupBy("bucket")
-
-
-def _added(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: the blocks, their keys one after another, bounds, the distinct keys' places and their sums."""
-    blocks = table.column("block").to_pylist()
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([_from_planes(x) for x in table.column("counts").to_pylist()])
-    bounds = np.append(0, np.cumsum([len(k) for k in keys]))
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return blocks, distinct, bounds, place, np.bincount(place, counts, len(distinct)).astype(np.int64)
-
-
-def _added_pairs(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_added``, with distinct contexts and next words; a context is given by its rank, as ``retained`` takes it."""
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    bounds = np.append(0, np.cumsum([len(k) for k in keys]))
-    counts = np.concatenate([_from_planes(x) for x in table.column("counts").to_pylist()])
-    nexts = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("next").to_pylist()])
-    context, nxt, place = _distinct_pairs(np.concatenate(keys), nexts)
-    rank = np.cumsum(np.append(False, context[1:] != context[:-1])[: len(context)]).astype(np.uint64) << np.uint64(_NEXT_BITS)
-    return table.column("block").to_pylist(), rank, nxt, bounds, place, np.bincount(place, counts, len(context)).astype(np.int64)
-
-
-def _answer_words(table: pa.Table) -> pa.Table:
-    """Counts for each block, and for the whole: tokens, distinct words and the commonest ones."""
-    blocks, distinct, bounds, place, sums = _added(table)
-    bucket = table.column("bucket")[0].as_py()
-    own = sums[place]
-    answers = [_planes(own[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    top = np.argsort(-sums, kind="stable")[:FREQUENT]
-    top = top[sums[top] > 0]
-    n = len(blocks) + 1
-    return pa.table(
-        [
-            pa.array([bucket] * n, pa.int32()), pa.array([*blocks, None], pa.int64()), pa.array([*answers, None], pa.binary()),
-            pa.array([None] * (n - 1) + [int(sums.sum())], pa.int64()), pa.array([None] * (n - 1) + [int((sums > 0).sum())], pa.int64()),
-            pa.array([None] * (n - 1) + [distinct[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([None] * (n - 1) + [sums[top].tolist()], pa.list_(pa.int64())),
-        ],
-        names=["bucket", "block", "counts", "tokens", "distinct", "top", "often"],
-    )
-
-
-def retained(keys: np.ndarray, sums: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By key (sorted; the context's number above ``_NEXT_BITS``): whether its context is retained, how often that occurs, and with how many next words.
-
-    ``probability``: of each key's next word at the root, or a bound above it.
-    """
-    context = keys >> np.uint64(_NEXT_BITS)
-    start = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(keys)))
-    total = np.add.reduceat(sums, start) if len(start) else np.zeros(0, np.int64)
-    kinds = np.add.reduceat((sums > 0).astype(np.int64), start) if len(start) else total
-    n, d = np.repeat(total, size), np.repeat(kinds, size)
-    others = np.maximum(n - 1, 0) + np.maximum(d, 1)
-    seen = np.maximum(sums, 1)
-    gain = np.where(sums > 0, seen * np.log((seen - 1 + d * probability + (d == 0)) / (others * probability)), 0)
-    good = np.add.reduceat(gain, start) > GAIN if len(start) else np.zeros(0, bool)
-    return np.repeat(good, size), n, d
-
-
-def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10, stable: bool = False) -> DataFrame:
+            raw, at = buffers(batch.column(1))
+            learn = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, bounds, hashes in row_words(raw, at):
+                own = batch.column(0).slice(first, len(bounds) - 1)
+                hashes = np.insert(hashes, bounds[1:], _END)
+                if len(bounds) == 2 and len(hashes) > BLOCK_TOKENS:
+                    part = number
+                    for start in range(0, len(hashes), BLOCK_TOKENS):
+                        lead = min(start, longest)
+                        whole = hashes[start - lead : start + BLOCK_TOKENS]
+                        yield block([own], whole, np.array([len(whole) - lead]), learn[first : first + 1], lead, part)
+                    continue
+                keys.append(own)
+                sizes.append(np.diff(bounds) + 1)
+                train.append(learn[first : first + len(bounds) - 1])
+                tokens.append(hashes)
+                held += len(hashes)
+                if held >= BLOCK_TOKENS:
+                    yield from hand_on()
+        yield from hand_on()
+        trim()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _block(row: dict) -> Block:
+    sizes = np.frombuffer(row["train"], np.uint8)
+    n = len(row["keys"])
+    return Block(grow_sorted(row["words"], row["kinds"]), grow(row["tokens"], row["n"]), row["lead"], grow(row["sizes"], n), np.unpackbits(sizes, count=n).astype(bool))
+
+
+_ASKED = "bucket int, block long, level int, what string, n int, keys binary, own binary"
+_ANSWER = "block long, bucket int, level int, what string, n int, found binary, tokens long, kinds long"
+
+
+def _ask(number: int, asked: Asked, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a block asks for, a row for each bucket."""
+    for level, what, keys, own in asked:
+        cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+        columns = [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([level] * len(some), pa.int32()), pa.array([what] * len(some), pa.string())]
+        columns += [pa.array([p.stop - p.start for p in parts], pa.int32()), pa.array([shrink_sorted(keys[p]) for p in parts], pa.binary()), pa.array([shrink(own[p]) for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "level", "what", "n", "keys", "own"])
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Adds up what all blocks sent to a bucket; answers each with the sums of counts, or whether a context is retained."""
+    rows = table.to_pylist()
+    out = []
+    for level, what in sorted({(r["level"], r["what"]) for r in rows}):
+        own = [r for r in rows if (r["level"], r["what"]) == (level, what)]
+        bounds = np.append(0, np.cumsum([r["n"] for r in own]))
+        found, place = np.unique(np.concatenate([grow_sorted(r["keys"], r["n"]) for r in own]), return_inverse=True)
+        sums = np.bincount(place, np.concatenate([grow(r["own"], r["n"]) for r in own]), len(found)).astype(np.int64)  # whole numbers, exact in doubles
+        if what == "kept":
+            sums = (sums > GAIN * STEPS).astype(np.int64)
+        for r, a, b in zip(own, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out.append((r["block"], r["bucket"], level, what, r["n"], shrink(sums[place[a:b]]), None, None))
+        if not level:
+            out.append((None, rows[0]["bucket"], level, what, 0, None, int(sums.sum()), int((sums > 0).sum())))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    trim()
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "bucket", "level", "what", "n", "found", "tokens", "kinds"])
+
+
+def _known(table: pa.Table) -> Known:
+    """Answers by level and kind; a block's keys are sorted, so its buckets' answers stand one after another."""
+    parts: dict[tuple[int, str], list[tuple[int, np.ndarray]]] = {}
+    for r in table.to_pylist():
+        parts.setdefault((r["level"], r["what"]), []).append((r["bucket"], grow(r["found"], r["n"])))
+    return {k: np.concatenate([x for _, x in sorted(v, key=lambda x: x[0])]) for k, v in parts.items()}
+
+
+class _All(dict):
+    """Answers for a block that asked for none of a kind: it has no such runs."""
+
+    def __init__(self, known: Known, rounds: int):
+        super().__init__(known)
+        for k in range(rounds + 1):
+            self.setdefault((k, "count"), np.zeros(0, np.int64))
+            if 0 < k < rounds:
+                self.setdefault((k, "kept"), np.zeros(0, np.int64))
+
+
+def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10, longest: int = LONGEST) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states`` of each row.
 
     Learns from rows whose key's crc32 modulo ``folds`` isn't 0. Words are runs without ASCII white space, A-Z
     lower-cased; a text's tokens are its words and one end. ``base_score``: log10 probability by the root alone;
-    ``score``: by the tree; ``n_states``: tokens predicted from a retained context. A null text counts as empty: its end alone. Null keys
-    (held out) and repeated rows are scored like others; other columns are left out, so clashing names do no harm.
-
-    ``stable``: whether reading ``docs`` again gives the same rows in the same partitions, as reading files does;
-    if not, they are written to the shared folder first. That blocks are the same each time is verified.
+    ``score``: by the tree of contexts of up to ``longest`` words; ``n_states``: tokens predicted from a retained context. A null
+    text counts as empty: its end alone. Null keys (held out) and repeated rows are scored like others; other columns
+    are left out, so clashing names do no harm. An empty table gives none. Runs of words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (remainder(key, folds) != 0).alias("train"))
-    setting = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))  # a lost executor mustn't change how files are split
-    try:
-        if not stable:
-            rows = scratch.save(rows, "rows")
-        return _score(rows, scratch, key)
-    finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-
-
-def _score(rows: DataFrame, scratch: Scratch, key: str) -> DataFrame:
-    spark = rows.sparkSession
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
-    words = scratch.save(_send(rows, buckets, None).applyInArrow(_answer_words, "bucket int, block long, counts binary, tokens long, distinct long, top array<long>, often array<long>"), "words")
-    whole = words.where("block is null")
-    total, distinct = whole.agg(F.sum("tokens"), F.sum("distinct")).first()
-    total, distinct = total or 0, distinct or 0
-    pairs = whole.select(F.explode(F.arrays_zip("top", "often")).alias("p")).select("p.top", "p.often").orderBy(F.desc("often"), "top").limit(FREQUENT).collect()
-    frequent, often = np.array([p[0] for p in pairs], np.int64).view(np.uint64), np.array([p[1] for p in pairs], np.int64)
-    order = np.argsort(frequent)
-    frequent, often = frequent[order], often[order]
-    divisor = total + ADDED * (distinct + 1)
-    chance = (often + ADDED) / divisor
-    rare = (float(often.min() if len(often) else 0) + ADDED) / divisor
-
-    width = FREQUENT
-
-    def answer_pairs(table: pa.Table, bucket: int) -> pa.Table:
-        """Counts of all transitions that each block asks for, and for the whole: the states of the bucket's words."""
-        f = np.arange(-(-(bucket - buckets) * width // PARTS), min(-(-(bucket - buckets + 1) * width // PARTS), len(frequent)))
-        sent, sums = table.column("keys"), np.zeros(len(f) * width, np.int64)
-        own = lambda x: unpack_sorted(x.as_py()).astype(np.int64) - f[0] * width
-        for x, counts in zip(sent, table.column("counts"), strict=True):
-            sums[own(x)] += _from_planes(counts.as_py())
-        answers = [_planes(sums[own(x)]) for x in sent]
-        states = frequent_states(sums.reshape(-1, width)[:, : len(often)], often[f], chance)
-        n = len(answers) + 1
-        return pa.table(
-            [
-                pa.array([bucket] * n, pa.int32()), pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([None] * n, pa.binary()),
-                pa.array([*answers, None], pa.binary()), pa.array([None] * (n - 1) + [f.tobytes()], pa.binary()), pa.array([None] * (n - 1) + [states.tobytes()], pa.binary()),
-            ],
-            names=["bucket", "block", "hits", "sums", "n", "d"],
-        )
-
-    def answer(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        if bucket >= buckets:
-            return answer_pairs(table, bucket)
-        blocks, keys, nxt, bounds, place, sums = _added_pairs(table)
-        where = np.searchsorted(frequent, nxt)
-        where[where == len(frequent)] = 0
-        probability = np.where(frequent[where] == nxt, chance[where], rare) if len(frequent) else np.full(len(keys), rare)
-        good, n, d = retained(keys, sums, probability)
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = place[a:b]
-            hit = np.flatnonzero(good[own])
-            own = own[hit]
-            out.append((pack_sorted(hit.astype(np.uint64)), _planes(sums[own]), _planes(n[own]), _planes(d[own])))
-        return pa.table([pa.array([bucket] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(4))], names=["bucket", "block", "hits", "sums", "n", "d"])
-
-    states = scratch.save(_send(rows, buckets, frequent).applyInArrow(answer, "bucket int, block long, hits binary, sums binary, n binary, d binary"), "states")
-    of_words = np.stack([np.zeros(len(often)), often, np.ones(len(often)), np.full(len(often), -np.inf)])  # without transitions
-    for r in states.where("block is null").select("n", "d").collect():  # PARTS rows at most, a few numbers of each frequent word
-        of_words[:, np.frombuffer(r["n"], np.int64)] = np.frombuffer(r["d"], np.float64).reshape(4, -1)
-    kinds_of, rest, rest_root, gain = of_words
-    common = Frequent(often, kinds_of, rest, rest_root, (gain > GAIN) & (kinds_of > 0))
-    fields = [rows.schema[key]]
-    tagged = _tagged(rows, key)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("hits", "binary"), ("sums", "binary"), ("n", "binary"), ("d", "binary"))]
-    answers = words.where("block is not null").select("block", "bucket", "counts", *none).unionByName(states.where("block is not null").select("block", "bucket", F.lit(None).cast("binary").alias("counts"), "hits", "sums", "n", "d"))
-    schema = T.StructType([*fields, T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")] + [T.StructField("n_states", T.LongType())])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw, at = buffers(left.column("text"))
-        train = np.asarray(left.column("train").to_numpy(), bool)
-        block = tokens(raw, at, train)
-        table = {c: right.column(c).to_pylist() for c in right.column_names}
-        n, k = len(block.words), block.rows
-        counts = np.zeros(0, np.int64)
-        found, _, place = _distinct(block.words, block.train)
-        cuts = _cuts(found, buckets)
-        counts = np.full(len(found), -1)
-        for b, x in zip(table["bucket"], table["counts"], strict=True):
-            if x is not None:
-                if len(x) != 4 * (cuts[b + 1] - cuts[b]):
-                    raise RuntimeError("a block isn't what it was: its rows were read in another order or partition")
-                counts[cuts[b] : cuts[b + 1]] = _from_planes(x)
-        if (counts < 0).any():
-            raise RuntimeError("a block isn't what it was: its rows were read in another order or partition")
-        own = counts[place]
-        root = (own + ADDED) / divisor
-        found, _, _, place = transitions(block, frequent)
-        cuts = _cuts(found, buckets)
-        sums, often_of, kinds = (np.zeros(len(found)) for _ in range(3))
-        for b, hits, s, m, d in zip(*(table[c] for c in ("bucket", "hits", "sums", "n", "d")), strict=True):
-            if hits is not None:
-                where = cuts[b] + unpack_sorted(hits).astype(np.int64)
-                sums[where], often_of[where], kinds[where] = _from_planes(s), _from_planes(m), _from_planes(d)
-        pairs, _, both, pair, before = frequent_pairs(block, frequent, width)
-        cuts, repeated = _pair_cuts(pairs, width), np.full(len(pairs), -1)
-        for b, hits, s in zip(table["bucket"], table["hits"], table["sums"], strict=True):
-            if b >= buckets and hits is None:
-                repeated[cuts[b - buckets] : cuts[b - buckets + 1]] = _from_planes(s)
-        if (repeated < 0).any():
-            raise RuntimeError("a block isn't what it was: its rows were read in another order or partition")
-        follows = np.zeros(n, np.int64)
-        follows[both] = repeated[pair]
-        shorter = common.probability(before, follows, root) if len(frequent) else root
-        state = often_of[place] > 0
-        tree = np.where(state, (sums[place] + kinds[place] * shorter) / np.maximum(often_of[place] + kinds[place], 1), shorter)
-        state |= (before >= 0) & common.retained[before] if len(frequent) else False
-        per = lambda v: np.bincount(block.row, v, k)
-        return pa.table(
-            [
-                left.column(key), pa.array(~train), pa.array(np.bincount(block.row, minlength=k)), pa.array(per(own > 0).astype(np.int64)), pa.array(np.full(k, total), pa.int64()),
-                pa.array(per(np.log10(root))), pa.array(per(np.log10(tree))), pa.array(per(state).astype(np.int64)),
-            ],
-            names=schema.names,
-        )
-
-    out = tagged.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
-    return scratch.save(out, "scores")
-
-
-def _tagged(rows: DataFrame, key: str) -> DataFrame:
-    """Every row with the number of its block."""
-    fields = [T.StructField("block", T.LongType()), rows.schema[key], T.StructField("text", T.StringType()), T.StructField("train", T.BooleanType())]
-    schema = T.StructType(fields)
-    size = BLOCK_BYTES
+    blocks = scratch.save(_blocks(rows, key, longest), "blocks")
+    volume = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_TOKENS))
+    columns = ["block", "keys", "lead", "n", "kinds", "words", "tokens", "sizes", "train"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = buffers(batch.column(0))
-            for row, last in _spans(at, size):
-                part = batch.slice(row, last - row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(last - row, number)), part.column(2), part.column(0), part.column(1)], schema.names)
-                number += 1
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                yield from _ask(r["block"], climb(_block(r), {}, 1.0, longest)[0], buckets)
+        trim()
+
+    def answered(asked: DataFrame, name: str) -> DataFrame:
+        return scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _ANSWER), name)
+
+    answers = answered(blocks.select(*columns).mapInArrow(ask_first, _ASKED), "answers-0")
+    total, kinds = answers.where("block is null").agg(F.sum("tokens"), F.sum("kinds")).first()
+    total, kinds = total or 0, kinds or 0
+    divisor = total + ADDED * (kinds + 1)
+    answers = answers.where("block is not null").select("block", "bucket", "level", "what", "n", "found")
+
+    def ask_in(k: int):
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            [r] = left.to_pylist()
+            batches = list(_ask(r["block"], climb(_block(r), _All(_known(right), k), divisor, longest)[0], buckets))
+            trim()
+            return pa.Table.from_batches(batches, schema=_arrow(_ASKED))
+
+        return ask
+
+    for k in range(1, longest + 1):
+        asked = blocks.select(*columns).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_in(k), _ASKED)
+        answers = answers.unionByName(answered(asked, f"answers-{k}").select(answers.columns))
+        del asked
+        scratch.free_shuffles()
+    schema = T.StructType([rows.schema[key], T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")] + [T.StructField(c, T.LongType()) for c in ("n_states", "part")])
 
-    return rows.select("text", "train", key).mapInArrow(run, schema)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        [r] = left.select([c for c in left.column_names if c != "keys"]).to_pylist()
+        keys = left.column("keys").combine_chunks().flatten()
+        block = _block(r | {"keys": keys})
+        _, count, root, chance, length = climb(block, _All(_known(right), longest + 1), divisor, longest)
+        own = slice(block.lead, None)
+        row, n = block.row[own], len(block.sizes)
+        per = lambda v: np.bincount(row, v[own], n)
+        columns = [keys, pa.array(~block.train), pa.array(block.sizes), pa.array(per(count > 0).astype(np.int64)), pa.array(np.full(n, total), pa.int64()), pa.array(per(np.log10(root))), pa.array(per(np.log10(chance))), pa.array(per(length > 0).astype(np.int64)), pa.array([r["part"]] * n, pa.int64())]
+        trim()
+        return pa.table(columns, names=schema.names)
+
+    scores = scratch.save(blocks.select(*columns, "part").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema), "scores")
+    sums = [F.first(c).alias(c) if c in (key, "held_out", "train_tokens") else F.sum(c).alias(c) for c in scores.columns[:-1]]
+    whole = scores.where("part is null").drop("part")
+    return whole.unionByName(scores.where("part is not null").groupBy("part").agg(*sums).drop("part"))
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,74 +9,67 @@ import pyarrow as pa
 import pytest
 
 from marginalia.llm import suffix_tree
-from marginalia.llm.bytetext import buffers, mix, word_hashes
-from marginalia.llm.suffix_tree import retained, score_contexts, tokens
+from marginalia.llm.suffix_tree import Block, climb, grow, grow_sorted, score_contexts, shrink, shrink_sorted
 
+from tests.llm.alike import mirrored
 
-def words(text):
-    import re
 
+def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
 
 
-def brute(rows, frequent):
-    """key -> (held_out, tokens, known, train tokens, base, score), by plain counting."""
-    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
-    c = Counter(w for i, t in rows if not held[i] for w in words(t))
-    total = sum(c.values())
-    often = {w for w, _ in sorted(c.items(), key=lambda x: -x[1])[:frequent]}
-    least = min((c[w] for w in often), default=0)
-    z = total + 0.1 * (len(c) + 1)
-    p0 = lambda w: (c[w] + 0.1) / z
-    bound = lambda w: p0(w) if w in often else (least + 0.1) / z
-
-    def context(seq, i):
-        out = []
-        for k in range(1, 4):
-            out.append(seq[i - k] if i >= k else "<s>")
-            if i < k or seq[i - k] not in often:
-                break
-        return tuple(out)
-
-    n = defaultdict(Counter)
+def held_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+
+
+def brute(rows, longest=3):
+    """(key, held out, tokens, known ones, training tokens, base score, score) by the definition of the tree, on plain dictionaries."""
+    follows = defaultdict(Counter)  # of each context of words, the empty one included
     for i, t in rows:
-        if not held[i]:
+        if not held_out(i):
             s = words(t)
             for k, w in enumerate(s):
-                n[context(s, k)][w] += 1
-    keep = {}
-    for s, nexts in n.items():
-        m, d = sum(nexts.values()), len(nexts)
-        keep[s] = sum(r * math.log((r - 1 + d * bound(w)) / ((m - 1 + d) * bound(w))) for w, r in nexts.items()) > suffix_tree.GAIN
-    follows = defaultdict(Counter)
-    for i, t in rows:
-        if not held[i]:
-            s = words(t)
-            for a, b in zip(s, s[1:], strict=False):
-                if a in often and b in often:
-                    follows[a][b] += 1
-    shorter = {}
-    for a, nexts in follows.items():
-        kept, d, m = {w: r for w, r in nexts.items() if r > 1}, len(nexts), c[a]
-        rest, rest_root = m - sum(kept.values()), 1 - sum(p0(w) for w in kept)
-        gain = sum(r * math.log((r - 1 + d * p0(w)) / ((m - 1 + d) * p0(w))) for w, r in kept.items())
-        gain += rest * math.log((max(rest - 1, 0) / rest_root + d) / (m - 1 + d)) if rest else 0
-        if gain > suffix_tree.GAIN:
-            shorter[a] = lambda w, kept=kept, d=d, m=m, rest=rest, rr=rest_root: ((kept[w] if w in kept else rest * p0(w) / rr) + d * p0(w)) / (m + d)
+                for size in range(min(k, longest) + 1):
+                    follows[tuple(s[k - size : k])][w] += 1
+    unigrams = follows[()]
+    total = sum(unigrams.values())
+    kept = {}
+
+    def chance(context, w):
+        if not context:
+            return (unigrams[w] + 0.1) / (total + 0.1 * (len(unigrams) + 1))
+        if not retained(context):
+            return chance(context[1:], w)
+        n = sum(follows[context].values())
+        a = 4 * n**0.7
+        return (follows[context][w] + a * chance(context[1:], w)) / (n + a)
+
+    def retained(context):
+        if context not in kept:
+            n = sum(follows[context].values()) if context in follows else 0
+            kept[context] = False
+            if n > 1:
+                a, gain = 4 * (n - 1) ** 0.7, 0.0
+                for w, c in follows[context].items():
+                    parent = chance(context[1:], w)
+                    gain += c * math.log((c - 1 + a * parent) / ((n - 1 + a) * parent))
+                kept[context] = gain > 3.0
+        return kept[context]
+
     out = []
     for i, t in rows:
         s = words(t)
-        base = score = 0.0
-        for k, w in enumerate(s):
-            base += math.log10(p0(w))
-            state = context(s, k)
-            m, d = sum(n[state].values()), len(n[state])
-            p = shorter[s[k - 1]](w) if k and s[k - 1] in shorter else p0(w)
-            score += math.log10((n[state][w] + d * p) / (m + d)) if keep.get(state) else math.log10(p)
-        out.append((str(i), held[i], len(s), sum(w in c for w in s), total, round(base, 6), round(score, 6)))
+        base = sum(math.log10(chance((), w)) for w in s)
+        score = sum(math.log10(chance(tuple(s[max(0, k - longest) : k]), w)) for k, w in enumerate(s))
+        states = sum(any(retained(tuple(s[k - size : k])) for size in range(1, min(k, longest) + 1)) for k in range(len(s)))
+        out.append((str(i), held_out(i), len(s), sum(w in unigrams for w in s), total, round(base, 5), round(score, 5), states))
     return sorted(out)
 
 
+def rounded(got):
+    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5), r.n_states) for r in got)
+
+
 def corpus(seed, n):
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -91,84 +85,66 @@ def corpus(seed, n):
     return out
 
 
-@pytest.mark.parametrize("frequent,block", [(8, 1 << 23), (30, 2000)])
-def test_scores_equal_plain_counting(spark, monkeypatch, frequent, block):
-    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)  # on the driver; places are told apart by the same number everywhere
-    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
-    rows = corpus(frequent, 400) + [(1000, None), (1001, ""), (1002, " \n"), (None, "w1 w2"), (3, "W1 w2 É")]
-    # no two words of one count may compete for the last place among the frequent ones
-    counts = Counter(w for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in words(t)).most_common(frequent + 1)
-    rows += [(2001 + k, " ".join([counts[frequent - 1][0] or "w0"] * 3)) for k in range(2)]
-    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, score string").repartition(3)
-    got = score_contexts(df)
+@pytest.mark.parametrize("size,longest", [(1 << 19, 3), (500, 3), (40, 2), (40, 4)])
+def test_scores_equal_those_by_definition(spark, monkeypatch, size, longest):
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", size)  # longer rows have several blocks
+    rows = corpus(longest, 300) + [(1000, None), (1001, ""), (1002, " \n"), (None, "w1 w2"), (3, "W1 w2 É"), (1003, "w1 w2 w3 " * 60), (1003, "w1 w2 w3 " * 60)]
+    df = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "doc_id long, text string, score string, block string").repartition(3)
+    got = score_contexts(df, longest=longest)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_states"]
     got = got.collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == brute(rows, frequent)
+    assert rounded(got) == brute(rows, longest)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert any(r.n_states for r in held)
 
 
-def test_files_are_read_in_place(spark, tmp_path):
-    rows = corpus(5, 200)
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "3000")  # batches, and so blocks, end by bytes in all readings alike
-    plain = {tuple(r) for r in score_contexts(df).collect()}
-    assert {r[0] for r in plain} == set(range(200))
-    got = {r[0]: r for r in map(tuple, score_contexts(df, stable=True).collect())}
-    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
-    assert all(got[r[0]][:5] == r[:5] and abs(got[r[0]][6] - r[6]) < 1e-6 for r in plain)
-
-
-def test_long_texts_and_empty_tables(spark):
-    got = score_contexts(spark.createDataFrame([(1, "a b " * 600_000), (2, "x" * 3_000_000), (10, "a b")], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.n_tokens for r in got} == {1: 1_200_001, 2: 2, 10: 3}
-    assert score_contexts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def test_all_repeated_transitions_of_frequent_words_count(spark):
-    # every second word is followed by each of 900 others, twice: more transitions than any fixed table holds
-    firsts, nexts = [f"a{i}" for i in range(700)], [f"b{i}" for i in range(900)]
-    rows = [(i * 2 + k, " ".join(f"{a} {b} z{i}x{j}y{k}" for j, b in enumerate(nexts))) for i, a in enumerate(firsts) for k in range(2)]
-    got = score_contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
-    both = [r for r in got if r.doc_id not in held and r.doc_id ^ 1 not in held]
-    gains = [(r.score - r.base_score) / 900 for r in both]
-    assert len(both) > 1000 and max(gains) - min(gains) < 0.01  # no word's transitions are told from another's by their bucket
-
-
-def test_contexts_and_next_words_of_like_hashes_are_told_apart():
-    block = tokens(*buffers(pa.array(["a b"])), np.array([True]))
-    like = np.array([7, 7 ^ 1, 7 ^ (1 << 35), 7], np.uint64)  # these differ in one bit of 64
-    first, second, place = suffix_tree._distinct_pairs(np.concatenate([like, np.full(4, 9, np.uint64)]), np.concatenate([np.full(4, 9, np.uint64), like]))
-    assert len(first) == 6 and place[0] == place[3] and place[4] == place[7] and len(set(place.tolist())) == 6
-    context, nxt, counts, place = suffix_tree.transitions(block, np.zeros(0, np.uint64))
-    assert counts.tolist() == [1, 1, 1] and (nxt[place] == block.words).all()
-    table = pa.table({"block": [0, 1], "keys": [suffix_tree.pack_sorted(np.array([8, 9], np.uint64)), suffix_tree.pack_sorted(np.array([8], np.uint64))], "next": [np.array([5, 5], "<u8").tobytes(), np.array([5 + (1 << 40)], "<u8").tobytes()], "counts": [suffix_tree._planes(np.array([2, 3])), suffix_tree._planes(np.array([1]))]})
-    _, keys, nxt, _, place, sums = suffix_tree._added_pairs(table)
-    assert (keys >> np.uint64(30)).tolist() == [0, 0, 1] and nxt.tolist() == [5, 5 + (1 << 40), 5] and sums.tolist() == [2, 1, 3] and place.tolist() == [0, 2, 1]
-
-
-def test_an_unseen_word_is_not_taken_for_one_of_a_like_hash(spark):
-    names = [f"u{i}" for i in range(200_000)]
-    _, hashes = word_hashes(*buffers(pa.array([" ".join(names)])))
-    low = mix(hashes) & np.uint64((1 << 30) - 1)
-    order = np.argsort(low)
-    at = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
-    seen, like = names[order[at]], names[order[at + 1]]
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
-    rows = [(i, f"before {seen}") for i in range(200) if i not in held] + [(held[0], f"before {like}"), (held[1], "before unknown")]
+def test_long_texts_mirrored_words_and_empty_tables(spark):
+    like = mirrored()
+    rows = [(1, "a b " * 400_000), (2, "x" * 3_000_000), (10, "a b"), (11, like[0]), (12, f"{like[0]} a")]
+    held = next(i for i in range(100, 200) if held_out(i))
+    rows.append((held, like[1]))
     got = {r.doc_id: r for r in score_contexts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[held[0]].score == pytest.approx(got[held[1]].score) and got[held[0]].n_states == got[held[1]].n_states
+    assert {i: r.n_tokens for i, r in got.items()} == {1: 800_001, 2: 2, 10: 3, 11: 2, 12: 3, held: 2}
+    assert got[held].n_known == 1 and got[held].train_tokens == sum(len(words(t)) for i, t in rows if not held_out(i))
+    assert score_contexts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_only_repeated_transitions_keep_a_context():
-    key = lambda s, w: np.uint64(s << 30 | w)
-    keys = np.array([key(1, 1), key(1, 2), key(2, 1), key(3, 5), key(4, 7)])
-    good, n, d = retained(keys, np.array([1, 1, 3, 1, 0]), np.full(5, 1e-3))
-    assert good.tolist() == [False, False, True, False, False] and n.tolist() == [2, 2, 3, 1, 0] and d.tolist() == [2, 2, 1, 1, 0]
+def test_every_suffix_of_a_context_can_be_a_state(spark):
+    # "never of the" isn't in any training text, so that only its suffix "of the" can tell what follows
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.choice('abcdefghij')}{r.randrange(40)} of the river and the stone" for _ in range(6))) for i in range(300)]
+    held = [i for i in range(1000, 1100) if held_out(i)][0]
+    rows.append((held, "never of the river"))
+    got = rounded(score_contexts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    row = next(x for x in got if x[0] == str(held))
+    assert row[7] == 3
 
 
-def test_tokens_have_an_end():
-    block = tokens(*buffers(pa.array(["a b", "", None, " c "])), np.array([True, False, True, True]))
-    assert np.bincount(block.row).tolist() == [3, 1, 1, 2] and block.train.tolist() == [True] * 3 + [False] + [True] * 3
+def test_what_was_counted_grows_with_the_input(spark):
+    # each of many words is followed by others, twice: no table of fixed size holds these
+    firsts, nexts = [f"a{i}" for i in range(150)], [f"b{i}" for i in range(150)]
+    rows = [(i * 2 + k, " ".join(f"{a} {b} z{i}x{j}y{k}" for j, b in enumerate(nexts))) for i, a in enumerate(firsts) for k in range(2)]
+    assert rounded(score_contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()) == brute(rows)
+
+
+def test_only_repeated_runs_keep_a_context():
+    hashes = np.array([3, 4, 9, 3, 4, 9, 3, 4, 9, 5, 6, 9, 5, 7, 9], np.uint64)
+    block = Block.of(hashes, 0, np.full(5, 3), np.ones(5))
+    known = {}
+    for _ in range(3):
+        for level, what, keys, own in climb(block, known, 20.0, 1)[0]:
+            known[level, what] = own if what == "count" else (own > 3.0 * suffix_tree.STEPS).astype(np.int64)
+    _, count, root, chance, length = climb(block, known, 20.0, 1)
+    assert count.tolist() == [3, 3, 5, 3, 3, 5, 3, 3, 5, 2, 1, 5, 2, 1, 5]
+    assert length.tolist() == [0, 1, 0] * 3 + [0, 0, 0] * 2 and (chance >= root).all()
+
+
+def test_numbers_are_packed():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (grow_sorted(shrink_sorted(keys), len(keys)) == keys).all()
+    values = r.integers(-(1 << 62), 1 << 62, 50)
+    assert (grow(shrink(values), 50) == values).all() and len(grow(shrink(values[:0]), 0)) == 0
+    assert pa.types.is_binary(suffix_tree._arrow(suffix_tree._ASKED).field("keys").type)
