@@ -130,15 +130,15 @@ def test_what_was_counted_grows_with_the_input(spark):
 
 
 def test_only_repeated_runs_keep_a_context():
-    hashes = np.array([3, 4, 9, 3, 4, 9, 3, 4, 9, 5, 6, 9, 5, 7, 9], np.uint64)
-    block = Block.of(hashes, 0, np.full(5, 3), np.ones(5))
+    hashes = np.array([3, 4, 9] * 6 + [5, 6, 9, 5, 7, 9], np.uint64)
+    block = Block.of(hashes, 0, np.full(8, 3), np.ones(8))
     known = {}
     for _ in range(3):
-        for level, what, keys, own in climb(block, known, 20.0, 1)[0]:
+        for level, what, keys, own in climb(block, known, 30.0, 1)[0]:
             known[level, what] = own if what == "count" else (own > 3.0 * suffix_tree.STEPS).astype(np.int64)
-    _, count, root, chance, length = climb(block, known, 20.0, 1)
-    assert count.tolist() == [3, 3, 5, 3, 3, 5, 3, 3, 5, 2, 1, 5, 2, 1, 5]
-    assert length.tolist() == [0, 1, 0] * 3 + [0, 0, 0] * 2 and (chance >= root).all()
+    _, count, root, chance, length = climb(block, known, 30.0, 1)
+    assert count.tolist() == [6, 6, 8] * 6 + [2, 1, 8, 2, 1, 8]
+    assert length.tolist() == [0, 1, 1] * 6 + [0, 0, 0] * 2 and (chance >= root).all()
 
 
 def test_numbers_are_packed():
