@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +44,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a few numbers to a file.
+FILE_ROWS = 50_000
+
+
+def files(rows: int, per: int = FILE_ROWS) -> int:
+    """How many files, and tasks, so many rows are worth."""
+    return max(1, -(-rows // per))
+
+
 class Scratch:
     """Tables of one run, written to the shared folder, so that a lost executor costs no more than its tasks.
 
@@ -62,16 +71,22 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
+        """Writes a table and gives it back. ``rows``: about how many it has, if that is known; a file gets ``per`` of them.
+
+        A table of few rows thus becomes few files, however many partitions its last shuffle had; a large one keeps these.
+        """
         where = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(where)
+        if rows is not None:
+            frame = frame.coalesce(files(rows, per))
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # what this table was shuffled from goes at once
+        try:
+            frame.write.mode("overwrite").parquet(where)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(where)
 
-    def free_shuffles(self) -> None:
-        """Has the driver notice which shuffles nobody reads any more, so that executors delete their files."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         fs, path = self._path(f"{self.root}/{name}")
         fs.delete(path, True)

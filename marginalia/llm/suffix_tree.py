@@ -42,6 +42,8 @@ MASS, POWER = 4.0, 0.7
 ADDED = 0.1
 #: Tokens of a block, tokens to a bucket, and steps to a nat in which a block's share of a gain is sent.
 BLOCK_TOKENS, BUCKET_TOKENS, STEPS = 1 << 19, 1 << 20, 1 << 12
+#: Bits of a run's hash beyond those that the number of tokens has: one run in 2**EXTRA_BITS or so is taken for another, in a corpus of any size.
+EXTRA_BITS = 24
 
 _END = np.uint64(0x9E6C63D0676A9A99)
 _ON = np.uint64(0x9E3779B97F4A7C15)
@@ -105,11 +107,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, place.astype(np.int32)
 
 
-def climb(block: Block, known: Known, divisor: float, longest: int) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
+def climb(block: Block, known: Known, divisor: float, longest: int, mask: np.uint64 = np.uint64(0xFFFFFFFFFFFFFFFF)) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
     """(what to ask next, each token's count, its probability at the root, its probability and context's length in the tree).
 
     ``known``: answers by (length of context, "count" or "kept"), in the order of the sorted hashes that were asked for. Asked are, for
-    the first length whose ``kept`` isn't known, the gains of contexts, and counts of the runs that are one word longer.
+    the first length whose ``kept`` isn't known, the gains of contexts, and counts of the runs that are one word longer. ``mask``: the bits
+    of a run's hash that count.
     """
     own = np.arange(len(block.token)) >= block.lead
     row = block.row
@@ -117,7 +120,7 @@ def climb(block: Block, known: Known, divisor: float, longest: int) -> tuple[Ask
     asked: Asked = []
     if (0, "count") not in known:
         asked.append((0, "count", block.words, np.bincount(block.token[counted], minlength=len(block.words))))
-    words = mix(block.words)[block.token]
+    words = (mix(block.words) & mask)[block.token]
     run = words
     count = known[0, "count"][block.token] if (0, "count") in known else np.zeros(len(words), np.int64)
     first = count
@@ -130,7 +133,7 @@ def climb(block: Block, known: Known, divisor: float, longest: int) -> tuple[Ask
         before[1:], often[1:] = run[:-1], count[:-1]
         often[~inside] = 0
         ask = inside if k == 1 else often > 1
-        run = mix(before * _ON + words)
+        run = mix(before * _ON + words) & mask
         found, place = _distinct(run[ask])
         if (k, "count") not in known:
             asked.append((k, "count", found, np.bincount(place[counted[ask]], minlength=len(found))))
@@ -277,7 +280,7 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     lower-cased; a text's tokens are its words and one end. ``base_score``: log10 probability by the root alone;
     ``score``: by the tree of contexts of up to ``longest`` words; ``n_states``: tokens predicted from a retained context. A null
     text counts as empty: its end alone. Null keys (held out) and repeated rows are scored like others; other columns
-    are left out, so clashing names do no harm. An empty table gives none. Runs of words are told apart by 64-bit hashes.
+    are left out, so clashing names do no harm. An empty table gives none. Words are told apart by 64-bit hashes, runs as EXTRA_BITS says.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
@@ -285,13 +288,14 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     blocks = scratch.save(_blocks(rows, key, longest), "blocks")
     volume = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_TOKENS))
+    mask = np.uint64(((1 << 64) - 1) ^ ((1 << max(0, 64 - EXTRA_BITS - int(volume).bit_length())) - 1))
     columns = ["block", "keys", "lead", "n", "kinds", "words", "tokens", "sizes", "train"]
 
     def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                yield from _ask(r["block"], climb(_block(r), {}, 1.0, longest)[0], buckets)
+                yield from _ask(r["block"], climb(_block(r), {}, 1.0, longest, mask)[0], buckets)
         trim()
 
     def answered(asked: DataFrame, name: str) -> DataFrame:
@@ -306,7 +310,7 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def ask_in(k: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             [r] = left.to_pylist()
-            batches = list(_ask(r["block"], climb(_block(r), _All(_known(right), k), divisor, longest)[0], buckets))
+            batches = list(_ask(r["block"], climb(_block(r), _All(_known(right), k), divisor, longest, mask)[0], buckets))
             trim()
             return pa.Table.from_batches(batches, schema=_arrow(_ASKED))
 
@@ -315,15 +319,13 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     for k in range(1, longest + 1):
         asked = blocks.select(*columns).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_in(k), _ASKED)
         answers = answers.unionByName(answered(asked, f"answers-{k}").select(answers.columns))
-        del asked
-        scratch.free_shuffles()
     schema = T.StructType([rows.schema[key], T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")] + [T.StructField(c, T.LongType()) for c in ("n_states", "part")])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         [r] = left.select([c for c in left.column_names if c != "keys"]).to_pylist()
         keys = left.column("keys").combine_chunks().flatten()
         block = _block(r | {"keys": keys})
-        _, count, root, chance, length = climb(block, _All(_known(right), longest + 1), divisor, longest)
+        _, count, root, chance, length = climb(block, _All(_known(right), longest + 1), divisor, longest, mask)
         own = slice(block.lead, None)
         row, n = block.row[own], len(block.sizes)
         per = lambda v: np.bincount(row, v[own], n)
