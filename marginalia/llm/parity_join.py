@@ -18,7 +18,9 @@ either, and what stands before it bounds what they can share. Each pair meets in
 
 Candidates are verified exactly, by the intersection of the sets. Within a cell's sets only what could still
 change the components is compared: first each with the cell's most central set, then, between different
-components, all.
+components, all whose sketches of SKETCH bits, again by parity, don't differ in more bits than similar sets can.
+
+No cell is hot: a task sends a cell that several of its sets have only once, and counts it for these sets by itself.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.bytetext import buffers, mix, pack_sorted, row_words, unpack_sorted
 from marginalia.llm.components import connected_components
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, files, trim
 
 #: Words to a shingle. Similarity is at least LEAST / 100.
 WORDS, LEAST = 5, 75
@@ -41,8 +44,10 @@ WORDS, LEAST = 5, 75
 BUCKET_BYTES, HELD_CELLS = 8 << 20, 1 << 19
 #: Ratio of the sizes of adjoining classes.
 CLASS = 1.08
-#: Members of a group that are verified together; a larger group is split.
-GROUP = 256
+#: Members of a group that are verified together, and sets of a cell that are compared with each other in one task; more are split.
+GROUP, MEET = 256, 1024
+#: Pairs and texts to a file; bits of a set's sketch.
+PAIRS, TEXTS, SKETCH = 4096, 4096, 256
 #: Bits of the filter that finds the texts to verify; its table has at most FILTER_BITS / 64 rows.
 FILTER_BITS = 1 << 25
 
@@ -120,12 +125,16 @@ def _set_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _cells(docs: DataFrame, text: str, buckets: int, cells_of: Callable[[np.ndarray], list[tuple[np.ndarray, int]]]) -> DataFrame:
-    """Packed sketch cells of all distinct sets, a row for each bucket and some of a task's sets.
+_SENT = ("bucket int", "chunk long", "keys binary", "owners binary", "sids binary", "needs binary", "cells binary")
+
 
-    ``cells_of``: a set's (keys of its cells, number that goes with them) for each band.
+def _cells(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """Packed sketch cells of all sets, a row for each bucket and chunk, which is some of a task's distinct sets.
+
+    A cell that several sets of the chunk have is sent once, with the number of sets as its owner; those sets are credited with it in
+    rows of ``cells`` for the bucket of their ids, from ``buckets`` on.
     """
-    schema = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in ("keys", "owners", "sids", "needs")])
+    names = [c.split()[0] for c in _SENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -133,24 +142,39 @@ def _cells(docs: DataFrame, text: str, buckets: int, cells_of: Callable[[np.ndar
         owner_need: list[int] = []
         counts: list[int] = []
         seen: set[int] = set()
-        held = 0
+        held, chunk = 0, TaskContext.get().partitionId() << 24
+
+        def row(bucket: int, k: np.ndarray | None, o: np.ndarray | None, s: np.ndarray, t: np.ndarray, c: np.ndarray | None) -> pa.RecordBatch:
+            packed = (None if k is None else pack_sorted(k), None if o is None else _planes(o), s.tobytes(), _planes(t), None if c is None else _planes(c))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            nonlocal held
+            nonlocal held, chunk
             cells = np.concatenate(keys)
             owners = np.repeat(np.arange(len(counts)), counts)
             order = np.argsort(cells)
             cells, owners = cells[order], owners[order]
-            cuts = np.searchsorted((cells >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             sids, needs = np.array(owner_sid, np.int64), np.array(owner_need, "<u4")
-            for x in (keys, owner_sid, owner_need, counts):
+            for x in (keys, owner_sid, owner_need, counts, seen):
                 x.clear()
             held = 0
+            start = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+            sets = np.diff(np.append(start, len(cells)))
+            credit = np.bincount(owners[np.repeat(sets > 1, sets)], minlength=len(sids))
+            cells, owners = cells[start], np.where(sets > 1, len(sids), owners[start])
+            cuts = _cuts(cells, buckets)
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[b], cuts[b + 1])
                 own, where = np.unique(owners[part], return_inverse=True)
-                row = (b, pack_sorted(cells[part]), _planes(where), sids[own].tobytes(), _planes(needs[own]))
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], schema.names)
+                one = own < len(sids)
+                yield row(b, cells[part], where, sids[own[one]], needs[own[one]], None)
+            some = np.flatnonzero(credit)
+            some = some[np.argsort(sids[some].view(np.uint64))]
+            cuts = _cuts(sids[some].view(np.uint64), buckets)
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own = some[cuts[b] : cuts[b + 1]]
+                yield row(buckets + b, None, None, sids[own], needs[own], credit[own])
+            chunk += 1
 
         for batch in batches:
             raw, at = buffers(batch.column(0))
@@ -158,9 +182,8 @@ def _cells(docs: DataFrame, text: str, buckets: int, cells_of: Callable[[np.ndar
                 ident = set_id(hashes)
                 if ident in seen:
                     continue
-                if len(seen) < 1_000_000:  # only spares work: equal sets are joined later on
-                    seen.add(ident)
-                for cells, need in cells_of(hashes):
+                seen.add(ident)
+                for cells, need in sketch(hashes):
                     keys.append(cells)
                     owner_sid.append(ident)
                     owner_need.append(need)
@@ -170,8 +193,13 @@ def _cells(docs: DataFrame, text: str, buckets: int, cells_of: Callable[[np.ndar
                     yield from hand_on()
         if held:
             yield from hand_on()
+        trim()
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(_SENT))
+
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+def _cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted((sorted_keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -182,103 +210,191 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _in_common(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket, the cells that more than one set has: set ids, their numbers, keys, how many sets."""
-    keys, sids, needs = [], [], []
-    for k, o, s, t in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "sids", "needs")), strict=True):
-        owners = _from_planes(o)
-        keys.append(unpack_sorted(k))
-        sids.append(np.frombuffer(s, np.int64)[owners])
-        needs.append(_from_planes(t)[owners])
-    key, sid, need = np.concatenate(keys), np.concatenate(sids), np.concatenate(needs)
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    some = np.append(same, False) | np.append(False, same)
-    key, order = key[some], order[some]
-    sid, need = sid[order], need[order].astype(np.int32)
-    order = np.lexsort((need, sid, key))  # a set in both its bands has other cells in each
-    key, sid, need = key[order], sid[order], need[order]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])) if len(key) else np.zeros(0, bool)
-    key, sid, need = key[fresh], sid[fresh], need[fresh]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    sets = np.diff(np.append(start, len(key)))
-    sets = np.repeat(sets, sets)
-    several = sets > 1
-    return sid[several], need[several], key[several].view(np.int64), sets[several].astype(np.int32)
-
-
-def _shared_cells(table: pa.Table) -> pa.Table:
-    return pa.table([pa.array(c) for c in _in_common(table)], names=["sid", "need", "key", "sets"])
+_COUNTS = ("part int", "sids binary", "needs binary", "chunks binary", "cells binary")
 
 
 def _counter(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """How many cells of one bucket each set shares in each of its bands, packed by buckets of set ids."""
+    """How many cells of one bucket each set of each chunk shares with other sets in each of its bands, packed by buckets of set ids."""
+    names = [c.split()[0] for c in _COUNTS]
 
     def run(table: pa.Table) -> pa.Table:
-        sid, need, _, _ = _in_common(table)
-        sid = sid.view(np.uint64)
-        order = np.lexsort((need, sid))
-        sid, need = sid[order], need[order]
-        start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1]))) if len(sid) else np.zeros(0, np.int64)
+        bucket = table.column("bucket")[0].as_py()
+        rows = table.to_pylist()
+        if bucket >= buckets:  # what chunks have counted by themselves
+            columns = [[bucket - buckets] * len(rows), *([r[c] for r in rows] for c in ("sids", "needs")), [np.full(len(r["sids"]) // 8, r["chunk"]).tobytes() for r in rows], [r["cells"] for r in rows]]
+            return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+        keys, sids, needs, chunks, several = [], [], [], [], []
+        for r in rows:
+            owners = _from_planes(r["owners"]).astype(np.int64)
+            own = np.frombuffer(r["sids"], np.int64)
+            keys.append(unpack_sorted(r["keys"]))
+            several.append(owners == len(own))
+            sids.append(np.append(own, 0)[owners])
+            needs.append(np.append(_from_planes(r["needs"]), 0)[owners].astype(np.int32))
+            chunks.append(np.full(len(owners), r["chunk"]))
+        key, sid, need, chunk, many = (np.concatenate(x) for x in (keys, sids, needs, chunks, several))
+        order = np.argsort(key)
+        key, sid, need, chunk, many = key[order], sid[order], need[order], chunk[order], many[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        shared = np.logical_or.reduceat(many, start) | (np.minimum.reduceat(np.where(many, np.iinfo(np.int64).max, sid), start) < np.maximum.reduceat(np.where(many, np.iinfo(np.int64).min, sid), start))
+        own = np.repeat(shared, np.diff(np.append(start, len(key)))) & ~many
+        sid, need, chunk = sid[own].view(np.uint64), need[own], chunk[own]
+        order = np.lexsort((chunk, need, sid))
+        sid, need, chunk = sid[order], need[order], chunk[order]
+        start = _starts(sid, need, chunk)
         cells = np.diff(np.append(start, len(sid)))
-        sid, need = sid[start], need[start]
-        cuts = np.searchsorted((sid >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        sid, need, chunk = sid[start], need[start], chunk[start]
+        cuts = _cuts(sid, buckets)
         some = np.flatnonzero(np.diff(cuts)).tolist()
         parts = [slice(cuts[b], cuts[b + 1]) for b in some]
-        columns = [pa.array([f(x[p]) for p in parts], pa.binary()) for f, x in ((pack_sorted, sid), (_planes, need), (_planes, cells))]
-        return pa.table([pa.array(some, pa.int32()), *columns], names=["part", "sids", "needs", "cells"])
+        columns = [pa.array([f(x[p]) for p in parts], pa.binary()) for f, x in ((np.ndarray.tobytes, sid), (_planes, need), (np.ndarray.tobytes, chunk), (_planes, cells))]
+        trim()
+        return pa.table([pa.array(some, pa.int32()), *columns], names=names)
 
     return run
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of sorted columns start."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+
+
 def _going_on(table: pa.Table) -> pa.Table:
     """The sets of one bucket of ids that share as many cells as they need in one of their bands."""
-    sid = np.concatenate([unpack_sorted(x) for x in table.column("sids").to_pylist()])
+    sid, chunk = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("sids", "chunks"))
     need, cells = (np.concatenate([_from_planes(x) for x in table.column(c).to_pylist()]) for c in ("needs", "cells"))
-    order = np.lexsort((need, sid))
-    sid, need, cells = sid[order], need[order], cells[order]
-    start = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (need[1:] != need[:-1])))
+    order = np.lexsort((chunk, need, sid))
+    sid, need, chunk, cells = sid[order], need[order], chunk[order], cells[order]
+    start = _starts(sid, need, chunk)
     enough = np.add.reduceat(cells.astype(np.int64), start) >= need[start]
-    return pa.table([pa.array(np.unique(sid[start][enough]).view(np.int64))], names=["sid"])
+    trim()
+    return pa.table([pa.array(np.unique(sid[start][enough]))], names=["sid"])
 
 
 def _buckets(spark: SparkSession, volume: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
 
 
+_FINE = "cell long, sid long, n int, place int, rank int, least int, bits array<long>"
+
+
 def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``cell, sid, n, place, rank, head``: the cells of the finest resolution in which similar sets must meet.
+    """``cell, sid, n, place, rank, bits, head``: the cells of the finest resolution in which similar sets must meet.
 
-    ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set.
-    ``head``: the cell's most central set. A cell's sets are only ever pre-aggregated, or joined to one row.
+    ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set. ``bits``: its sketch.
+    ``head``: the cell's most central set. Blocks of sets ask how many sets have each of their cells, once for a block; a cell's sets
+    are only ever pre-aggregated, or joined to one row.
     """
     spark = texts.sparkSession
-    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = _buckets(spark, volume)
-    fine = _cells(texts, "text", buckets, lambda hashes: [(hashes, len(hashes))] if len(hashes) else [])
-    shared = fine.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_cells, "sid long, need int, key long, sets int")
-    own = shared.groupBy("sid", F.col("need").cast("long").alias("n")).agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("cells"))  # as many as a set has shingles
-    own = own.withColumn("rank", F.expr("cast(-aggregate(cells, 0L, (s, c) -> s + c.sets) div n as int)")).withColumn("least", F.expr(f"({LEAST} * n + 99) div 100"))
-    own = own.where("size(cells) >= least").withColumn("first", F.expr("cast(size(cells) - least + 1 as int)"))
-    cells = own.select("sid", F.col("n").cast("int").alias("n"), "rank", "least", F.expr("cast(n - size(cells) as int)").alias("before"), F.posexplode(F.expr("slice(cells, 1, first)")).alias("i", "c"))
-    cells = cells.select(F.col("c.key").alias("cell"), "sid", "n", (F.col("before") + F.col("i")).alias("place"), "rank", "least")
+    blocks = scratch.save(_set_blocks(texts), "blocks")
+    cells_in_all = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = _buckets(spark, 8 * cells_in_all)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found, sets = np.unique(np.frombuffer(r["cells"], np.uint64), return_counts=True)
+                cuts = _cuts(found, buckets)
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+                columns = [pa.array(some, pa.int32()), pa.array([r["block"]] * len(some), pa.int64()), pa.array([pack_sorted(found[p]) for p in parts], pa.binary()), pa.array([_planes(sets[p]) for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "sets"])
+        trim()
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        bounds = np.append(0, np.cumsum([len(k) for k in keys])).tolist()
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sets = np.bincount(place, np.concatenate([_from_planes(x) for x in table.column("sets").to_pylist()])).astype(np.int64)[place]
+        trim()
+        return pa.table([table.column("block"), table.column("bucket"), pa.array([_planes(np.minimum(sets[a:b], 0xFFFFFFFF)) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["block", "bucket", "sets"])
+
+    asked = blocks.select("block", "cells").mapInArrow(ask, "bucket int, block long, keys binary, sets binary")
+    answers = scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block long, bucket int, sets binary"), "shared")
+
+    def first_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+        [r] = left.to_pylist()
+        hashes, sids, sizes = np.frombuffer(r["cells"], np.uint64), np.frombuffer(r["sids"], np.int64), np.frombuffer(r["sizes"], np.int64)
+        found, place = np.unique(hashes, return_inverse=True)
+        sets = np.concatenate([_from_planes(x) for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("sets").to_pylist(), strict=True))])[place].astype(np.int64)
+        out: list[tuple[np.ndarray, ...]] = []
+        bits = []
+        for sid, a, b in zip(sids.tolist(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+            n, least = b - a, -(-LEAST * (b - a) // 100)
+            several = np.flatnonzero(sets[a:b] > 1)
+            if len(several) < least:
+                continue
+            own = several[np.lexsort((hashes[a:b][several], sets[a:b][several]))][: len(several) - least + 1] + a
+            before = np.arange(n - len(several), n - len(several) + len(own))
+            own, before = (x[(100 + LEAST) * (n - before) // LEAST - n >= least] for x in (own, before))
+            rank = -int(sets[a:b][several].sum()) // n
+            out.append((hashes[own].view(np.int64), *(np.full(len(own), v) for v in (sid, n)), before, np.full(len(own), rank), np.full(len(own), least)))
+            bits += [parity_bits(hashes[a:b])] * len(own)
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+        trim()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)] + [pa.array(bits, pa.list_(pa.int64()))], names=[c.split()[0] for c in _FINE.split(", ")])
+
+    cells = blocks.select("block", "cells", "sids", "sizes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(first_cells, _FINE)
     # what stands before a cell bounds the size of a similar set that has it, too; keep a set where such sizes occur
     kind = lambda c: f"cast(floor(ln({c}) / ln({CLASS})) as int)"
-    cells = cells.withColumn("most", F.expr(f"({100 + LEAST} * (n - place)) div {LEAST} - n")).where("most >= least")
-    cells = scratch.save(cells, "cells")
-    together = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.collect_set(F.expr(kind("n"))).alias("sizes"), F.min(F.struct("rank", "sid", "n", "place")).alias("head"))
-    cells = cells.join(together.where("sets > 1").drop("sets"), "cell").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
-    return scratch.save(cells.select("cell", "sid", "n", "place", "rank", "head"), "kept")
+    cells = scratch.save(cells.withColumn("most", F.expr(f"({100 + LEAST} * (n - place)) div {LEAST} - n")), "cells")
+    rows = cells.count()
+    together = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.collect_set(F.expr(kind("n"))).alias("sizes"), F.min(F.struct("rank", "sid", "n", "place", "bits")).alias("head"))
+    together = scratch.save(together.where("sets > 1").drop("sets"), "together", rows)  # by itself, so that a cell of many sets can be split where it is joined
+    cells = cells.join(together, "cell").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
+    return scratch.save(cells.select("cell", "sid", "n", "place", "rank", "bits", "head"), "kept", rows)
+
+
+def parity_bits(hashes: np.ndarray) -> list[int]:
+    """A sketch of SKETCH bits: each shingle turns one over, so that two sketches differ in at most as many bits as their sets in shingles."""
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
 
+def _set_blocks(texts: DataFrame) -> DataFrame:
+    """Whole sets of ``texts`` (sid, text), some to a row: ``block, size, sids, sizes, cells``."""
 
-def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        sids: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def hand_on() -> pa.RecordBatch:
+            nonlocal number
+            cells = np.concatenate(sets)
+            parts = (np.array(sids, np.int64), np.array([len(x) for x in sets], np.int64), cells)
+            out = [pa.array([number], pa.int64()), pa.array([len(cells)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
+            number += 1
+            sids.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays(out, ["block", "size", "sids", "sizes", "cells"])
+
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            raw, at = buffers(batch.column(1))
+            for row, hashes in shingle_sets(raw, at):
+                if len(hashes):
+                    sids.append(own[row])
+                    sets.append(hashes)
+                if sum(map(len, sets[-1:])) and sum(map(len, sets)) >= HELD_CELLS:
+                    yield hand_on()
+        if sets:
+            yield hand_on()
+        trim()
+
+    return texts.select("sid", "text").mapInArrow(run, "block long, size long, sids binary, sizes binary, cells binary")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:
     """Those of ``pairs`` (a, b: set ids) that are similar, by their whole texts (``sid, text``).
 
-    Pairs are grouped by a, at most GROUP of them together, and a's text goes to each such group.
+    Pairs are grouped by a, at most GROUP of them together, and a's text goes to each such group. ``rows``: about how many pairs.
     """
     pairs = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a", F.pmod(F.xxhash64("b"), F.lit(64))).orderBy("b")) - 1) / GROUP) * 64 + F.pmod(F.xxhash64("b"), F.lit(64)))
-    pairs = scratch.save(pairs, f"{name}-pairs")
+    pairs = scratch.save(pairs, f"{name}-pairs", rows)
+    n = pairs.count()
     rows = pairs.select("a", "part", F.col("b").alias("sid")).union(pairs.select("a", "part", F.col("a").alias("sid")).distinct())
     rows = rows.join(texts, "sid").select("a", "part", "sid", "text")
 
@@ -294,7 +410,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
                 near.append(int(sids[row]))
         return pa.table([pa.array([leader] * len(near), pa.int64()), pa.array(near, pa.int64())], names=["a", "b"])
 
-    return scratch.save(rows.groupBy("a", "part").applyInArrow(run, "a long, b long"), f"{name}-links")
+    return scratch.save(rows.groupBy("a", "part").applyInArrow(run, "a long, b long"), f"{name}-links", n, PAIRS)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -335,24 +451,27 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     volume = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = _buckets(spark, volume)
     sets = scratch.save(_set_ids(docs, key, text), "sets")
-    cells = _cells(docs.where(F.col(key).isNotNull()), text, buckets, sketch)  # not kept: a second reading of the texts is cheaper
-    shared = cells.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counter(buckets), "part int, sids binary, needs binary, cells binary")
-    going_on = shared.repartition(buckets, "part").groupBy("part").applyInArrow(_going_on, "sid long")
-    least = sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least"))
-    wanted = scratch.save(going_on.join(least, "sid").select(F.col("least").alias(key), "sid"), "wanted")
+    total = sets.count()
+    cells = _cells(docs.where(F.col(key).isNotNull()), text, buckets)  # not kept: a second reading of the texts is cheaper
+    shared = cells.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counter(buckets), ", ".join(_COUNTS))
+    going_on = scratch.save(shared.repartition(buckets, "part").groupBy("part").applyInArrow(_going_on, "sid long"), "going-on", total)
+    least = scratch.save(sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least")), "least", total)
+    wanted = scratch.save(going_on.join(least, "sid").select(F.col("least").alias(key), "sid"), "wanted", total)
     # a repeated key may have several texts: its sets are told apart again by their ids
     texts = _texts_of(docs, wanted, key, text).mapInArrow(_with_own_id, "own long, sid long, text string").where("own = sid").select("sid", "text")
-    texts = scratch.save(texts.dropDuplicates(["sid"]), "texts")
+    texts = scratch.save(texts.dropDuplicates(["sid"]), "texts", wanted.count(), TEXTS)
     kept = _finest(texts, scratch)
     links = _linked(kept, texts, scratch)
     links = links.unionByName(_same_key(sets, key))
-    roots = connected_components(links, scratch, "components")
+    roots = connected_components(links, scratch, "components", total)
     by_set = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    by_set = scratch.save(by_set, "roots", total)
     smallest = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = by_set.join(smallest, "root").select("sid", "component_id")
     out = sets.join(by_set, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key))
-    return out.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), own).alias("component_id"))
+    out = out.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), own).alias("component_id"))
+    return out.coalesce(files(total))
 
 
 def _with_own_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,29 +493,38 @@ def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that join the same sets as all links between sets that share a kept cell do.
 
     A cell's first set is its most central one: that whose cells are shared by the most sets, on average. An original
-    is more central than its altered copies, so that most of them are linked to it at once.
+    is more central than its altered copies, so that most of them are linked to it at once. In the last turn sets of different
+    components meet in blocks of MEET sets of a cell, and a pair leaves its task only if sizes, places and sketches allow a link.
     """
-    own = F.struct("rank", "sid", "n", "place")
+    rows = kept.count()
+    own = F.struct("rank", "sid", "n", "place", "bits")
+    apart = " + ".join(f"bit_count({{0}}.bits[{i}] ^ {{1}}.bits[{i}])" for i in range(SKETCH // 64))
     possible = f"{LEAST} * greatest({{0}}.n, {{1}}.n) <= 100 * least({{0}}.n, {{1}}.n) and {100 + LEAST} * least({{0}}.n - {{0}}.place, {{1}}.n - {{1}}.place) >= {LEAST} * ({{0}}.n + {{1}}.n)"
+    possible += f" and {100 + LEAST} * ({apart}) <= {100 - LEAST} * ({{0}}.n + {{1}}.n)"
     stars = kept.withColumn("own", own).where("head.sid <> sid").where(possible.format("head", "own"))
     tried = stars.groupBy(F.col("sid").alias("b")).agg(F.min("head").alias("a")).select("a.sid", "b").toDF("a", "b")
-    links = _verify(tried, texts, scratch, "first")
+    links = _verify(tried, texts, scratch, "first", rows)
     tried = scratch.spark.read.parquet(f"{scratch.root}/first-pairs").select("a", "b")
     for turn, all_pairs in (("stars", False), ("all", True)):
-        roots = connected_components(links, scratch, f"{turn}-components")
+        roots = connected_components(links, scratch, f"{turn}-components", rows)
         open_ = kept.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        several = open_.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-        open_ = scratch.save(open_.join(several, "cell"), f"{turn}-open")
+        open_ = scratch.save(open_.drop("head"), f"{turn}-roots", rows)
+        heads = F.min(F.struct("rank", "sid", "n", "place", "bits", "root")).alias("a")
+        several = open_.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets"), heads).where("low <> high").drop("low", "high")
+        several = scratch.save(several, f"{turn}-several", rows)
         if all_pairs:
-            left, right = open_.alias("l"), open_.alias("r")
-            more = left.join(right, F.expr("l.cell = r.cell and l.sid < r.sid and l.root <> r.root and " + possible.format("l", "r")))
-            more = more.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+            blocks = F.ceil(F.col("sets") / MEET).cast("int")
+            meet = open_.join(several.select("cell", blocks.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+            meet = meet.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+            meet = scratch.save(meet.select("cell", "i", "j", "block", "sid", "n", "place", "bits", "root"), "all-meet", rows)
+            left, right = meet.where("block = i").alias("l"), meet.where("block = j").alias("r")
+            more = left.join(right, F.expr("l.cell = r.cell and l.i = r.i and l.j = r.j and (l.i < l.j or l.sid < r.sid) and l.root <> r.root and " + possible.format("l", "r")))
+            more = more.select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct()
         else:
-            heads = open_.groupBy("cell").agg(F.min(F.struct("rank", "sid", "n", "place", "root")).alias("a"))
-            more = open_.withColumn("own", own).join(heads, "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()
+            more = open_.withColumn("own", own).join(several.select("cell", "a"), "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()
         done = tried.union(tried.select("b", "a"))
         more = more.join(done, ["a", "b"], "left_anti")
-        found = _verify(more, texts, scratch, turn)
+        found = _verify(more, texts, scratch, turn, rows)
         tried = tried.union(scratch.spark.read.parquet(f"{scratch.root}/{turn}-pairs").select("a", "b"))
         links = links.union(found)
     return links
@@ -407,9 +535,12 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Of rows with one key one stays; rows with a null key all stay.
     """
-    groups = jaccard_groups(docs, key=key, text=text)
-    groups = Scratch(docs.sparkSession, "kept").save(groups.where(F.col(key).isNotNull()).select(key, (F.col(key) != F.col("component_id")).alias("other")), "groups")
-    out = docs.join(groups.where("other").select(key).distinct(), key, "left_anti").select(*docs.columns)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kept")
+    groups = jaccard_groups(docs, key=key, text=text).where(F.col(key).isNotNull())
+    groups = scratch.save(groups.select(key, (F.col(key) != F.col("component_id")).alias("other")), "groups")
+    others = scratch.save(groups.where("other").select(key).distinct(), "others", groups.count())
+    out = docs.join(others, key, "left_anti").select(*docs.columns)
     if groups.groupBy(key).count().where("count > 1").isEmpty():
         return out
     return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))

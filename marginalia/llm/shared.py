@@ -6,6 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.tables: list[str] = []
         bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
@@ -71,6 +74,16 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    @contextmanager
+    def _cleaned(self) -> Iterator[None]:
+        """What a table is shuffled from goes as soon as it is written."""
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+
     def save(self, frame: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
         """Writes a table and gives it back. ``rows``: about how many it has, if that is known; a file gets ``per`` of them.
 
@@ -79,14 +92,27 @@ class Scratch:
         where = f"{self.root}/{name}"
         if rows is not None:
             frame = frame.coalesce(files(rows, per))
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")  # what this table was shuffled from goes at once
-        try:
+        with self._cleaned():
             frame.write.mode("overwrite").parquet(where)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(where)
 
+    def save_by(self, frame: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Writes a table in so many buckets of ``column``, by which it is grouped or joined later on without a shuffle.
+
+        The catalog of the session knows it until ``forget``; its files are in the shared folder like all others.
+        """
+        table = f"{name}_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        with self._cleaned():
+            frame.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", f"{self.root}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def forget(self) -> None:
+        """Takes the tables of ``save_by`` out of the catalog."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+
     def drop(self, name: str) -> None:
         fs, path = self._path(f"{self.root}/{name}")
         fs.delete(path, True)
