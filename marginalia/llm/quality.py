@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from marginalia.llm.bytetext import PIECE, buffers, pieces, range_hashes, row_words
 from marginalia.llm.labelled import remainder, training_labels
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, trim
 
 #: Classes of bytes whose shares are statistics.
 BYTE_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r", "\n", ".", ",", "!?", "|", "#$%&*+=~^", "<>{}[]()\\/@_", "'\"-:;")
@@ -241,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
             for row, found in in_parts(*buffers(batch.column(1))):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(STATISTICS), pa.int32()), pa.array(found.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), lists], ["label", "statistics"])
+        trim()
 
     texts = docs.where(F.col(key).isNotNull()).join(F.broadcast(known), key)  # 2 * limit keys at most
     rows = texts.select("label", F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
@@ -276,18 +277,24 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_column(batch.column(1), model))], schema.names)
+        trim()
 
     out = docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     return out.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = 0.3, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score (see ``classify_quality``) is ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose score (see ``classify_quality``) is ``threshold`` or more.
+
+    A null text counts as empty; null keys and repeated rows are judged like others; any columns may stand beside, and a text column
+    of another type is read as text. An empty table gives none. Only texts go to Python, and only a flag comes back.
+    """
     model = learn(docs, labels, key=key, text=text, label=label, folds=folds, limit=limit)
-    place = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(score_column(batch.column(place), model) >= threshold))
+    @F.arrow_udf(T.BooleanType())
+    def good(texts: pa.Array) -> pa.Array:
+        flags = pa.array(score_column(texts, model) >= threshold)
+        trim()
+        return flags
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(text).cast("string")))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from marginalia.llm.bytetext import buffers, mix
 from marginalia.llm.labelled import remainder, training_labels
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, files, trim
 
 #: Words known without any label, and phrases in which an entry means no harm.
 KNOWN = ("idiot", "idiots", "moron", "morons", "scum", "scumbag", "stupid", "pathetic", "loser", "losers", "worthless", "disgusting", "imbecile", "dumbass", "retard", "asshole", "bastard", "bitch", "whore", "slut", "fuck", "fucking", "shit", "cunt", "faggot", "nigger")
@@ -40,11 +40,12 @@ DISGUISES = {"o": "0оοσ°", "i": "1lі|ι¡ӏ", "e": "3еєε€", "a": "4@а
 #: Signs that are far more often themselves than letters.
 _PLAIN_SIGNS = "|+$×°¢€§¡¿"
 STEM, LONGEST = 4, 12
-#: Labelled texts of either class to learn from, at most, and entries of a lexicon.
-LIMIT, ENTRIES = 20_000, 5_000
-#: Patterns of toxic texts, the most common ones, that are looked for among the others.
-PATTERNS = 200_000
-#: Share of toxic families that an entry must occur in, how many at least, and the odds it must have.
+#: Texts to a file of those learned from.
+TEXTS = 2048
+#: Labelled texts of either class to learn from, at most.
+LIMIT = 20_000
+#: Share of toxic families that an entry must occur in, how many at least, and the odds it must have. The share bounds how many
+#: patterns are looked for among the other texts: 1 / SUPPORT times as many as a toxic text has on average.
 SUPPORT, LEAST_SUPPORT, ODDS = 0.004, 3, 20.0
 
 
@@ -217,14 +218,15 @@ def choose_entries(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -
             p = min(longer)
         if p not in chosen:
             chosen[p] = float(np.log(odds(*good[p])))
-    top = sorted(chosen.items(), key=lambda x: (-good[x[0]][0], x[0]))[:ENTRIES]
-    return dict(top)
+    return dict(sorted(chosen.items()))
 
 
-def _with_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        families = [family(t) for _, folded in folded_parts(batch.column(1)) for t in folded]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(families, pa.int64()), batch.column(1)], ["label", "family", "text"])
+        for row, part in folded_parts(batch.column(1)):
+            columns = [batch.column(0).slice(row, len(part)), pa.array([family(t) for t in part], pa.int64()), pa.array(part, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "family", "folded"])
+    trim()
 
 
 def _count_patterns(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
@@ -237,15 +239,17 @@ def _count_patterns(texts: DataFrame, among: frozenset[str] | None) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["pattern", "n"])
 
         for batch in batches:
-            for folded in (t for _, part in folded_parts(batch.column(0)) for t in part):
-                own = patterns(folded)
+            for folded in batch.column(0):
+                own = patterns(folded.as_py())
                 counts.update(own if among is None else own & among)
                 if len(counts) > 500_000:
                     yield rows()
                     counts.clear()
         yield rows()
+        counts.clear()
+        trim()
 
-    return texts.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return texts.select("folded").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, folds: int, limit: int, known: Iterable[str] = KNOWN, exceptions: Iterable[str] = EXCEPTIONS) -> Model:
@@ -254,17 +258,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     scratch = Scratch(spark, "toxicity")
     sample = scratch.save(training_labels(labels, label, key=key, folds=folds, limit=limit), "sample")
     texts = docs.where(F.col(key).isNotNull()).join(F.broadcast(sample), key).select("label", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))  # 2 * limit keys at most
-    texts = scratch.save(texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "texts")
+    rows = min(sample.count(), 2 * limit)
+    texts = texts.repartition(max(files(rows, TEXTS), min(rows, spark.sparkContext.defaultParallelism)))
+    texts = scratch.save(texts.mapInArrow(_folded, "label int, family long, folded string"), "texts")
     # one text of each family of copies
-    apart = scratch.save(texts.mapInArrow(_with_family, "label int, family long, text string").dropDuplicates(["label", "family"]), "families")
+    apart = scratch.save(texts.groupBy("label", "family").agg(F.min("folded").alias("folded")), "families", rows, TEXTS)
     sizes = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     weights: dict[str, float] = {}
     if toxic and clean:
         least = max(LEAST_SUPPORT, SUPPORT * toxic)
         common = _count_patterns(apart.where("label = 1"), None).where(F.col("n") >= least)
-        found = {r["pattern"]: r["n"] for r in common.orderBy(F.desc("n"), "pattern").limit(PATTERNS).collect()}
-        among = {r["pattern"]: r["n"] for r in _count_patterns(apart.where("label = 0"), frozenset(found)).collect()}  # PATTERNS rows at most
+        found = {r["pattern"]: r["n"] for r in common.collect()}  # bounded by limit and SUPPORT
+        among = {r["pattern"]: r["n"] for r in _count_patterns(apart.where("label = 0"), frozenset(found)).collect()}  # no more
         weights = choose_entries({p: (n, among.get(p, 0)) for p, n in found.items()}, toxic, clean)
     for word in fold(list(known)):
         stems = {word[:k] for k in range(STEM + 1, len(word))}
@@ -277,13 +283,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = Counter()
-            for y, t in zip(batch.column(0).to_pylist(), (t for _, part in folded_parts(batch.column(1)) for t in part), strict=True):
+            for y, folded in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = folded.as_py()
                 rows[y, *(round(v, 2) for v in measures(matcher.hits(t), t))] += 1
             columns = list(zip(*[(*k, n) for k, n in rows.items()], strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["label", "x", "y", "z", "n"])
 
-    rows = texts.mapInArrow(measure, "label int, x double, y double, z double, n long").collect()  # 2 * limit rows at most
+    rows = texts.select("label", "folded").mapInArrow(measure, "label int, x double, y double, z double, n long").collect()  # 2 * limit rows at most
     if len({r["label"] for r in rows}) == 2:
         x = np.repeat(np.array([[r["x"], r["y"], r["z"]] for r in rows]), [r["n"] for r in rows], 0)
         model.coefficients = logistic(x, np.repeat(np.array([r["label"] for r in rows], float), [r["n"] for r in rows]))
@@ -317,20 +324,27 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
         for batch in batches:
             for row, found in score_parts(batch.column(1), model, matcher):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], schema.names)
+        trim()
 
     out = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
     return out.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "n_hits")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score (see ``classify_toxicity``) is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose score (see ``classify_toxicity``) is below ``threshold``.
+
+    A null text counts as empty; null keys and repeated rows are judged like others; any columns may stand beside, and a text column
+    of another type is read as text. An empty table gives none. Only texts go to Python, and only a flag comes back.
+    """
     model = learn(docs, labels, key=key, text=text, label=label, folds=folds, limit=limit)
-    place = docs.columns.index(text)
+    matchers: list[Matcher] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.weights, model.exceptions)
-        for batch in batches:
-            for row, found in score_parts(batch.column(place), model, matcher):
-                yield batch.slice(row, len(found)).filter(pa.array([f[0] < threshold for f in found], pa.bool_()))
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        if not matchers:
+            matchers.append(Matcher(model.weights, model.exceptions))
+        flags = pa.array([f[0] < threshold for _, found in score_parts(texts, model, matchers[0]) for f in found], pa.bool_())
+        trim()
+        return flags
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(text).cast("string")))
