@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from marginalia.llm.bytetext import buffers
 from marginalia.llm.fragment_bpe import encoder
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, trim
 
 #: Numbers of groups of equal cardinality, and shares of the capacity above which a length is large, to try; the plan
 #: with the fewest sequences is taken.
@@ -206,6 +206,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, end_id: int, k
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(bounds_of(begin, length), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+        trim()
 
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
 
@@ -228,11 +229,12 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(cut_pieces(docs, tokenizer, capacity, end_id=end_id, key=key, text=text, with_ids=with_ids), "pieces")
+    pieces = cut_pieces(docs, tokenizer, capacity, end_id=end_id, key=key, text=text, with_ids=with_ids)
+    pieces = scratch.save(pieces.withColumn("spread", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(counts, capacity)
-    ranked = _ranked(pieces, counts, key)
-    fields = [f for f in pieces.schema.fields if f.name != "ids"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    ranked = _ranked(pieces, counts)
+    fields = [f for f in pieces.schema.fields if f.name not in ("ids", "spread")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     fields += [f for f in pieces.schema.fields if f.name == "ids"]
     schema = T.StructType(fields)
 
@@ -246,14 +248,13 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     return ranked.mapInArrow(run, schema)
 
 
-def _ranked(pieces: DataFrame, counts: dict[int, int], key: str) -> DataFrame:
-    """Adds ``rank``: from 0, among the pieces of the same length."""
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds ``rank``: from 0, among the pieces of the same length, in the order of ``spread``, a number of the written row."""
     spark = pieces.sparkSession
     share = max(200, sum(counts.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salts = spark.createDataFrame([(x, -(-n // share)) for x, n in counts.items()], "length long, salts int")  # as many rows as lengths, at most
-    order = [key, "piece", "start", "ids_crc32"]
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts"))).drop("salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("spread"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order))
+    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("spread"))
     return salted.withColumn("local", local).join(offsets, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("local") - 1).drop("base", "local", "salt")
