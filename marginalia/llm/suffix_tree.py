@@ -40,8 +40,8 @@ LONGEST, GAIN = 3, 3.0
 MASS, POWER = 4.0, 0.7
 #: What is added to each count of the root's distribution.
 ADDED = 0.1
-#: Tokens of a block, tokens to a bucket, and steps to a nat in which a block's share of a gain is sent.
-BLOCK_TOKENS, BUCKET_TOKENS, STEPS = 1 << 19, 1 << 20, 1 << 12
+#: Tokens of a block, bytes of text to a bucket, and steps to a nat in which a block's share of a gain is sent.
+BLOCK_TOKENS, BUCKET_BYTES, STEPS = 1 << 19, 8 << 20, 1 << 12
 #: Bits of a run's hash beyond those that the number of tokens has: one run in 2**EXTRA_BITS or so is taken for another, in a corpus of any size.
 EXTRA_BITS = 24
 
@@ -88,23 +88,40 @@ class Block:
 
     @classmethod
     def of(cls, hashes: np.ndarray, lead: int, sizes: np.ndarray, train: np.ndarray) -> Block:
-        words, token = np.unique(hashes, return_inverse=True)
+        words, token = distinct(hashes)
         return cls(words, token, lead, np.asarray(sizes, np.int64), np.asarray(train, bool))
 
     @property
     def row(self) -> np.ndarray:
-        """Each token's row; the lead is part of the first one."""
-        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return np.concatenate([np.zeros(self.lead, np.int64), row])
+        """Each own token's row."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @property
+    def counted(self) -> np.ndarray:
+        """Whether each token is learned from; those of the lead are in their own block."""
+        return np.concatenate([np.zeros(self.lead, bool), np.repeat(self.train, self.sizes)])
+
+    @property
+    def since(self) -> np.ndarray:
+        """How many tokens of its row stand before each, as far as the block has them."""
+        sizes = self.sizes.copy()
+        sizes[:1] += self.lead
+        return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 Known = dict[tuple[int, str], np.ndarray]
 Asked = list[tuple[int, str, np.ndarray, np.ndarray]]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(keys, return_inverse=True)
-    return found, place.astype(np.int32)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    there = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(there[1:], there[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return there[new], place
 
 
 def climb(block: Block, known: Known, divisor: float, longest: int, mask: np.uint64 = np.uint64(0xFFFFFFFFFFFFFFFF)) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,48 +131,50 @@ def climb(block: Block, known: Known, divisor: float, longest: int, mask: np.uin
     the first length whose ``kept`` isn't known, the gains of contexts, and counts of the runs that are one word longer. ``mask``: the bits
     of a run's hash that count.
     """
-    own = np.arange(len(block.token)) >= block.lead
-    row = block.row
-    counted = own & block.train[row]
+    n = len(block.token)
+    since = block.since
+    counted = block.counted
     asked: Asked = []
     if (0, "count") not in known:
         asked.append((0, "count", block.words, np.bincount(block.token[counted], minlength=len(block.words))))
-    words = (mix(block.words) & mask)[block.token]
-    run = words
-    count = known[0, "count"][block.token] if (0, "count") in known else np.zeros(len(words), np.int64)
+    words = (block.words & mask)[block.token]
+    # of each token, the run that ends with it: its hash, its place among the block's distinct ones, and how often it was counted
+    found, place, run = block.words, block.token, words
+    count = known[0, "count"][block.token] if (0, "count") in known else np.zeros(n, np.int64)
     first = count
     root = (count + ADDED) / divisor
-    chance, length = root.copy(), np.zeros(len(words), np.int8)
+    chance, length = root.copy(), np.zeros(n, np.int8)
     for k in range(1, longest + 1):
-        inside = np.zeros(len(row), bool)
-        inside[k:] = row[k:] == row[:-k]
-        before, often = np.zeros_like(run), np.zeros_like(count)
-        before[1:], often[1:] = run[:-1], count[:-1]
-        often[~inside] = 0
-        ask = inside if k == 1 else often > 1
-        run = mix(before * _ON + words) & mask
-        found, place = _distinct(run[ask])
+        inside = np.flatnonzero(since >= k)
+        often = count[inside - 1]
+        use = inside[often > 1]
+        ask = inside if k == 1 else use
+        often = often[often > 1]
+        ids = place[use - 1]
+        shorter, short_found = run, found
+        run = np.zeros(n, np.uint64)
+        run[ask] = mix(shorter[ask - 1] * _ON + words[ask]) & mask
+        found, own = distinct(run[ask])
         if (k, "count") not in known:
-            asked.append((k, "count", found, np.bincount(place[counted[ask]], minlength=len(found))))
+            asked.append((k, "count", found, np.bincount(own[counted[ask]], minlength=len(found))))
             break
-        count = np.zeros_like(often)
-        count[ask] = known[k, "count"][place]
-        use = np.flatnonzero(often > 1)
-        contexts, place = _distinct(before[use])
+        place, count = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        place[ask], count[ask] = own, known[k, "count"][own]
+        there = np.zeros(len(short_found), bool)  # contexts are runs of the last round: their order is known
+        there[ids] = True
+        ids = (np.cumsum(there) - 1)[ids]
         if (k, "kept") in known:
-            kept = known[k, "kept"][place] > 0
-            use = use[kept]
-            n = often[use].astype(np.float64)
-            a = pseudo_counts(n)
-            chance[use] = (count[use] + a * chance[use]) / (n + a)
+            kept = known[k, "kept"][ids] > 0
+            use, m = use[kept], often[kept].astype(np.float64)
+            a = pseudo_counts(m)
+            chance[use] = (count[use] + a * chance[use]) / (m + a)
             length[use] = k
         else:
             learn = counted[use]
-            use = use[learn]
-            n, p = often[use] - 1.0, chance[use]
-            a = pseudo_counts(n)
-            gain = np.bincount(place[learn], np.log((count[use] - 1 + a * p) / ((n + a) * p)), len(contexts))
-            asked.append((k, "kept", contexts, np.round(gain * STEPS).astype(np.int64)))
+            use, m = use[learn], often[learn] - 1.0
+            p, a = chance[use], pseudo_counts(m)
+            gain = np.bincount(ids[learn], np.log((count[use] - 1 + a * p) / ((m + a) * p)), int(there.sum()))
+            asked.append((k, "kept", short_found[there], np.round(gain * STEPS).astype(np.int64)))
     return asked, first, root, chance, length
 
 
@@ -241,7 +260,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for level, what in sorted({(r["level"], r["what"]) for r in rows}):
         own = [r for r in rows if (r["level"], r["what"]) == (level, what)]
         bounds = np.append(0, np.cumsum([r["n"] for r in own]))
-        found, place = np.unique(np.concatenate([grow_sorted(r["keys"], r["n"]) for r in own]), return_inverse=True)
+        found, place = distinct(np.concatenate([grow_sorted(r["keys"], r["n"]) for r in own]))
         sums = np.bincount(place, np.concatenate([grow(r["own"], r["n"]) for r in own]), len(found)).astype(np.int64)  # whole numbers, exact in doubles
         if what == "kept":
             sums = (sums > GAIN * STEPS).astype(np.int64)
@@ -250,7 +269,6 @@ def _answer(table: pa.Table) -> pa.Table:
         if not level:
             out.append((None, rows[0]["bucket"], level, what, 0, None, int(sums.sum()), int((sums > 0).sum())))
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    trim()
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "bucket", "level", "what", "n", "found", "tokens", "kinds"])
 
 
@@ -285,9 +303,10 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (remainder(key, folds) != 0).alias("train"))
-    blocks = scratch.save(_blocks(rows, key, longest), "blocks")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    blocks = scratch.save_by(_blocks(rows, key, longest), "blocks", "block", buckets)  # so that a round needn't shuffle them
     volume = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_TOKENS))
     mask = np.uint64(((1 << 64) - 1) ^ ((1 << max(0, 64 - EXTRA_BITS - int(volume).bit_length())) - 1))
     columns = ["block", "keys", "lead", "n", "kinds", "words", "tokens", "sizes", "train"]
 
@@ -311,7 +330,6 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             [r] = left.to_pylist()
             batches = list(_ask(r["block"], climb(_block(r), _All(_known(right), k), divisor, longest, mask)[0], buckets))
-            trim()
             return pa.Table.from_batches(batches, schema=_arrow(_ASKED))
 
         return ask
@@ -327,13 +345,13 @@ def score_contexts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         block = _block(r | {"keys": keys})
         _, count, root, chance, length = climb(block, _All(_known(right), longest + 1), divisor, longest, mask)
         own = slice(block.lead, None)
-        row, n = block.row[own], len(block.sizes)
+        row, n = block.row, len(block.sizes)
         per = lambda v: np.bincount(row, v[own], n)
         columns = [keys, pa.array(~block.train), pa.array(block.sizes), pa.array(per(count > 0).astype(np.int64)), pa.array(np.full(n, total), pa.int64()), pa.array(per(np.log10(root))), pa.array(per(np.log10(chance))), pa.array(per(length > 0).astype(np.int64)), pa.array([r["part"]] * n, pa.int64())]
-        trim()
         return pa.table(columns, names=schema.names)
 
     scores = scratch.save(blocks.select(*columns, "part").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema), "scores")
+    scratch.forget()
     sums = [F.first(c).alias(c) if c in (key, "held_out", "train_tokens") else F.sum(c).alias(c) for c in scores.columns[:-1]]
     whole = scores.where("part is null").drop("part")
     return whole.unionByName(scores.where("part is not null").groupBy("part").agg(*sums).drop("part"))
