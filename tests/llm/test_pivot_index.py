@@ -1,10 +1,11 @@
+import itertools
 import math
 
 import numpy as np
 import pytest
 
 from marginalia.llm import pivot_index
-from marginalia.llm.pivot_index import choose_pivots, near_vectors, unit
+from marginalia.llm.pivot_index import candidates, choose_pivots, near_vectors, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -64,9 +65,46 @@ def test_odd_vectors(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def near(rows, want, got, recall=0.9):
+    assert len(got) == len(rows) and all(r.n_links <= want[r.vec_id][0] for r in got)
+    assert sum(r.n_links for r in got) >= recall * sum(w[0] for w in want.values())
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_vectors_that_point_the_same_way(spark, monkeypatch, block):
+    monkeypatch.setattr(pivot_index, "BLOCK", block)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(1500, 64)) + 2  # a mean cosine of about 0.8
+    copies = base[r.integers(0, 1500, 500)] * (1 + r.normal(size=(500, 64)) * 0.05)
+    vectors = np.vstack([base, copies]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    assert len(choose_pivots(vectors.astype(np.float64), 64)) == 64
+    near(rows, brute(rows), near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_one_dense_cluster(spark, monkeypatch, block):
+    monkeypatch.setattr(pivot_index, "BLOCK", block)
+    r = np.random.default_rng(6)
+    cluster = r.normal(size=32) + r.normal(size=(500, 32)) * 0.08
+    vectors = np.vstack([cluster, r.normal(size=(700, 32))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    near(rows, brute(rows), near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+
+
 def test_pivots_keep_apart():
     r = np.random.default_rng(0)
     cluster = r.normal(size=8) + r.normal(size=(500, 8)) * 0.01
     pivots = choose_pivots(np.vstack([cluster, r.normal(size=(200, 8))]), 64)
-    assert np.triu(pivots @ pivots.T, 1).max() < pivot_index.APART
+    assert np.triu(pivots @ pivots.T, 1).max() < math.cos(2 * math.acos(0.98))
     assert np.allclose(np.linalg.norm(unit(np.array([[3e300, 1e300], [1e-300, 0]])), axis=1), 1)
+
+
+def test_a_pair_is_a_candidate_in_one_list():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        p, q = (np.sort(r.permutation(12)[:8])[None].astype(np.int32) for _ in range(2))
+        both = np.intersect1d(p, q)
+        for depth in (1, 2, 3, 4):
+            keys = [list(map(int, k)) for k in itertools.combinations(both, depth)]
+            assert sum(candidates(p, q, k, 4)[0, 0] for k in keys) == (len(both) >= 4)
