@@ -124,3 +124,60 @@ def stem_plural(term: Column) -> Column:
 def run_status(text: Column) -> Column:
     """Whether a transcript reports errors, warnings, or neither."""
     return F.when(text.rlike(r"(?i)traceback|\berror\b"), "error").when(text.rlike(r"(?i)\bwarn"), "warn").otherwise("clean")
+
+
+def plain_title(title: Column) -> Column:
+    """Small letters, digits and spaces; all else goes without leaving a space."""
+    return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", ""))
+
+
+def surnames(authors: Column) -> Column:
+    """The last word of each author as a plain title has it; single capitals and what is left of et al. don't count."""
+    bare = F.transform(authors, lambda a: F.filter(F.split(F.trim(F.regexp_replace(a, r"[{}\\.]", "")), r"\s+"), lambda w: (F.length(w) > 1) | ~w.rlike("^[A-Z]?$")))
+    return F.filter(F.transform(F.filter(bare, lambda w: F.size(w) > 0), lambda w: plain_title(F.element_at(w, -1))), lambda x: ~x.isin("", "al", "et"))
+
+
+def report_status(text: Column) -> Column:
+    """What a report says, where no summary does: errors, findings, or neither; counts of nothing are clean."""
+    low = F.lower(text)
+    some = F.regexp_extract(low, r"([0-9]+)\s+error\(s\)", 1).try_cast("int") > 0
+    clean = low.rlike(r"\bno findings\b|0 finding|all .*clean|verified, 0 error") | low.contains("figure(s): 0 bad cell(s), 0 weak")
+    return F.when(F.coalesce(some, F.lit(False)), "error").when(clean, "clean").when(low.rlike(r"\bfinding|\bwarn|\bbad cell|weak cell|\[warn\]"), "findings").otherwise("clean")
+
+
+# Phrases that introduce a concept, words that are none, and ordinary words that never are one.
+DEFINITION_CUES = (
+    (r"\bwe\s+define\s+(.+?)\s+as\b", 1), (r"\b(.+?)\s+is\s+defined\s+as\b", 1), (r"\b(.+?)\s+is\s+defined\s+to\s+be\b", 1), (r"\bwe\s+call\s+(.+?)\s+(?:a|an|the)\s+(.+?)[\.\,;]", 2), (r"\bwe\s+refer\s+to\s+.+?\s+as\s+(.+?)[\.\,;]", 1),
+    (r"\blet\s+(.+?)\s+denote\b", 1), (r"\b(.+?)\s+denotes\b", 1), (r"\b(.+?)\s+stands\s+for\b", 1), (r"\bby\s+(.+?)\s+we\s+mean\b", 1), (r"\bthe\s+term\s+(.+?)\s+refers\s+to\b", 1), (r"\b(.+?)\s+\(also\s+known\s+as\b", 1), (r"\b(.+?)\s+\(also\s+called\b", 1),
+    (r"\b([A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{1,}){0,4})\s+\(([A-Z]{2,6})\)", 2),
+)
+TERM_STOPWORDS = (
+    "the", "a", "an", "this", "that", "these", "those", "it", "its", "we", "our", "us", "i", "you", "they", "their", "them", "he", "she", "and", "or", "but", "if", "then", "else", "when", "while", "as", "of", "to", "in", "on", "for", "with", "without", "by", "from", "into",
+    "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "do", "does", "did", "not", "no", "yes", "such", "so", "than", "very", "can", "could", "may", "might", "must", "shall", "should", "will", "would",
+    "which", "who", "whom", "what", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "one", "two", "first", "second", "third", "new", "old", "same", "different",
+    "above", "below", "over", "under", "again", "further", "here", "there", "figure", "table", "equation", "eq", "section", "chapter", "page", "note", "example", "see", "cf", "etc", "versus", "vs",
+)
+ORDINARY_WORDS = (
+    "multiple", "single", "several", "various", "numerous", "number", "numbers", "amount", "amounts", "total", "totals", "majority", "minority", "count", "counts", "half", "quarter", "percentage", "percentages",
+    "year", "years", "month", "months", "week", "weeks", "day", "days", "hour", "hours", "minute", "minutes", "second", "seconds", "time", "times", "decade", "decades", "period", "periods", "moment", "moments",
+    "thing", "things", "way", "ways", "lot", "kind", "kinds", "sort", "sorts", "part", "parts", "piece", "pieces", "area", "areas", "aspect", "aspects", "item", "items", "order", "place", "places", "point", "points", "side", "sides",
+    "end", "ends", "range", "ranges", "matter", "issue", "issues", "fact", "facts", "reason", "reasons", "detail", "details", "step", "steps",
+)
+
+
+def normal_term(term: Column) -> Column:
+    """A term in small letters without surrounding punctuation, inner white space as one space."""
+    return F.lower(F.regexp_replace(F.trim(F.trim(F.trim(term), F.lit(".,;:()\"'"))), r"\s+", " "))
+
+
+def split_terms(group: Column) -> Column:
+    """The terms that 'X, Y and Z' names, without stopwords; those that are nothing but stopwords are left out."""
+    stop = F.array(*map(F.lit, TERM_STOPWORDS + ORDINARY_WORDS))
+    parts = F.filter(F.transform(F.split(group, r",|;|\band\b|\bor\b"), normal_term), lambda t: F.length(t) >= 3)
+    return F.filter(F.transform(parts, lambda t: F.array_join(F.filter(F.split(t, " "), lambda w: ~F.array_contains(stop, w)), " ")), lambda t: t != "")
+
+
+def introduced_terms(text: Column) -> Column:
+    """The distinct terms that a paragraph introduces by a cue of definition."""
+    groups = [F.regexp_extract_all(text, F.lit("(?i)" + p), i) for p, n in DEFINITION_CUES for i in range(1, n + 1)]
+    return F.array_distinct(F.flatten(F.transform(F.concat(*groups), split_terms)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.relations import parents
+
 # A gap in points that parts paragraphs, the share of the width right of which a tag is an equation's.
 GAP, TAG_SHARE = 14.0, 0.55
 CAPTION_HEAD, HEADING, EQUATION_TAG = r"^(Figure|Fig\.|Table|Algorithm|Listing)\s+([0-9]+(?:\.[0-9]+)*)\s*[:.]", r"^[0-9]+(?:\.[0-9]+)*\s+[A-Z]", r"^\(([0-9]+(?:\.[0-9]+)*)\)$"
@@ -30,6 +32,28 @@ def line_kind(width: Column) -> Column:
     return F.when(text.rlike(CAPTION_HEAD), "caption").when(text.rlike(EQUATION_TAG) & (F.col("x0") > TAG_SHARE * width), "equation").when(text.rlike(HEADING) & F.col("bold"), "heading").otherwise("text")
 
 
+def lines_of_spans(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, ord, page, x0, x1, text, bold, kind, num, height`` of lines given as spans (doc_id, ord, page, i, text, x0, x1, bold).
+
+    A line is bold if one of its spans is. It is the caption of a float, else that of an equation if the right-most span that is a number in
+    brackets ends right of TAG_SHARE of the page's width, else a heading if bold and numbered. ``pages``: doc_id, page, width, height, of which
+    the median counts.
+    """
+    tag = F.regexp_extract(F.trim("text"), EQUATION_TAG, 1)
+    wide = spans.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"])
+    tagged = F.when((tag != "") & (F.col("x1") > TAG_SHARE * F.col("width")), tag)
+    whole = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), ""))
+    rows = wide.groupBy("doc_id", "ord", "page").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), whole.alias("text"), F.max("bold").alias("bold"), F.max_by(tagged, F.when(tagged.isNotNull(), F.col("x1"))).alias("tag")).where("text <> ''")
+    floats = {"figure": "figure", "fig.": "figure", "table": "table", "algorithm": "algorithm", "listing": "listing"}
+    kinds = F.create_map(*[F.lit(x) for kv in floats.items() for x in kv])
+    caption = F.col("text").rlike(CAPTION_HEAD)
+    heading = F.col("bold") & (F.length("text") <= 120) & F.col("text").rlike(HEADING)
+    kind = F.when(caption, kinds[F.lower(F.regexp_extract("text", CAPTION_HEAD, 1))]).when(F.col("tag").isNotNull(), "equation").when(heading, "section").otherwise("")
+    num = F.when(caption, F.regexp_extract("text", CAPTION_HEAD, 2)).when(F.col("tag").isNotNull(), F.col("tag")).when(heading, F.regexp_extract("text", r"^([0-9]+(?:\.[0-9]+)*)", 1)).otherwise("")
+    high = pages.groupBy("doc_id").agg(F.median("height").alias("height"))
+    return rows.withColumn("kind", kind).withColumn("num", num).drop("tag").join(high, "doc_id")
+
+
 def page_marked_text(lines: DataFrame, most: int) -> DataFrame:
     """``doc_id, text``: lines with a marker wherever the page changes, the first ``most`` characters."""
     w = Window.partitionBy("doc_id").orderBy("ord")
@@ -52,15 +76,11 @@ def natural_order(number: Column) -> Column:
 
 
 def children(units: DataFrame) -> DataFrame:
-    """``doc_id, ord, title, children``: direct children of each unit, in order.
-
-    The end of a unit is the next one of its level or above; its children are one level below.
-    """
-    ends = units.alias("u").join(units.alias("v"), F.expr("u.doc_id = v.doc_id and v.ord > u.ord and v.level <= u.level"), "left")
-    ends = ends.groupBy("u.doc_id", "u.ord", "u.level", "u.title").agg(F.min("v.ord").alias("stop"))
-    child = units.select("doc_id", F.col("ord").alias("c"), F.col("level").alias("l"), F.col("title").alias("t"))
-    own = ends.join(child, "doc_id").where("c > ord and (stop is null or c < stop) and l = level + 1")
-    return own.groupBy("doc_id", "ord", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("children"))
+    """``doc_id, ord, title, children``: direct children of each unit, in order, for units that have any."""
+    own = parents(units).where("parent is not null")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"])
+    found = own.groupBy("doc_id", F.col("parent.ord").alias("at"), F.col("parent.title").alias("name")).agg(listed.alias("children"))
+    return found.select("doc_id", F.col("at").alias("ord"), F.col("name").alias("title"), "children")
 
 
 def bare_equations(lines: DataFrame, defs: DataFrame) -> DataFrame:

@@ -32,14 +32,27 @@ def forward_references(defs: DataFrame, refs: DataFrame, page_height: float, thr
     return first_of(found, ["doc_id", "kind", "num", "page", "place"], [F.col("ord")]).drop("place", "y")
 
 
+#: Levels of units that are told apart, from 0 on.
+LEVELS = 12
+
+
+def parents(units: DataFrame) -> DataFrame:
+    """Adds ``parent`` (ord, level, title): the unit one level above that a unit stands in, null without one.
+
+    The last unit so far of a level above is the one that a unit stands in: a running state for each of LEVELS levels.
+    """
+    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    unit = F.struct("ord", "level", "title")
+    last = F.array(*[F.last(F.when(F.col("level") <= k, unit), ignorenulls=True).over(before) for k in range(LEVELS)])
+    above = F.when(F.col("level") > 0, F.get(F.col("_last"), F.col("level") - 1))
+    return units.withColumn("_last", last).withColumn("parent", F.when(above["level"] == F.col("level") - 1, above)).drop("_last")
+
+
 def lone_children(units: DataFrame) -> DataFrame:
     """Units with exactly one direct child before the next unit of their level or above."""
-    ends = units.alias("u").join(units.alias("v"), F.expr("u.doc_id = v.doc_id and v.ord > u.ord and v.level <= u.level"), "left")
-    ends = ends.groupBy("u.doc_id", "u.ord", "u.level", "u.title").agg(F.min("v.ord").alias("stop"))
-    child = units.select("doc_id", F.col("ord").alias("c_ord"), F.col("level").alias("c_level"), F.col("title").alias("child"))
-    inside = F.expr("c_ord > ord and (stop is null or c_ord < stop) and c_level = level + 1")
-    found = ends.join(child, "doc_id").where(inside).groupBy("doc_id", "ord", "title").agg(F.count("*").alias("n"), F.min("child").alias("child"))
-    return found.where("n = 1").drop("n")
+    found = parents(units).where("parent is not null").groupBy("doc_id", F.col("parent.ord").alias("ord"), F.col("parent.title").alias("parent_title"))
+    found = found.agg(F.count("*").alias("n"), F.min("title").alias("child")).where("n = 1")
+    return found.select("doc_id", "ord", F.col("parent_title").alias("title"), "child")
 
 
 def label_graph(sections: DataFrame) -> DataFrame:
@@ -75,12 +88,27 @@ def inverted_text(words: DataFrame) -> DataFrame:
     return placed.groupBy("id").agg(F.array_join(parts, " ").alias("text"))
 
 
-def concept_uses(paras: DataFrame) -> DataFrame:
+def concept_uses(paras: DataFrame, words: int = 6, least: int = 4) -> DataFrame:
     """``doc_id, term, ix, at``: paragraphs that use a term before the paragraph ``at`` that introduces it first.
 
-    Texts become words, which are joined with terms; captions don't count.
+    Texts become runs of up to ``words`` words, as they stand and without a plural s, which are joined with terms in the singular;
+    captions don't count, nor do terms of fewer than ``least`` letters. Only runs of as many words as a term of the document has are made.
     """
-    intro = paras.select("doc_id", "ix", F.explode("introduced").alias("term")).groupBy("doc_id", "term").agg(F.min("ix").alias("at"))
-    words = paras.where("not is_caption").select("doc_id", "ix", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9\-]+"))).alias("word"))
-    keys = intro.select("*", F.explode(F.array("term", F.concat("term", F.lit("s")), F.concat("term", F.lit("es")))).alias("word"))
-    return words.join(keys, ["doc_id", "word"]).where("ix < at").select("doc_id", "term", "ix", "at").distinct()
+    from marginalia.functions.text import stem_plural
+
+    intro = paras.select("doc_id", "ix", F.explode("introduced").alias("term")).where(F.length("term") >= least)
+    intro = intro.groupBy("doc_id", "term").agg(F.min("ix").alias("at")).withColumn("t", F.split(F.lower("term"), " ")).withColumn("n", F.size("t")).where(F.col("n") <= words)
+    intro = intro.withColumn("run", F.concat_ws(" ", F.expr("slice(t, 1, n - 1)"), stem_plural(F.element_at("t", -1)))).drop("t")
+    sizes = intro.groupBy("doc_id").agg(F.collect_set("n").alias("sizes"))
+    split = F.filter(F.split(F.lower("text"), r"[^a-z0-9\-]+"), lambda w: w != "")
+    rows = paras.where("not is_caption").select("doc_id", "ix", split.alias("w")).join(sizes, "doc_id")
+    rows = rows.select("doc_id", "ix", "w", F.explode("sizes").alias("n")).where("size(w) >= n")
+    runs = rows.select("doc_id", "ix", F.explode(F.expr("array_distinct(transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')))")).alias("run"))
+    runs = runs.select("doc_id", "ix", F.explode(F.array_distinct(F.array("run", F.regexp_replace("run", "s$", "")))).alias("run"))
+    return runs.join(intro, ["doc_id", "run"]).where("ix < at").select("doc_id", "term", "ix", "at").distinct()
+
+
+def not_cited(found: DataFrame, cited: DataFrame) -> DataFrame:
+    """Rows of ``found`` (doc_id, title) whose title is part of no title that their document cites (doc_id, title)."""
+    c, f = cited.select("doc_id", F.lower("title").alias("c_title")).alias("c"), found.alias("f")
+    return f.join(c, F.expr("f.doc_id = c.doc_id and contains(c.c_title, lower(f.title))"), "left_anti")

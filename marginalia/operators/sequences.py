@@ -56,12 +56,18 @@ def captions(lines: DataFrame, follow: int = 5) -> DataFrame:
     return runs.groupBy("doc_id", F.col("at").alias("ord")).agg(kind.alias("kind"), num.alias("num"), F.trim(F.array_join(parts, " ")).alias("caption"))
 
 
-def reference_entries(lines: DataFrame) -> DataFrame:
-    """``doc_id, entry, ord, text``: numbered entries after the last reference heading, wrapped lines joined."""
+def reference_entries(lines: DataFrame, appendix: bool = False) -> DataFrame:
+    """``doc_id, entry, ord, text``: numbered entries after the last reference heading, wrapped lines joined.
+
+    ``appendix``: an appendix that begins more than 100 characters after the heading ends the list.
+    """
     text = F.trim("text")
     heads = lines.withColumn("text", text)
     start = F.max(F.when(text.rlike(REFERENCES), F.col("ord"))).over(Window.partitionBy("doc_id"))
     after = heads.withColumn("start", start).where("ord > start and text <> ''")
+    if appendix:
+        read = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+        after = after.withColumn("read", read).withColumn("stop", sticky(F.col("text").rlike(r"^(?:A\s+)?Appendix\b") & (F.coalesce("read", F.lit(0)) > 100))).where("not stop")
     after = after.withColumn("entry", F.sum(F.col("text").rlike(r"^\[[0-9]+\]\s+").cast("int")).over(so_far())).where("entry > 0")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     return after.groupBy("doc_id", "entry").agg(F.min("ord").alias("ord"), F.array_join(parts, " ").alias("text"))

@@ -17,6 +17,8 @@ from marginalia.functions.text import tolerant_json
 from marginalia.operators import relations, sequences
 
 Judge = Callable[[list[str]], list[str]]
+#: What a service may raise for a while; anything else is an error of the program and ends the job.
+PASSING = (ConnectionError, TimeoutError, OSError)
 
 
 def requests(rows: DataFrame, size: int, template: str, doc: str = "doc_id", order: str = "ord", text: str = "text") -> DataFrame:
@@ -26,8 +28,8 @@ def requests(rows: DataFrame, size: int, template: str, doc: str = "doc_id", ord
     return numbered.groupBy(F.col(doc).alias("doc_id"), "batch").agg(F.concat(F.lit(template + "\n"), F.array_join(parts, "\n")).alias("prompt"))
 
 
-def ask(asked: DataFrame, judge: Judge, tries: int = 4, wait: float = 0.7, factor: float = 2.5) -> DataFrame:
-    """Adds ``answer``: null if the judge failed every time; failures are never kept as answers."""
+def ask(asked: DataFrame, judge: Judge, tries: int = 4, wait: float = 0.7, factor: float = 2.5, passing: tuple[type[Exception], ...] = PASSING) -> DataFrame:
+    """Adds ``answer``: null if the judge failed every time; failures are never kept as answers. Only ``passing`` errors are tried again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,7 +40,7 @@ def ask(asked: DataFrame, judge: Judge, tries: int = 4, wait: float = 0.7, facto
                 try:
                     answers = judge(prompts)
                     break
-                except Exception:  # noqa: BLE001  whatever a service raises
+                except passing:
                     if k + 1 < tries:
                         time.sleep(pause)
                         pause *= factor

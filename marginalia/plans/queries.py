@@ -3,37 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
-from marginalia.functions.similarity import similarity
 from marginalia.operators import catalog, layout, relations, render, sequences
 from marginalia.plans import judge, rules, tex_blocks
-from marginalia.plans.fixtures import cte, frame
+from marginalia.plans.fixtures import frame
+from marginalia.plans.registered import query, table, values
 from marginalia.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, fixtures: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH {cte(*fixtures)} {sql}" if fixtures else sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- catalog -----------------------------------------------------------------------------------------------
 
 
@@ -332,9 +312,8 @@ def j6_before_purchase(spark, d):
 
 
 @query(
-    """, i AS (SELECT doc_id, t AS term, min(ix) AS at FROM (SELECT doc_id, ix, unnest(introduced) AS t FROM paragraphs) GROUP BY 1, 2),
-    w AS (SELECT DISTINCT doc_id, ix, unnest(string_split(lower(text), ' ')) AS word FROM paragraphs WHERE NOT is_caption)
-    SELECT DISTINCT i.doc_id, i.term, w.ix, i.at FROM i JOIN w ON i.doc_id = w.doc_id AND w.word IN (i.term, i.term || 's', i.term || 'es') AND w.ix < i.at""",
+    f""", i AS (SELECT doc_id, t AS term, min(ix) AS at, {_STEM} AS stem FROM (SELECT doc_id, ix, unnest(introduced) AS t FROM paragraphs) WHERE length(t) >= 4 GROUP BY 1, 2)
+    SELECT DISTINCT i.doc_id, i.term, p.ix, i.at FROM i JOIN paragraphs p ON i.doc_id = p.doc_id AND NOT p.is_caption AND p.ix < i.at AND regexp_matches(lower(p.text), '(^|[^a-z0-9-])' || i.stem || 's?([^a-z0-9-]|$)')""",
     ("paragraphs",),
 )
 def j5_concept_before_definition(spark, d):
@@ -350,7 +329,16 @@ def j8_lone_child(spark, d):
     return rules.lone_children(frame(spark, "units"))
 
 
-@query("SELECT s.doc_id, s.label AS source, r.target, count(*) AS weight FROM sections s, (SELECT doc_id, label, unnest(regexp_extract_all(text, '\\\\ref\\{([^}]*)\\}', 1)) AS target FROM sections) r WHERE r.doc_id = s.doc_id AND r.label = s.label AND r.target IN (SELECT label FROM sections) GROUP BY 1, 2, 3", ("sections",))
+@query(
+    """, e AS (SELECT u.doc_id, u.ord, u.level, u.title, (SELECT min(v.ord) FROM units v WHERE v.doc_id = u.doc_id AND v.ord > u.ord AND v.level <= u.level) AS stop FROM units u)
+    SELECT e.doc_id, 'LONE-CHILD' AS code, 'INFO' AS severity, e.ord, min(c.title) AS subject FROM e JOIN units c ON c.doc_id = e.doc_id AND c.ord > e.ord AND (e.stop IS NULL OR c.ord < e.stop) AND c.level = e.level + 1 GROUP BY e.doc_id, e.ord HAVING count(*) = 1""",
+    ("units",),
+)
+def j8_lone_child_of_a_paper(spark, d):
+    return rules.lone_children(frame(spark, "units"), "paper")
+
+
+@query("SELECT s.doc_id, s.label AS source, r.target, count(*) AS weight FROM sections s, (SELECT doc_id, label, unnest(regexp_extract_all(text, '\\\\ref\\{([^}]*)\\}', 1)) AS target FROM sections) r WHERE r.doc_id = s.doc_id AND r.label = s.label AND r.target IN (SELECT label FROM sections x WHERE x.doc_id = s.doc_id) GROUP BY 1, 2, 3", ("sections",))
 def j10_label_graph(spark, d):
     return relations.label_graph(frame(spark, "sections"))
 
@@ -387,15 +375,9 @@ def j16_manifest_diff(spark, d):
     return relations.manifest_difference(frame(spark, "manifest_a"), frame(spark, "manifest_b"))
 
 
-@query("SELECT c.bib_id, c.title FROM candidates c WHERE NOT contains((SELECT string_agg(lower(title), ' | ') FROM bib), lower(c.title))", ("candidates", "bib"))
+@query("SELECT f.doc_id, f.title FROM found f WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.doc_id = f.doc_id AND contains(lower(c.title), lower(f.title)))", ("found", "cited"))
 def j17_not_cited(spark, d):
-    cited = frame(spark, "bib").agg(F.array_join(F.collect_list(F.lower("title")), " | ").alias("cited"))  # one document's list
-    return frame(spark, "candidates").join(F.broadcast(cited), ~F.contains("cited", F.lower("title"))).select("bib_id", "title")
-
-
-@query("SELECT caption, max(CASE WHEN rule = 'R1' THEN severity END) AS R1, max(CASE WHEN rule = 'R2' THEN severity END) AS R2 FROM caption_judged GROUP BY 1", ("caption_judged",))
-def k9_matrix(spark, d):
-    return frame(spark, "caption_judged").groupBy("caption").pivot("rule", ["R1", "R2"]).agg(F.max("severity"))
+    return relations.not_cited(frame(spark, "found"), frame(spark, "cited"))
 
 
 @query("SELECT code, severity, n, row_number() OVER (ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, code) AS place FROM (VALUES ('A', 'INFO', 1), ('B', 'ERROR', 2), ('C', 'WARN', 3)) t(code, severity, n)")
@@ -435,6 +417,11 @@ def rule_prose(spark, d):
     return rules.prose(frame(spark, "sentences"))
 
 
+@query(_PROSE.replace(_pattern(_VAGUE), _pattern(r"(?i)\b(" + "|".join(w.replace(" ", r"\s+") for w in rules.VAGUE_STRICT) + r")\b")), ("sentences",))
+def rule_prose_strict(spark, d):
+    return rules.prose(frame(spark, "sentences"), strict=True)
+
+
 @query(_sql_finding("COMPANION-REF", "WARN", f"lower(regexp_extract(text, {_pattern(rules.COMPANION)}, 1))", f"FROM sentences WHERE regexp_matches(text, {_pattern(rules.COMPANION)}) AND NOT regexp_matches(text, {_pattern(rules.CITED)})"), ("sentences",))
 def rule_companion(spark, d):
     return rules.companions(frame(spark, "sentences"))
@@ -495,9 +482,9 @@ def rule_acronyms(spark, d):
 
 @query(
     """, c AS (SELECT doc_id, ord, regexp_replace(text, '(^|[^\\\\])%.*', '\\1', 'g') AS t FROM tex),
-    r AS (SELECT DISTINCT trim(unnest(string_split(x, ','))) AS label FROM (SELECT unnest(regexp_extract_all(t, '\\\\(?:ref|eqref|autoref|cref|Cref|vref|pageref)\\*?\\{([^}]+)\\}', 1)) AS x FROM c) UNION SELECT unnest(regexp_extract_all(t, '\\\\hyperref\\[([^\\]]+)\\]', 1)) FROM c),
+    r AS (SELECT DISTINCT doc_id, trim(unnest(string_split(x, ','))) AS label FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\\\(?:ref|eqref|autoref|cref|Cref|vref|pageref)\\*?\\{([^}]+)\\}', 1)) AS x FROM c) UNION SELECT doc_id, unnest(regexp_extract_all(t, '\\\\hyperref\\[([^\\]]+)\\]', 1)) FROM c),
     l AS (SELECT doc_id, ord, unnest(regexp_extract_all(t, '\\\\label\\{([^}]+)\\}', 1)) AS label FROM c)
-    SELECT doc_id, ord, label FROM l WHERE label NOT IN (SELECT label FROM r)""",
+    SELECT doc_id, ord, label FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.label = l.label)""",
     ("tex",),
 )
 def j1_unreferenced_labels(spark, d):
@@ -507,17 +494,20 @@ def j1_unreferenced_labels(spark, d):
 _ENVS = "|".join(x.replace("*", r"\*") for x in (*rules.MATH, *[m + "*" for m in rules.MATH], *rules.FLOATS))
 _TOKENS = f"""c AS (SELECT doc_id, ord, regexp_replace(text, '(^|[^\\\\])%.*', '\\1', 'g') AS t FROM tex),
     k AS (SELECT doc_id, ord, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, ord, regexp_extract_all(t, {_pattern(rf"(\\begin\{{(?:{_ENVS})\}}|\\end\{{(?:{_ENVS})\}}|\\label\{{[^}}]+\}}|\\caption\b)")}, 1) AS l FROM c)),
-    o AS (SELECT *, last_value(CASE WHEN starts_with(tok, '\\begin') THEN regexp_extract(tok, '\\{{([^}}]+)\\}}', 1) WHEN starts_with(tok, '\\end') THEN '' END IGNORE NULLS) OVER w AS env,
-      max(CASE WHEN starts_with(tok, '\\begin') OR starts_with(tok, '\\end') THEN ord * 10000 + i END) OVER w AS block FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ord, i ROWS UNBOUNDED PRECEDING)),
+    v AS (SELECT *, sum(CASE WHEN starts_with(tok, '\\begin') THEN 1 WHEN starts_with(tok, '\\end') THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord, i ROWS UNBOUNDED PRECEDING) AS raw FROM k),
+    z AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY doc_id ORDER BY ord, i ROWS UNBOUNDED PRECEDING)) + CASE WHEN starts_with(tok, '\\end') THEN 1 ELSE 0 END AS lv FROM v),
+    y AS (SELECT *, last_value(CASE WHEN starts_with(tok, '\\begin') THEN regexp_extract(tok, '\\{{([^}}]+)\\}}', 1) END IGNORE NULLS) OVER w AS e, max(CASE WHEN starts_with(tok, '\\begin') THEN ord * 10000 + i END) OVER w AS block, max(CASE WHEN starts_with(tok, '\\begin') THEN ord END) OVER w AS begun
+      FROM z WINDOW w AS (PARTITION BY doc_id, lv ORDER BY ord, i ROWS UNBOUNDED PRECEDING)),
+    o AS (SELECT * EXCLUDE (e), CASE WHEN lv > 0 THEN coalesce(e, '') ELSE '' END AS env FROM y),
     l AS (SELECT doc_id, ord, coalesce(env, '') AS env, trim(regexp_extract(tok, '\\{{([^}}]+)\\}}', 1)) AS label FROM o WHERE starts_with(tok, '\\label'))"""
 _MATHS, _FLOATS = (", ".join(map(_pattern, x)) for x in (rules.MATH, rules.FLOATS))
 
 
 @query(
-    f""", {_TOKENS}, r AS (SELECT DISTINCT trim(unnest(string_split(x, ','))) AS label FROM (SELECT unnest(regexp_extract_all(t, {_pattern(rules.REFERRING)}, 1)) AS x FROM c) UNION SELECT trim(unnest(regexp_extract_all(t, '\\\\hyperref\\[([^\\]]+)\\]', 1))) FROM c),
+    f""", {_TOKENS}, r AS (SELECT DISTINCT doc_id, trim(unnest(string_split(x, ','))) AS label FROM (SELECT doc_id, unnest(regexp_extract_all(t, {_pattern(rules.REFERRING)}, 1)) AS x FROM c) UNION SELECT doc_id, trim(unnest(regexp_extract_all(t, '\\\\hyperref\\[([^\\]]+)\\]', 1))) FROM c),
     n AS (SELECT *, CASE WHEN contains(label, ':') THEN lower(split_part(label, ':', 1)) ELSE '' END AS prefix, regexp_replace(env, '\\*$', '') AS base FROM l),
-    b AS (SELECT doc_id, block, any_value(env) AS env, min(ord) AS ord, bool_or(starts_with(tok, '\\label')) AS labelled, bool_or(starts_with(tok, '\\caption')) AS captioned FROM o WHERE env <> '' GROUP BY 1, 2)
-    SELECT doc_id, 'UNREFERENCED' AS code, 'WARN' AS severity, ord, label AS subject FROM n WHERE label NOT IN (SELECT label FROM r) AND (base IN ({_MATHS}) OR base IN ('figure', 'table', 'algorithm', 'listing') OR prefix IN ('eq', 'fig', 'tab', 'table', 'alg', 'lst'))
+    b AS (SELECT doc_id, block, any_value(env) AS env, min(begun) AS ord, bool_or(starts_with(tok, '\\label')) AS labelled, bool_or(starts_with(tok, '\\caption')) AS captioned FROM o WHERE env <> '' GROUP BY 1, 2)
+    SELECT doc_id, 'UNREFERENCED' AS code, 'WARN' AS severity, ord, label AS subject FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = n.doc_id AND r.label = n.label) AND (base IN ({_MATHS}) OR base IN ('figure', 'table', 'algorithm', 'listing') OR prefix IN ('eq', 'fig', 'tab', 'table', 'alg', 'lst'))
     UNION ALL SELECT doc_id, 'UNLABELED-EQ', 'WARN', ord, env FROM b WHERE NOT labelled AND env IN ({_MATHS})
     UNION ALL SELECT doc_id, 'UNLABELED-FLOAT', 'WARN', ord, env FROM b WHERE NOT labelled AND captioned AND env IN ({_FLOATS})""",
     ("tex",),
@@ -582,33 +572,21 @@ def rule_citation_style_tex(spark, d):
     return rules.citation_style_tex(frame(spark, "tex"))
 
 
-@query()
+@query(values("doc_id, code, severity, ord, subject", (1, "UNREFERENCED", "WARN", 5, "figure 9"), (1, "UNREFERENCED", "WARN", 10, "equation 3"), (2, "UNREFERENCED", "WARN", 1, "table 1")))
 def rule_unreferenced_numbers(spark, d):
-    return rules.unreferenced_numbers(frame(spark, "lines"))
+    return rules.unreferenced_numbers(frame(spark, "numbered"))
 
 
-_LAST = "list_transform({0}, lambda a: lower(list_extract(string_split(trim(a), ' '), -1)))"
-_LONG = "list_filter(regexp_split_to_array(lower({0}), '[^a-z]+'), lambda w: length(w) > 3)"
-_SAME = "(a = f OR contains(a, f) OR contains(f, a))"
+#: Worked out by hand, with ratios from Python's difflib.
+_BIBLIOGRAPHY = (
+    ("a", "OK", "INFO"), ("b", "TITLE-DRIFT", "WARN"), ("b", "INCOMPLETE", "WARN"), ("c", "YEAR-MISMATCH", "WARN"), ("c", "PREPRINT", "WARN"), ("d", "NOT-FOUND", "WARN"), ("e", "WEB-SOURCE", "INFO"), ("f", "AUTHOR-MISMATCH", "ERROR"), ("f", "YEAR-MISMATCH", "WARN"),
+    ("f", "VENUE-MISMATCH", "WARN"), ("g", "TITLE-DRIFT", "WARN"), ("g", "PREPRINT", "WARN"), ("h", "UNVERIFIED", "INFO"), ("i", "NOT-FOUND", "WARN"), ("j", "PREPRINT-UNCHECKED", "INFO"), ("k", "OK", "INFO"), ("l", "OK", "INFO"), ("m", "INCOMPLETE", "INFO"), ("n", "WEB-SOURCE", "INFO"),
+)
 
 
-@query(
-    f""", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bib_id ORDER BY sim DESC, ord) AS k FROM candidates) WHERE k = 1),
-    j AS (SELECT bib.*, b.sim, b.year AS found_year, b.venue AS found_venue, bib.url <> '' AND bib.venue = '' AND len(bib.authors) = 0 AS web, {_LAST.format("bib.authors")} AS own, {_LAST.format("b.authors")} AS theirs FROM bib LEFT JOIN b ON bib.id = b.bib_id),
-    p AS (SELECT id, count(*) FILTER (WHERE any_) AS hits, bool_or(any_ AND i = 1) AS lead FROM (SELECT id, a, i, bool_or({_SAME}) AS any_ FROM (SELECT id, unnest(own) AS a, generate_subscripts(own, 1) AS i, theirs FROM j) x, unnest(x.theirs) t(f) GROUP BY id, a, i) GROUP BY id),
-    c AS (SELECT id, 'WEB-SOURCE' AS code, 'INFO' AS severity FROM j WHERE web
-      UNION ALL SELECT id, 'NOT-FOUND', 'WARN' FROM j WHERE NOT web AND (sim IS NULL OR sim < 0.55)
-      UNION ALL SELECT id, 'TITLE-DRIFT', 'WARN' FROM j WHERE sim >= 0.55 AND sim < 0.85
-      UNION ALL SELECT j.id, 'AUTHOR-MISMATCH', 'ERROR' FROM j JOIN p ON j.id = p.id WHERE sim >= 0.55 AND (hits < greatest(1, len(own) // 2) OR NOT lead)
-      UNION ALL SELECT id, 'YEAR-MISMATCH', 'WARN' FROM j WHERE sim >= 0.55 AND abs(try_cast(year AS INT) - try_cast(found_year AS INT)) > 1
-      UNION ALL SELECT id, 'INCOMPLETE', 'WARN' FROM j WHERE NOT web AND venue = '' AND arxiv = '' AND url = ''
-      UNION ALL SELECT id, 'PREPRINT', 'WARN' FROM j WHERE sim >= 0.55 AND arxiv <> '' AND found_venue <> '' AND NOT contains(lower(found_venue), 'arxiv')
-      UNION ALL SELECT id, 'VENUE-MISMATCH', 'WARN' FROM j WHERE sim >= 0.55 AND arxiv = '' AND venue <> '' AND found_venue <> '' AND NOT list_has_any({_LONG.format("venue")}, {_LONG.format("found_venue")}))
-    SELECT * FROM c UNION ALL SELECT id, 'OK', 'INFO' FROM j WHERE id NOT IN (SELECT id FROM c)""",
-    ("bib", "candidates"),
-)
+@query(values("id, code, severity", *_BIBLIOGRAPHY))
 def rule_bibliography(spark, d):
-    return rules.bibliography(frame(spark, "bib"), frame(spark, "candidates"))
+    return rules.bibliography(frame(spark, "bib"), frame(spark, "candidates"), frame(spark, "lookups"))
 
 
 def _matches(text: str, pattern: str) -> str:
@@ -634,12 +612,12 @@ def rule_ai_disclosure(spark, d):
     return rules.ai_disclosure(frame(spark, "ai"))
 
 
-@query()
+@query(values("doc_id, code, severity, ord, subject", (1, "EQ-PUNCT-CHECK", "INFO", 1, "Then it follows."), (1, "EQ-NO-PUNCT", "WARN", 5, "Here starts a sentence."), (1, "EQ-PUNCT-CHECK", "INFO", 10, "where $x$ and $" + "y + " * 6 + "y"), (1, "LONG-INLINE", "WARN", 13, "101")))
 def rule_formulas(spark, d):
     return tex_blocks.formulas(frame(spark, "formulas"))
 
 
-@query()
+@query(values("doc_id, code, severity, ord, subject", (1, "SHORT-CAPTION", "WARN", 14, "4"), (1, "NO-CAPTION", "WARN", 16, "table"), (1, "CAPTION", "INFO", 17, "8")))
 def rule_tex_captions(spark, d):
     return tex_blocks.tex_captions(frame(spark, "formulas"), listed=True)
 
@@ -745,10 +723,22 @@ def f15_snippets(spark, d):
 # ---- sources, sinks and the judge shell -----------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 1 AS page, i - 1 AS at, l[i] AS text FROM (SELECT doc_id, list_append(string_split(text, chr(10)), '') AS l, unnest(generate_series(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE NOT contains(text, chr(12)))")
+@query(
+    """WITH p AS (SELECT doc_id, unnest(l) AS t, unnest(generate_series(1, len(l))) AS page FROM (SELECT doc_id, string_split(text, chr(12)) AS l FROM documents))
+    SELECT doc_id, page, i - 1 AS at, m[i] AS text FROM (SELECT doc_id, page, list_append(string_split(t, chr(10)), '') AS m, unnest(generate_series(1, len(string_split(t, chr(10))) + 1)) AS i FROM p)"""
+)
 def s3_page_lines(spark, d):
-    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("\f")))
-    return files.page_lines(docs).select("doc_id", "page", (F.col("line_no") - 1).alias("at"), "text")
+    return files.page_lines(table(spark, d, "documents")).select("doc_id", "page", (F.col("line_no") - 1).alias("at"), "text")
+
+
+@query(
+    """, p AS (SELECT doc_id, unnest(l) AS t, unnest(generate_series(1, len(l))) AS page FROM (SELECT doc_id, string_split(text, chr(12)) AS l FROM paged)),
+    m AS (SELECT doc_id, page, unnest(list_append(string_split(t, chr(10)), '')) AS text, unnest(generate_series(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM p)
+    SELECT doc_id, page, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS ord, text FROM m""",
+    ("paged",),
+)
+def s3_pages_by_form_feed(spark, d):
+    return files.page_lines(frame(spark, "paged")).select("doc_id", "page", "line_no", "ord", "text")
 
 
 @query(
@@ -765,11 +755,6 @@ def k6_exit_codes(spark, d):
     return render.exit_codes(rules.prose(frame(spark, "sentences")))
 
 
-@query("SELECT conv_id AS doc_id, b AS batch, 'Judge:' || chr(10) || string_agg(turn || '. ' || text, chr(10) ORDER BY turn) AS prompt FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS b FROM conversations) GROUP BY 1, 2")
-def x10_judge_requests(spark, d):
-    return judge.requests(table(spark, d, "conversations"), 2, "Judge:", "conv_id", "turn")
-
-
 @query("SELECT c.item, c.question, CASE WHEN length(c.question) % 2 = 0 THEN 'PASS' ELSE 'UNCLEAR' END AS verdict, CASE WHEN length(c.question) % 2 = 0 THEN 'even' ELSE '' END AS note FROM checklist c", ("checklist",))
 def x1_checklist_with_a_stub(spark, d):
     """The whole shell with a deterministic judge: requests, answers, tolerant parsing, defaults."""
@@ -782,10 +767,9 @@ def x1_checklist_with_a_stub(spark, d):
     return judge.verdicts(answers, items, "item")
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations WHERE turn % 4 <> 3) WHERE p = turn")
+@query("SELECT doc_id, ix FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS p FROM cached) WHERE p = ix", ("cached",))
 def t3_contiguous_prefix(spark, d):
-    done = table(spark, d, "conversations").where("turn % 4 <> 3")
-    return judge.contiguous_prefix(done, "conv_id", "turn").select("conv_id", "turn")
+    return judge.contiguous_prefix(frame(spark, "cached")).select("doc_id", "ix")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE p = turn")
@@ -793,14 +777,6 @@ def t3_contiguous_prefix_of_all(spark, d):
     return judge.contiguous_prefix(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn")
 
 
-@query("SELECT bib_id, ord, sim FROM candidates WHERE sim = 1.0", ("candidates",))
-def f8_title_similarity(spark, d):
-    """Candidates whose squeezed title is the entry's: a matching-blocks ratio of 1."""
-    bib = frame(spark, "bib").select(F.col("id").alias("bib_id"), F.col("title").alias("cited"))
-    found = frame(spark, "candidates").join(bib, "bib_id")
-    return found.withColumn("sim", similarity(tx.squeezed_title(F.col("cited")), tx.squeezed_title(F.col("title")))).where("sim = 1.0").select("bib_id", "ord", "sim")
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Customers' orders numbered within each status, and how common each status is."""
     orders = table(spark, d, "orders").where(catalog.equals("o_orderpriority", "1-urgent"))

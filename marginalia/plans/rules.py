@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import is_toc_line, number_list, sentences, strip_tex_comment_simply, word_count
+from marginalia.functions.text import introduced_terms, is_toc_line, number_list, sentences, strip_tex_comment_simply, word_count
 from marginalia.operators import relations
-from marginalia.operators.sequences import CAPTION, REFERENCES, body_lines, captions, last_state, paragraphs, reference_entries, so_far
+from marginalia.operators.sequences import CAPTION, REFERENCES, body_lines, captions, last_state, paragraphs, reference_entries, so_far, with_depth
 
 # Acronyms that are never reported.
 KNOWN_ACRONYMS = ("II", "III", "IV", "VI", "VII", "IX", "XI", "XII", "USA", "UK", "EU", "US", "PhD", "MSc", "BSc", "DSc", "IEEE", "ACM", "ISBN", "ISSN", "DOI", "URL", "HTTP", "HTTPS", "WWW", "CPU", "GPU", "RAM", "TPU", "GHz", "MHz", "GB", "MB", "KB", "TB", "3D", "2D", "1D", "OK", "ID", "AND", "OR", "NOT", "THE", "IF", "LaTeX", "TeX", "PDF", "CSV", "JSON", "XML", "SQL", "API", "Eq", "Fig", "Tab", "Sec", "Ch", "App", "Alg", "TODO", "NOTE")
@@ -18,6 +18,11 @@ ACRONYM = r"\b([A-Z][A-Za-z]?[A-Z0-9][A-Z0-9a-z]{0,4})\b"
 EXPANSION = r"([A-Za-z][A-Za-z\-']*(?:[ \-][A-Za-z][A-Za-z\-']*){1,7})\s*\(\s*([A-Z][A-Za-z]?[A-Z0-9][A-Za-z0-9\-]{0,8}s?)\s*\)"
 # Vague words that are reported by default.
 VAGUE = ("significantly", "very", "a lot", "lots of", "hugely", "extremely", "drastically", "dramatically", "vastly", "enormous", "massive", "much better", "much worse", "much faster", "much slower")
+# The words that are reported in strict mode.
+VAGUE_STRICT = (
+    "significantly", "significant", "very", "a lot", "lots of", "huge", "hugely", "extremely", "considerably", "considerable", "substantially", "substantial", "drastically", "dramatically", "vastly", "greatly",
+    "enormous", "massive", "immense", "much better", "much worse", "much faster", "much slower", "quite", "fairly", "really", "clearly", "obviously", "many", "few",
+)
 # What excuses them, and the patterns of the other prose rules.
 NUMBER, CITED, SIGNIFICANT = r"[0-9]|%|\\%", r"\[[0-9]+(?:,\s*[0-9]+)*\]|\\cite[pt]?\*?\{", r"(?i)statistically\s+significant|p\s*[<=>]"
 JARGON = r"(?i)\b(smooth(?:est|er)?\s+convergence|converge[sd]?\s+(?:very\s+)?smoothly|(?:model|training|network|method)\s+struggl\w+|degrades?\s+gracefully|graceful\s+degradation|(?:works?|performs?)\s+(?:very\s+|quite\s+|really\s+)?well|(?:good|great|strong|excellent|impressive|decent)\s+(?:performance|results|accuracy)|(?:training|convergence)\s+is\s+(?:very\s+)?(?:stable|smooth)|(?:fast(?:est)?|smooth(?:est)?|(?:most\s+)?stable)\s+(?:and\s+(?:fast(?:est)?|smooth(?:est)?|(?:most\s+)?stable)\s+)?convergence)\b"
@@ -44,6 +49,8 @@ BOOK, QUOTED = r"\b(Press|Springer|Wiley|Elsevier|McGraw|Prentice|University|Ph\
 # Environments of numbered formulas and of floats, and what refers to a label.
 MATH, FLOATS = ("equation", "align", "gather", "multline", "eqnarray", "alignat", "flalign"), ("figure", "table", "figure*", "table*", "algorithm", "listing")
 REFERRING = r"\\(?:ref|eqref|autoref|cref|Cref|vref|pageref)\*?\{([^}]+)\}"
+# Kinds of labels by their prefix.
+LABEL_PREFIXES = {"eq": "equation", "fig": "figure", "tab": "table", "table": "table", "alg": "algorithm", "sec": "section", "ch": "chapter", "chap": "chapter", "app": "appendix", "lst": "listing", "thm": "theorem", "lem": "lemma"}
 # Kinds of floats by the words that name them, and their numbers.
 FLOAT_KINDS = {"figure": "figure", "figures": "figure", "fig.": "figure", "figs.": "figure", "table": "table", "tables": "table", "algorithm": "algorithm", "algorithms": "algorithm", "listing": "listing", "listings": "listing"}
 NUM = r"[A-Z]?[0-9]+(?:\.[0-9]+)?"
@@ -60,9 +67,29 @@ def together(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def acronyms(lines: DataFrame, min_uses: int = 2) -> DataFrame:
+# TeX macros whose arguments aren't text, and formulas within a line.
+TEX_MACROS = r"\\(?:cite[pt]?|ref|eqref|autoref|cref|Cref|label|includegraphics|input|include|bibliography\w*|url|href)\*?(?:\[[^\]]*\])?\{[^}]*\}"
+TEX_FORMULA = r"\$[^$]*\$|\\\[[^\]]*\\\]|\\\(.*?\\\)"
+
+
+def plain_line(text: Column, mode: str = "pdf") -> Column:
+    """A line without what only looks like acronyms: citations by number, or macros and formulas of TeX."""
+    if mode == "pdf":
+        return F.regexp_replace(text, r"\[[0-9]+(?:,\s*[0-9]+)*\]", " ")
+    for p in (TEX_MACROS, TEX_FORMULA, r"\\[A-Za-z]+"):
+        text = F.regexp_replace(text, p, " ")
+    return text
+
+
+def kept_lines(lines: DataFrame, mode: str = "pdf") -> DataFrame:
+    """Body lines that are neither captions nor table of contents, cleaned; ``seq`` numbers them from 1."""
+    kept = body_lines(lines).where(~F.trim("text").rlike(CAPTION)).withColumn("text", plain_line(F.col("text"), mode))
+    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
+
+
+def acronyms(lines: DataFrame, min_uses: int = 2, mode: str = "pdf") -> DataFrame:
     """Uses before an expansion, expansions again, for nothing, or never."""
-    kept = body_lines(lines).where(~F.trim("text").rlike(CAPTION)).withColumn("text", F.regexp_replace("text", r"\[[0-9]+(?:,\s*[0-9]+)*\]", " "))
+    kept = kept_lines(lines, mode)
     key = lambda c: F.regexp_replace(c, "s+$", "")
     uses = kept.select("doc_id", "ord", F.explode(F.regexp_extract_all("text", F.lit(ACRONYM), 1)).alias("x")).select("doc_id", "ord", key(F.col("x")).alias("acro"))
     uses = uses.where(~F.col("acro").isin(*KNOWN_ACRONYMS) & (F.length(F.regexp_replace("acro", "[^A-Z]", "")) >= 2))
@@ -82,10 +109,10 @@ def acronyms(lines: DataFrame, min_uses: int = 2) -> DataFrame:
     return together(finding(early, "USED-BEFORE-EXPANSION", "WARN", acro), finding(exp.where("k > 1"), "RE-EXPANDED", "WARN", acro), finding(unused, "EXPANDED-ONCE-UNUSED", "INFO", acro), finding(never, "NEVER-EXPANDED", "WARN", acro))
 
 
-def prose(rows: DataFrame, max_cues: int = 3) -> DataFrame:
-    """Vague words, jargon, forward cues and dangling openings of sentences (doc_id, ord, text)."""
+def prose(rows: DataFrame, max_cues: int = 3, strict: bool = False) -> DataFrame:
+    """Vague words (more of them if ``strict``), jargon, forward cues and dangling openings of sentences (doc_id, ord, text)."""
     text = F.col("text")
-    words = "|".join(w.replace(" ", r"\s+") for w in VAGUE)
+    words = "|".join(w.replace(" ", r"\s+") for w in (VAGUE_STRICT if strict else VAGUE))
     vague = F.lower(F.regexp_extract(text, rf"(?i)\b({words})\b", 1))
     excused = text.rlike(NUMBER) | text.rlike(CITED) | text.rlike(SIGNIFICANT)
     cue = F.regexp_extract(text, FORWARD, 1)
@@ -138,41 +165,42 @@ def terminology(lines: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def labelled_entities(tex: DataFrame) -> DataFrame:
-    """``doc_id, ord, label, env, kind``: labels and the environment that is open where they stand.
+    """Labels, captions, begins and ends of numbered environments, each with ``open``: the innermost environment there.
 
-    Comments go; a token stream of begins and ends gives, by a running state, the innermost open environment
-    as long as the known environments aren't nested in each other.
+    Comments go. A running depth, which no end takes below zero, tells on which level a token stands; the innermost open
+    environment is the last one that began on its level, so environments may be nested.
     """
     known = "|".join(x.replace("*", r"\*") for x in (*MATH, *[m + "*" for m in MATH], *FLOATS))
     clean = tex.withColumn("text", strip_tex_comment_simply(F.col("text")))
     pattern = rf"(\\begin\{{(?:{known})\}}|\\end\{{(?:{known})\}}|\\label\{{[^}}]+\}}|\\caption\b)"
     toks = clean.select("doc_id", "ord", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("i", "tok"))
     toks = toks.withColumn("seq", F.col("ord") * 10000 + F.col("i"))
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.when(F.col("tok").startswith(r"\begin"), F.struct(F.regexp_extract("tok", r"\{([^}]+)\}", 1).alias("env"), F.col("seq").alias("at"), F.col("ord").alias("start"))).when(F.col("tok").startswith(r"\end"), F.struct(F.lit("").alias("env"), F.col("seq").alias("at"), F.col("ord").alias("start")))
-    return toks.withColumn("open", F.last(state, ignorenulls=True).over(w))
+    begins, ends = F.col("tok").startswith(r"\begin"), F.col("tok").startswith(r"\end")
+    toks = with_depth(toks, F.when(begins, 1).when(ends, -1).otherwise(0), order="seq").withColumn("level", F.col("depth") + F.when(ends, 1).otherwise(0))
+    state = F.when(begins, F.struct(F.regexp_extract("tok", r"\{([^}]+)\}", 1).alias("env"), F.col("seq").alias("at"), F.col("ord").alias("start")))
+    w = Window.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return toks.withColumn("open", F.when(F.col("level") > 0, F.last(state, ignorenulls=True).over(w))).drop("depth", "level")
 
 
 def unreferenced_tex(tex: DataFrame, all_labels: bool = False) -> DataFrame:
-    """Labels that nothing refers to, numbered formulas and captioned floats without a label."""
+    """Labels that nothing in their document refers to, numbered formulas and captioned floats without a label."""
     toks = labelled_entities(tex)
     env = F.coalesce("open.env", F.lit(""))
     labels = toks.where(F.col("tok").startswith(r"\label")).select("doc_id", "ord", F.trim(F.regexp_extract("tok", r"\{([^}]+)\}", 1)).alias("label"), env.alias("env"))
     prefix = F.when(F.col("label").contains(":"), F.lower(F.split("label", ":")[0])).otherwise("")
     base = F.regexp_replace("env", r"\*$", "")
-    by_prefix = {"eq": "equation", "fig": "figure", "tab": "table", "table": "table", "alg": "algorithm", "sec": "section", "ch": "chapter", "chap": "chapter", "app": "appendix", "lst": "listing", "thm": "theorem", "lem": "lemma"}
-    named = F.create_map(*[F.lit(x) for kv in by_prefix.items() for x in kv])
+    named = F.create_map(*[F.lit(x) for kv in LABEL_PREFIXES.items() for x in kv])
     kind = F.when(base.isin(*MATH), "equation").when(base.isin("figure", "table", "algorithm", "listing"), base).otherwise(F.coalesce(F.try_element_at(named, prefix), F.lit("other")))
     labels = labels.withColumn("kind", kind)
     clean = strip_tex_comment_simply(F.col("text"))
     lists = F.concat(F.flatten(F.transform(F.regexp_extract_all(clean, F.lit(REFERRING), 1), lambda x: F.split(x, ","))), F.regexp_extract_all(clean, F.lit(r"\\hyperref\[([^\]]+)\]"), 1))
-    refs = tex.select(F.explode(F.transform(lists, lambda x: F.trim(x))).alias("label")).distinct()
+    refs = tex.select("doc_id", F.explode(F.transform(lists, lambda x: F.trim(x))).alias("label")).distinct()
     if not all_labels:
         labels = labels.where(F.col("kind").isin("equation", "figure", "table", "algorithm", "listing"))
     blocks = toks.where("open.env <> ''").groupBy("doc_id", F.col("open.at").alias("at"), F.col("open.env").alias("env"), F.col("open.start").alias("ord")).agg(F.max(F.col("tok").startswith(r"\label")).alias("has_label"), F.max(F.col("tok").startswith(r"\caption")).alias("has_caption"))
     bare = blocks.where("not has_label")
     return together(
-        finding(relations.unreferenced(labels, refs, ["label"]), "UNREFERENCED", "WARN", F.col("label")),
+        finding(relations.unreferenced(labels, refs, ["doc_id", "label"]), "UNREFERENCED", "WARN", F.col("label")),
         finding(bare.where(F.col("env").isin(*MATH)), "UNLABELED-EQ", "WARN", F.col("env")),
         finding(bare.where(F.col("env").isin(*FLOATS) & F.col("has_caption")), "UNLABELED-FLOAT", "WARN", F.col("env")),
     )
@@ -191,12 +219,15 @@ def short_captions(lines: DataFrame, min_words: int = 6) -> DataFrame:
     return finding(found.where(F.col("words") < min_words), "SHORT-CAPTION", "WARN", F.concat_ws(" ", "kind", "num"))
 
 
-def lone_children(units: DataFrame) -> DataFrame:
-    return finding(relations.lone_children(units), "LONE-CHILD", "WARN", F.col("child"))
+def lone_children(units: DataFrame, profile: str = "thesis") -> DataFrame:
+    """Units with a single child: a warning in a thesis, a note in a paper."""
+    return finding(relations.lone_children(units), "LONE-CHILD", "INFO" if profile == "paper" else "WARN", F.col("child"))
 
 
-def citation_style(lines: DataFrame) -> DataFrame:
-    """Entries that don't look like A. B. Surname, "Title," of a numbered list; lists that aren't there or not numbered."""
+def citation_style(lines: DataFrame, ieee: bool = True) -> DataFrame:
+    """A note that this isn't checked, for a venue of another style. Else entries that don't look like A. B. Surname, "Title," of a numbered list; lists that aren't there or not numbered."""
+    if not ieee:
+        return finding(lines.groupBy("doc_id").agg(F.lit(0).alias("ord")), "VENUE-SKIP", "INFO", F.lit("-"))
     body = F.regexp_replace("text", r"^\[[0-9]+\]\s+", "")
     entries = reference_entries(lines)
     some = lambda ps: F.coalesce(*[F.when(body.rlike(p), True) for p in ps], F.lit(False))
@@ -223,53 +254,135 @@ def citation_style_tex(tex: DataFrame) -> DataFrame:
     )
 
 
-def unreferenced_numbers(lines: DataFrame) -> DataFrame:
-    """Captioned floats whose number no line mentions, lists of numbers and words broken over two lines included.
+# A caption of a float, an equation's number at the end of a line, and what mentions floats and equations.
+NUMBERED_CAPTION = rf"^\s*(Figure|Fig\.|Table|Algorithm|Listing)\s+({NUM})\s*(?::|\.(?=\s|$))"
+EQUATION_NUMBER = rf"(?:\s{{2,}}|^\s*)\(({NUM})\)\s*$"
+FLOAT_WORD, FLOAT_NUMBERS = r"\b(Figures?|Figs?\.|Tables?|Algorithms?|Listings?)\s+", rf"{NUM}(?:\s*(?:,|and|&|/|to|--?|–|—)\s*{NUM})*"
+EQUATION_MENTION = rf"\b(?:Equations?|Eqs?\.)\s*\(?({NUM}(?:\)?\s*(?:,|and|&|--?|–)\s*\(?{NUM})*)\)?"
+
+
+def number_definitions(lines: DataFrame) -> DataFrame:
+    """``doc_id, kind, num, ord, page``: captions of floats and numbers of equations, the first of each."""
+    text = F.col("text")
+    kinds = F.create_map(*[F.lit(x) for kv in FLOAT_KINDS.items() for x in kv])
+    floats = lines.where(text.rlike(NUMBERED_CAPTION)).select("doc_id", "ord", "page", kinds[F.lower(F.regexp_extract(text, NUMBERED_CAPTION, 1))].alias("kind"), F.regexp_extract(text, NUMBERED_CAPTION, 2).alias("num"))
+    equations = lines.where(text.rlike(EQUATION_NUMBER)).select("doc_id", "ord", "page", F.lit("equation").alias("kind"), F.regexp_extract(text, EQUATION_NUMBER, 1).alias("num"))
+    return relations.first_of(floats.unionByName(equations), ["doc_id", "kind", "num"], [F.col("ord")])
+
+
+def number_mentions(lines: DataFrame, bare: bool = True) -> DataFrame:
+    """``doc_id, ord, page, kind, num``: floats and equations that a line names, by word or, if ``bare``, by a number in brackets.
 
     A line is also read together with the end of the line before it on its page, so that a caption below another
     line counts as mentioned.
     """
     text = F.col("text")
-    kept = lines.where(~is_toc_line(text, r"(?:\.\s){4,}|\.{4,}"))
-    head = rf"^\s*(Figure|Fig\.|Table|Algorithm|Listing)\s+({NUM})\s*(?::|\.(?=\s|$))"
     kinds = F.create_map(*[F.lit(x) for kv in FLOAT_KINDS.items() for x in kv])
-    defs = kept.where(text.rlike(head)).select("doc_id", "ord", kinds[F.lower(F.regexp_extract(text, head, 1))].alias("kind"), F.regexp_extract(text, head, 2).alias("num"))
-    defs = relations.first_of(defs, ["doc_id", "kind", "num"], [F.col("ord")])
-    word, rest = r"\b(Figures?|Figs?\.|Tables?|Algorithms?|Listings?)\s+", rf"{NUM}(?:\s*(?:,|and|&|/|to|--?|–|—)\s*{NUM})*"
     following = F.lead(F.ltrim("text"), 1, "").over(Window.partitionBy("doc_id", "page").orderBy("ord"))
     cur = F.rtrim(text)
     seam = F.when(cur.endswith("-"), F.concat(F.regexp_extract(cur, r"(\S*)-$", 1), "next")).otherwise(F.concat_ws(" ", F.regexp_extract(cur, r"(\S*)$", 1), "next"))
-    body = F.regexp_replace(text, head, " ")
-    sources = kept.withColumn("next", following).select("doc_id", F.explode(F.array(body, seam)).alias("t"))
-    pairs = F.arrays_zip(F.regexp_extract_all("t", F.lit(word + "(?:" + rest + ")"), 1).alias("word"), F.regexp_extract_all("t", F.lit(word.replace("(Fig", "(?:Fig") + "(" + rest + ")"), 1).alias("nums"))
-    named = sources.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", kinds[F.lower("p.word")].alias("kind"), F.explode(number_list(F.col("p.nums"))).alias("num")).distinct()
-    return finding(relations.unreferenced(defs, named, ["doc_id", "kind", "num"]), "UNREFERENCED", "WARN", F.concat_ws(" ", "kind", "num"))
-
-
-def bibliography(bib: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``id, code, severity``: how entries compare with the most similar of their candidates."""
-    from marginalia.functions.text import last_names
-
-    best = relations.best_candidates(candidates).select(F.col("bib_id").alias("id"), F.col("authors").alias("found"), F.col("venue").alias("found_venue"), F.col("year").alias("found_year"), "sim")
-    web = (F.col("url") != "") & (F.col("venue") == "") & (F.size("authors") == 0)
-    rows = bib.join(best, "id", "left").withColumn("web", web).withColumn("own", last_names(F.col("authors"))).withColumn("theirs", last_names(F.col("found")))
-    matched = F.col("sim") >= 0.55
-    overlap = F.size(F.filter("own", lambda a: F.exists("theirs", lambda f: (a == f) | F.contains(a, f) | F.contains(f, a))))
-    first = F.exists("theirs", lambda f: (F.col("own")[0] == f) | F.contains(F.col("own")[0], f) | F.contains(f, F.col("own")[0]))
-    tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) > 3)
+    sources = lines.withColumn("next", following).select("doc_id", "ord", "page", F.explode(F.array(F.regexp_replace(text, NUMBERED_CAPTION, " "), seam)).alias("t"))
+    pairs = F.arrays_zip(F.regexp_extract_all("t", F.lit(FLOAT_WORD + "(?:" + FLOAT_NUMBERS + ")"), 1).alias("word"), F.regexp_extract_all("t", F.lit(FLOAT_WORD.replace("(Fig", "(?:Fig") + "(" + FLOAT_NUMBERS + ")"), 1).alias("nums"))
+    floats = sources.select("doc_id", "ord", "page", F.explode(pairs).alias("p")).select("doc_id", "ord", "page", kinds[F.lower("p.word")].alias("kind"), F.explode(number_list(F.col("p.nums"))).alias("num"))
+    equations = sources.select("doc_id", "ord", "page", F.lit("equation").alias("kind"), F.explode(F.regexp_extract_all("t", F.lit(EQUATION_MENTION), 1)).alias("nums")).withColumn("num", F.explode(number_list(F.col("nums")))).drop("nums")
+    out = floats.unionByName(equations)
+    if bare:  # the number of an equation doesn't mention itself
+        alone = lines.select("doc_id", "ord", "page", F.lit("equation").alias("kind"), F.explode(F.regexp_extract_all(F.regexp_replace(text, EQUATION_NUMBER, " "), F.lit(r"\(([0-9]{1,3})\)"), 1)).alias("num"))
+        out = out.unionByName(alone)
+    return out.distinct()
+
+
+def unreferenced_numbers(lines: DataFrame, bare: bool = True) -> DataFrame:
+    """Captioned floats and numbered equations whose number no line mentions; see ``number_mentions``."""
+    kept = lines.where(~is_toc_line(F.col("text"), r"(?:\.\s){4,}|\.{4,}"))
+    named = number_mentions(kept, bare).select("doc_id", "kind", "num").distinct()
+    return finding(relations.unreferenced(number_definitions(kept), named, ["doc_id", "kind", "num"]), "UNREFERENCED", "WARN", F.concat_ws(" ", "kind", "num"))
+
+
+def forward_floats(lines: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """Mentions of floats that stand more than ``threshold`` pages before the float; a line's place is its number on the page.
+
+    The height of a page is the median of the pages' line counts.
+    """
+    kept = lines.where(~is_toc_line(F.col("text"), r"(?:\.\s){4,}|\.{4,}"))
+    placed = kept.withColumn("y", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")).cast("double"))
+    high = placed.groupBy("doc_id", "page").agg(F.max("y").alias("n")).groupBy("doc_id").agg(F.greatest(F.lit(1.0), F.median("n")).alias("height"))
+    placed = placed.join(high, "doc_id").withColumn("y", F.col("y") / F.col("height"))
+    at = placed.select("doc_id", "ord", "y")
+    defs = number_definitions(kept).where("kind <> 'equation'").join(at, ["doc_id", "ord"]).drop("ord")
+    text = kept.where(~F.col("text").rlike(NUMBERED_CAPTION))
+    refs = number_mentions(text, bare=False).where("kind <> 'equation'").join(at, ["doc_id", "ord"])
+    found = relations.forward_references(defs, refs, 1.0, threshold)
+    return finding(found, "FORWARD-FLOAT", "WARN", F.concat_ws(" ", "kind", "num"))
+
+
+def forward_concepts(lines: DataFrame) -> DataFrame:
+    """Concepts that a paragraph uses before the one that introduces them by a cue of definition."""
+    paras = paragraphs(body_lines(lines))
+    rows = paras.select("doc_id", F.col("first_ord").alias("ix"), "text", F.trim("text").rlike(CAPTION).alias("is_caption"), introduced_terms(F.col("text")).alias("introduced"))
+    return finding(relations.concept_uses(rows).withColumnRenamed("ix", "ord"), "FORWARD-CONCEPT", "WARN", F.col("term"))
+
+
+# Hosts of web sources, signs of preprints, kinds of records that aren't published, and words of venues that tell nothing.
+WEB_HOST = r"(?i)kaggle|roboflow|zenodo|hugging\s*face|huggingface|github|gitlab|medium\.com|towardsdatascience|wikipedia|blog|\bdataset\b"
+PREPRINT = r"(?i)arxiv|preprint|corr\b|ssrn|techrxiv|biorxiv"
+UNPUBLISHED = ("preprint", "posted-content", "Informal and Other Publications")
+VENUE_STOPWORDS = ("proceedings", "of", "the", "on", "in", "conference", "international")
+
+
+def bibliography(bib: DataFrame, candidates: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
+    """``id, code, severity``: how entries compare with records found for them.
+
+    ``bib``: id, title, authors, venue, year, arxiv, url. ``candidates``: bib_id, ord, source, title, authors, venue, year, type; a record of an
+    entry's own arXiv number overrides the most similar title. ``lookups``: bib_id, source, failed; an entry without records is UNVERIFIED if
+    a lookup failed, and a preprint without a published record is PREPRINT-UNCHECKED if that of source 's2' did. Similarities are ratios
+    of matching blocks; one row for each pair of an entry and a record, and of their authors.
+    """
+    from marginalia.functions.similarity import similarity
+    from marginalia.functions.text import plain_title, surnames
+
+    failed = bib.sparkSession.createDataFrame([], "bib_id string, source string, failed boolean") if lookups is None else lookups
+    failed = failed.where("failed").groupBy("bib_id").agg(F.max(F.col("source") != "s2").alias("some_failed"), F.max(F.col("source") == "s2").alias("s2_failed"))
+    c = candidates.select("bib_id", "ord", "source", plain_title(F.col("title")).alias("c_title"), F.transform("authors", plain_title).alias("theirs"), F.col("venue").alias("c_venue"), F.col("year").alias("c_year"), "type")
+    own = bib.select(F.col("id").alias("bib_id"), plain_title(F.col("title")).alias("b_title"), F.col("arxiv").alias("b_arxiv"))
+    c = c.join(own, "bib_id").withColumn("sim", similarity(F.col("b_title"), F.col("c_title")))
+    exact = (F.col("b_arxiv") != "") & (F.col("source") == "arxiv")
+    best = relations.first_of(c, ["bib_id"], [F.desc(exact), F.desc("sim"), F.col("ord")])
+    published = (F.col("c_venue") != "") & ~F.col("c_venue").rlike(PREPRINT) & ~F.coalesce("type", F.lit("")).isin(*UNPUBLISHED)
+    twins = c.where(published & ((F.col("sim") > 0.85) | (F.col("source") == "s2"))).select("bib_id").distinct().withColumn("twin", F.lit(True))
+    rows = bib.withColumnRenamed("id", "bib_id").join(best.drop("b_title", "b_arxiv", "ord"), "bib_id", "left").join(twins, "bib_id", "left").join(failed, "bib_id", "left")
+    rows = rows.withColumn("own", surnames(F.col("authors"))).withColumn("cited_preprint", F.col("venue").rlike(PREPRINT) | ((F.col("venue") == "") & (F.col("arxiv") != "")))
+    pairs = rows.select("bib_id", F.posexplode("own").alias("i", "a"), "theirs").select("bib_id", "i", "a", F.explode("theirs").alias("f"))
+    same = (F.col("a") == F.col("f")) | F.contains(F.col("f"), F.col("a")) | F.contains(F.col("a"), F.col("f")) | (similarity(F.col("a"), F.col("f")) > 0.85)
+    hits = pairs.withColumn("same", same).groupBy("bib_id", "i").agg(F.max("same").alias("same")).groupBy("bib_id").agg(F.count_if("same").alias("overlap"), F.max(F.col("same") & (F.col("i") == 0)).alias("lead"))
+    rows = rows.join(hits, "bib_id", "left")
+    venue, found_venue = plain_title(F.col("venue")), plain_title(F.coalesce("c_venue", F.lit("")))
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    short = F.array_join(F.transform(words(found_venue), lambda w: F.left(w, F.lit(1))), "")
+    run = F.replace(venue, F.lit(" "), F.lit(""))
+    other_venue = (similarity(venue, found_venue) < 0.5) & ~F.arrays_overlap(F.array_except(words(venue), F.array(*map(F.lit, VENUE_STOPWORDS))), words(found_venue)) & ~F.contains(short, run) & ~F.contains(run, short)
+    rows = rows.withColumn("other_venue", F.coalesce(other_venue, F.lit(False)))
+    untitled, none = F.col("title") == "", F.col("sim").isNull()
+    web = ~untitled & (F.col("venue").rlike(WEB_HOST) | ((F.col("venue") == "") & (F.col("url") != "") & (F.col("arxiv") == "")))
+    checked = ~untitled & ~web
+    some_failed, twin, s2_failed = (F.coalesce(x, F.lit(False)) for x in ("some_failed", "twin", "s2_failed"))
+    matched, preprint = checked & (F.col("sim") >= 0.55), F.col("cited_preprint")
     checks = [
-        ("WEB-SOURCE", "INFO", F.col("web")),
-        ("NOT-FOUND", "WARN", ~F.col("web") & (F.col("sim").isNull() | (F.col("sim") < 0.55))),
+        ("WEB-SOURCE", "INFO", web | (untitled & (F.col("url") != ""))),
+        ("INCOMPLETE", "INFO", untitled & (F.col("url") == "")),
+        ("UNVERIFIED", "INFO", checked & none & some_failed),
+        ("NOT-FOUND", "WARN", checked & ((none & ~some_failed) | (F.col("sim") < 0.55))),
         ("TITLE-DRIFT", "WARN", matched & (F.col("sim") < 0.85)),
-        ("AUTHOR-MISMATCH", "ERROR", matched & (F.size("own") > 0) & (F.size("theirs") > 0) & ((overlap < F.greatest(F.lit(1), F.floor(F.size("own") / 2))) | ~first)),
-        ("YEAR-MISMATCH", "WARN", matched & (F.abs(F.col("year").try_cast("int") - F.col("found_year").try_cast("int")) > 1)),
-        ("INCOMPLETE", "WARN", ~F.col("web") & (F.col("venue") == "") & (F.col("arxiv") == "") & (F.col("url") == "")),
-        ("PREPRINT", "WARN", matched & (F.col("arxiv") != "") & (F.col("found_venue") != "") & ~F.lower("found_venue").contains("arxiv")),
-        ("VENUE-MISMATCH", "WARN", matched & (F.col("arxiv") == "") & (F.col("venue") != "") & (F.col("found_venue") != "") & ~F.arrays_overlap(tokens(F.col("venue")), tokens(F.col("found_venue")))),
+        ("AUTHOR-MISMATCH", "ERROR", matched & (F.size("own") > 0) & (F.size("theirs") > 0) & ((F.col("overlap") < F.greatest(F.lit(1), F.floor(F.size("own") / 2))) | ~F.col("lead"))),
+        ("YEAR-MISMATCH", "WARN", matched & (F.abs(F.col("year").try_cast("int") - F.col("c_year").try_cast("int")) > 1)),
+        ("INCOMPLETE", "WARN", matched & (F.col("venue") == "") & (F.col("arxiv") == "") & (F.col("url") == "")),
+        ("PREPRINT-UNCHECKED", "INFO", matched & preprint & (F.col("arxiv") != "") & ~twin & s2_failed),
+        ("PREPRINT", "WARN", matched & preprint & twin),
+        ("VENUE-MISMATCH", "WARN", matched & ~(preprint & twin) & (F.col("venue") != "") & ~preprint & (F.col("c_venue") != "") & F.col("other_venue")),
     ]
     codes_ = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"))) for n, s, c in checks]), lambda x: x.isNotNull())
     listed = F.when(F.size(codes_) == 0, F.array(F.struct(F.lit("OK").alias("code"), F.lit("INFO").alias("severity")))).otherwise(codes_)
-    return rows.select("id", F.explode(listed).alias("c")).select("id", "c.code", "c.severity")
+    return rows.select(F.col("bib_id").alias("id"), F.explode(listed).alias("c")).select("id", "c.code", "c.severity")
 
 
 # Headings of AI statements, of methods and of any section, tools, versions and mentions.
@@ -281,21 +394,37 @@ AI_SENTENCE = r"(?i)\b(AI|artificial intelligence|language model)s?\b.{0,80}\b(u
 NO_AI = r"(?i)\bno\b.{0,40}\bAI\b|\bwithout\b.{0,30}\bAI\b"
 
 
-def ai_disclosure(lines: DataFrame, body: int = 60) -> DataFrame:
-    """Whether a document has a statement on the use of AI, which names tool and version, outside of its methods."""
+AI_MENTION = r"\b(AI\s+tools?|artificial\s+intelligence|generative\s+AI|large\s+language\s+models?|LLMs?)\b"
+SECTIONING = r"\\(?:chapter|section|subsection)\*?\{([^}]*)\}"
+
+
+def ai_disclosure(lines: DataFrame, body: int = 60, mode: str = "pdf") -> DataFrame:
+    """Whether a document has a statement on the use of AI, which names tool and version, outside of its methods.
+
+    In TeX mode the title of a chapter or section is a line of its own before the line that has it, and it ends what came before.
+    """
+    rows = lines.where(~is_toc_line(F.col("text"))).withColumn("macro", F.lit(False)).withColumn("part", F.lit(1))
+    if mode == "tex":
+        titles = rows.where(F.col("text").rlike(SECTIONING)).withColumn("text", F.regexp_extract("text", SECTIONING, 1)).withColumn("part", F.lit(0))
+        rows = rows.withColumn("macro", F.trim("text").rlike("^" + SECTIONING)).unionByName(titles)
     text = F.trim("text")
-    state = F.when(text.rlike(METHODS_HEADING), True).when(text.rlike(ANY_HEADING), False)
-    rows = lines.withColumn("methods", F.coalesce(last_state(state), F.lit(False)) & ~text.rlike(METHODS_HEADING)).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
-    starts = rows.groupBy("doc_id").agg(F.min(F.when(text.rlike(AI_HEADING), F.col("place"))).alias("head"), F.min(F.when(F.col("text").rlike(AI_SENTENCE), F.col("place"))).alias("loose"))
+    title = F.trim(F.regexp_extract(text, SECTIONING, 1))
+    state = F.when(F.col("macro"), title.rlike(METHODS_HEADING)).when(text.rlike(METHODS_HEADING), True).when(text.rlike(ANY_HEADING), False)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "part"))).withColumn("state", state)
+    rows = rows.withColumn("methods", F.coalesce(last_state(F.col("state"), order="place"), F.lit(False)) & F.col("state").isNull())
+    starts = rows.groupBy("doc_id").agg(
+        F.min(F.when(text.rlike(AI_HEADING), F.col("place"))).alias("head"), F.min(F.when(F.col("text").rlike(AI_SENTENCE), F.col("place"))).alias("loose"),
+        F.max(F.col("methods") & (text.rlike(AI_MENTION) | text.rlike(AI_TOOL))).alias("named"),
+    )
     starts = starts.withColumn("at", F.coalesce("head", "loose"))
     own = rows.join(starts.where("at is not null"), "doc_id").where(F.col("place").between(F.col("at"), F.col("at") + body))
-    stop = F.coalesce(F.max((F.col("place") > F.col("at")) & text.rlike(ANY_HEADING)).over(so_far()), F.lit(False))
-    own = own.withColumn("stop", stop).where("not stop").groupBy("doc_id", "head").agg(F.min("ord").alias("ord"), F.min_by("methods", "ord").alias("methods"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("body"))
+    stop = F.coalesce(F.max((F.col("place") > F.col("at")) & text.rlike(ANY_HEADING)).over(so_far(order="place")), F.lit(False))
+    own = own.withColumn("stop", stop).where("not stop").groupBy("doc_id", "head", "named").agg(F.min("ord").alias("ord"), F.min_by("methods", "place").alias("methods"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("body"))
     tool, said = F.col("body").rlike(AI_TOOL), F.lit("-")
     return together(
         finding(starts.where("at is null").withColumn("ord", F.lit(0)), "NO-AI-STATEMENT", "WARN", said), finding(own, "STATEMENT-FOUND", "INFO", F.when(F.col("head").isNull(), "sentence").otherwise("heading")),
         finding(own.where(~tool & ~F.col("body").rlike(NO_AI)), "NO-TOOL-NAMED", "WARN", said), finding(own.where(tool & ~F.col("body").rlike(AI_VERSION)), "NO-VERSION", "WARN", said),
-        finding(own.where("head is null and methods"), "IN-METHODS", "WARN", said),
+        finding(own.where("head is null and methods and named"), "IN-METHODS", "WARN", said),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,40 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return read_catalog(spark, path, TOPICS)
 
 
-def read_tex(spark: SparkSession, path: str) -> DataFrame:
-    """``file, doc_id, ord, line_no, text`` of all .tex files below a folder, or of one; a file is a document."""
+def read_tex(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """``file, doc_id, ord, line_no, text`` of all .tex files below a folder, or of one.
+
+    A file is a document; if ``whole``, all of them are one document, in the order of their paths.
+    """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").text(path, wholetext=True)
     files = files.select(F.input_file_name().alias("file"), F.col("value"))
-    lines = files.select("file", F.xxhash64("file").alias("doc_id"), F.posexplode(F.split("value", "\r?\n")).alias("i", "text"))
-    return lines.select("file", "doc_id", (F.col("i") + 1).alias("ord"), (F.col("i") + 1).alias("line_no"), "text")
+    doc = F.xxhash64(F.lit(path)) if whole else F.xxhash64("file")
+    lines = files.select("file", doc.alias("doc_id"), F.posexplode(F.split("value", "\r?\n")).alias("i", "text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("file", "i"))
+    return lines.select("file", "doc_id", place.alias("ord"), (F.col("i") + 1).alias("line_no"), "text")
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, str]:
+    """(lines, mode): TeX files and folders as one document, or extracted texts with form feeds between pages, a document each.
+
+    ValueError for a mix of both, for none, and for inputs without any text.
+    """
+    tex = [p for p in paths if p.endswith(".tex") or not os.path.splitext(p.rstrip("/"))[1]]
+    if not paths or 0 < len(tex) < len(paths):
+        raise ValueError("inputs must be TeX files and folders, or extracted texts, and some")
+    if tex:
+        parts = [read_tex(spark, p, whole=True).withColumn("part", F.lit(i)) for i, p in enumerate(tex)]
+        lines = parts[0]
+        for p in parts[1:]:
+            lines = lines.unionByName(p)
+        lines = lines.withColumn("doc_id", F.xxhash64(F.lit("\n".join(tex))))
+        lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "ord"))).withColumn("page", F.lit(None).cast("int")).drop("part")
+    else:
+        texts = spark.read.text(paths, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
+        lines = page_lines(texts)
+    if lines.where(F.trim("text") != "").isEmpty():
+        raise ValueError("no text in the inputs")
+    return lines, "tex" if tex else "pdf"
 
 
 def page_lines(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,6 +87,17 @@ def read_answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def append_answers(rows: DataFrame, path: str) -> None:
+    """Adds answers to a folder of JSON lines; what is there stays, whatever becomes of the run."""
+    rows.write.mode("append").json(path)
+
+
+def rewrite_answers(rows: DataFrame, path: str, schema: str) -> DataFrame:
+    """Writes the final answers as a whole to a folder of their own, and gives what was written."""
+    rows.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.schema(schema).json(path)
+
+
 def transcript_sections(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, i, script, body``: the parts of a transcript after banners '>>> script.py'."""
     parts = F.filter(F.split(text, r"(?m)^>>> "), lambda p: p.rlike(r"^\S+\.py"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -20,9 +21,11 @@ def _scan(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     rows = pd.concat(list(frames)).sort_values("ix")
     out = []
     for r in rows.itertuples():
+        if int(r.ix) <= at:  # sent again, as after a restart of the source
+            continue
         out += [(key[0], int(r.ix), t) for t in r.used if normal(t) not in seen]
         seen.update(normal(t) for t in r.introduced)
-        at = max(at, int(r.ix))
+        at = int(r.ix)
     state.update((sorted(seen), at))
     yield pd.DataFrame(out, columns=["doc_id", "ix", "term"])
 
@@ -30,6 +33,15 @@ def _scan(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def forward_terms(paras: DataFrame) -> DataFrame:
     """``doc_id, ix, term`` of a stream (doc_id int, ix int, introduced, used) whose paragraphs arrive in order.
 
-    The state of a document is the set of terms introduced so far; batches may cut a document anywhere.
+    The state of a document is the set of terms introduced so far, and the last paragraph seen; batches may cut a document
+    anywhere, and a paragraph that comes again is passed over.
     """
     return paras.select("doc_id", "ix", "introduced", "used").groupBy("doc_id").applyInPandasWithState(_scan, "doc_id int, ix int, term string", "seen array<string>, at int", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_terms(paras: DataFrame) -> DataFrame:
+    """``doc_id, at, terms`` of a table (doc_id, ix, introduced): the state that the stream ends in, with sorted normal terms."""
+    from marginalia.functions.text import stem_plural
+
+    rows = paras.select("doc_id", "ix", F.explode_outer("introduced").alias("t")).withColumn("t", stem_plural(F.lower(F.trim("t"))))
+    return rows.groupBy("doc_id").agg(F.max("ix").alias("at"), F.array_sort(F.collect_set("t")).alias("terms"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from marginalia.plans.queries import ORACLES, QUERIES, flagship
+from marginalia.plans.all_queries import ORACLES, QUERIES, flagship
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

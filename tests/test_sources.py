@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import relations
 from marginalia.plans import judge
 from marginalia.plans.fixtures import frame
-from marginalia.plans.queries import QUERIES
+from marginalia.plans.all_queries import QUERIES
 from marginalia.sources import bibtex, files
 from marginalia.streaming.introduced import forward_terms
 
