@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from marginalia.llm import parity_join
 from marginalia.llm.components import connected_components, forest
 from marginalia.llm.parity_join import jaccard_groups, similar, sketch
 from marginalia.llm.shared import Scratch
@@ -75,6 +76,33 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted((str(a), b, c) for a, b, c in got) == brute(rows)
 
 
+def test_small_chunks_and_blocks_change_nothing(spark, monkeypatch):
+    """Sets of one cell in many chunks, copies of a text in several, and a last turn whose cells are met in blocks."""
+    monkeypatch.setattr(parity_join, "HELD_CELLS", 300)
+    monkeypatch.setattr(parity_join, "MEET", 3)
+    monkeypatch.setattr(parity_join, "FILTER_BITS", 64)  # full, so that it tells nothing
+    r = random.Random(9)
+    base = [f"t{r.randrange(500)}" for _ in range(60)]
+    texts = corpus(7, 120) + [" ".join(base + [f"end{i} x{i}"]) for i in range(40)] + [" ".join(base)] * 5
+    for _ in range(60):  # overlapping thirds, so that a common cell has sets of several groups
+        own = [f"p{r.randrange(6)}w{j}" for _ in range(2) for j in range(12)]
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(a), b, c) for a, b, c in got) == brute(rows)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")] == []
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 62, int(r.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 1 << 62, int(r.integers(0, 60))).astype(np.uint64)]))
+        apart = sum((x ^ y).bit_count() for x, y in zip(*(np.array(parity_join.parity_bits(s)).view(np.uint64).tolist() for s in (a, b)), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_nulls_empty_texts_repeated_rows_and_spellings(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one\ttwo"), (6, "two one"), (None, "one two"), (7, "a b c d e f g h"), (7, "a b c d e f g h"), (8, "x y z"), (9, "É b c d e"), (10, "é b c d e"), (8, "p q r"), (11, "P Q R")]
     rows += [(12, "long word " * 80_000), (13, "LONG word " * 80_001), (14, "z" * 300_000)]

@@ -65,3 +65,9 @@ def test_one_of_repeated_keys_stays(spark):
     got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(x.doc_id) for x in got) == ["1", "2", "4", "None", "None"]
     assert keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
