@@ -173,6 +173,17 @@ def forward_report(findings: DataFrame, defs: DataFrame, unresolved: DataFrame,
     return out.unionByName(left.where(F.col("i") <= most))
 
 
+def verdict_report(rows: DataFrame, markdown: bool = True) -> DataFrame:
+    """``doc_id, i, line``: a table row, or a line, for each item (doc_id, item, verdict, evidence, suggestion) in order of ``place``, and counts at the end."""
+    fix = F.when(F.col("suggestion") != "", F.concat(F.lit(" **Fix:** " if markdown else " fix: "), "suggestion")).otherwise("")
+    line = F.concat(F.lit("| "), "item", F.lit(" | "), "verdict", F.lit(" | "), "evidence", fix, F.lit(" |")) if markdown else F.concat(F.lit("["), "verdict", F.lit("] "), "item", F.lit(": "), "evidence", fix)
+    out = rows.select("doc_id", F.col("place").cast("long").alias("place"), line.alias("line"))
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    last = rows.groupBy("doc_id").agg(F.format_string("%d FAIL, %d UNCLEAR, %d PASS", count("FAIL"), F.count_if(~F.col("verdict").isin("FAIL", "PASS")), count("PASS")).alias("line"))
+    out = out.unionByName(last.select("doc_id", F.lit(10**9).cast("long").alias("place"), "line"))
+    return out.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")).alias("i"), "line")
+
+
 def dashboard(sections: DataFrame, groups: tuple[str, ...], title: str) -> DataFrame:
     """``html``: a page with tiles, a bar, and cards by group in the given order, the last for all others.
 

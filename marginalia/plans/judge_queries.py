@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import sequences
+from marginalia.operators import render, sequences
 from marginalia.plans import families, judge
 from marginalia.plans.fixtures import frame
 from marginalia.plans.registered import query, table, values
@@ -199,6 +199,16 @@ def x0_requests(spark, d):
     return judge.requests(table(spark, d, "conversations"), 15, "Judge:", "conv_id", "turn")
 
 
+@query(
+    values(
+        "doc_id, i, line", (1, 1, "| a | PASS | p. 3 |"), (1, 2, "| b | FAIL | none **Fix:** add |"), (1, 3, "| c | ODD | ? |"), (1, 4, "1 FAIL, 1 UNCLEAR, 1 PASS"),
+    )
+)
+def k13_verdict_report(spark, d):
+    rows = [(1, 2, "b", "FAIL", "none", "add"), (1, 1, "a", "PASS", "p. 3", ""), (1, 3, "c", "ODD", "?", "")]
+    return render.verdict_report(spark.createDataFrame(rows, "doc_id int, place int, item string, verdict string, evidence string, suggestion string"))
+
+
 @query(values("verdict, n", ("PASS", 2), ("UNCLEAR", 14)))
 def k13_tally(spark, d):
     answers = frame(spark, "answers_checklist")
