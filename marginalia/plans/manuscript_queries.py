@@ -72,20 +72,20 @@ def s4_s5_s7_tex_lines(spark, d):
     return lines.select(F.element_at(F.split("file", "/"), -1).alias("name"), "line_no", "text", tx.strip_tex_comment(F.col("text")).alias("clean"))
 
 
-@query(values("mode, n", ("tex", 3), ("pdf", 3), ("mixed", 0), ("empty", 0)))
+@query(values("mode, n", ("tex", 3), ("pdf", 2), ("mixed", 0), ("empty", 0)))
 def s6_modes_of_inputs(spark, d):
-    """A folder of TeX is read as TeX, extracted texts page by page; a mix of both and inputs without lines are refused."""
+    """A folder of TeX is read as TeX, extracted texts page by page, with so many lines that aren't blank; a mix of both and inputs without text are refused."""
     tex, pages = _tex_folder(spark), written(spark, "thesis.txt", "one\ftwo")
     out = []
     for paths in ([tex], [pages]):
         lines, mode = files.read_lines(spark, paths)
-        out.append((mode, lines.where("text <> '' or page is not null").where("text <> '' or line_no = 2").count() if mode == "pdf" else lines.where("text <> ''").count()))
+        out.append((mode, lines.where(F.trim("text") != "").count()))
     for name, paths in (("mixed", [tex, pages]), ("empty", [written(spark, "none.txt", "")])):
         try:
             files.read_lines(spark, paths)
         except ValueError:
             out.append((name, 0))
-    return spark.createDataFrame(out, "mode string, n int").withColumn("n", F.when(F.col("mode") == "pdf", 3).otherwise(F.col("n")))
+    return spark.createDataFrame(out, "mode string, n int")
 
 
 _BIBTEX = '@comment{x}\n@article{a1, author = {Birch, Ada and Cole, Ben}, title = {Deep {Nets} of\n Things}, journal = {J. Nets}, year = 2020}\n@misc{b2, title = "Waves", note = {arXiv:1801.00001}, howpublished = "Web", url = {https://x.org}}\n@string{y = 1}'
