@@ -277,13 +277,13 @@ def _buckets(spark: SparkSession, volume: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
 
 
-_FINE = "cell long, sid long, n int, place int, rank int, least int, bits array<long>"
+_FINE = "cell long, sid long, n int, place int, rank int"
 
 
-def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``cell, sid, n, place, rank, bits, head``: the cells of the finest resolution in which similar sets must meet.
+def _finest(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``cell, sid, n, place, rank, head``: the cells of the finest resolution in which similar sets must meet; and ``sid, bits``, their sketches.
 
-    ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set. ``bits``: its sketch.
+    ``place``: cells of the set that stand before this one. ``rank``: the smaller, the more central is the set.
     ``head``: the cell's most central set. Blocks of sets ask how many sets have each of their cells, once for a block; a cell's sets
     are only ever pre-aggregated, or joined to one row.
     """
@@ -320,7 +320,6 @@ def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
         found, place = np.unique(hashes, return_inverse=True)
         sets = np.concatenate([_from_planes(x) for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("sets").to_pylist(), strict=True))])[place].astype(np.int64)
         out: list[tuple[np.ndarray, ...]] = []
-        bits = []
         for sid, a, b in zip(sids.tolist(), (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
             n, least = b - a, -(-LEAST * (b - a) // 100)
             several = np.flatnonzero(sets[a:b] > 1)
@@ -330,21 +329,28 @@ def _finest(texts: DataFrame, scratch: Scratch) -> DataFrame:
             before = np.arange(n - len(several), n - len(several) + len(own))
             own, before = (x[(100 + LEAST) * (n - before) // LEAST - n >= least] for x in (own, before))
             rank = -int(sets[a:b][several].sum()) // n
-            out.append((hashes[own].view(np.int64), *(np.full(len(own), v) for v in (sid, n)), before, np.full(len(own), rank), np.full(len(own), least)))
-            bits += [parity_bits(hashes[a:b])] * len(own)
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+            out.append((hashes[own].view(np.int64), *(np.full(len(own), v) for v in (sid, n)), before, np.full(len(own), rank)))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         trim()
-        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)] + [pa.array(bits, pa.list_(pa.int64()))], names=[c.split()[0] for c in _FINE.split(", ")])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 3, strict=True)], names=[c.split()[0] for c in _FINE.split(", ")])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                hashes, ends = np.frombuffer(r["cells"], np.uint64), np.cumsum(np.frombuffer(r["sizes"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["sids"], np.int64)), pa.array([parity_bits(x) for x in np.split(hashes, ends[:-1])], pa.list_(pa.int64()))], ["sid", "bits"])
 
     cells = blocks.select("block", "cells", "sids", "sizes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(first_cells, _FINE)
     # what stands before a cell bounds the size of a similar set that has it, too; keep a set where such sizes occur
     kind = lambda c: f"cast(floor(ln({c}) / ln({CLASS})) as int)"
-    cells = scratch.save(cells.withColumn("most", F.expr(f"({100 + LEAST} * (n - place)) div {LEAST} - n")), "cells")
+    least, most = f"(({LEAST} * n + 99) div 100)", f"(({100 + LEAST} * (n - place)) div {LEAST} - n)"
+    cells = scratch.save(cells, "cells")
     rows = cells.count()
-    together = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.collect_set(F.expr(kind("n"))).alias("sizes"), F.min(F.struct("rank", "sid", "n", "place", "bits")).alias("head"))
+    together = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.collect_set(F.expr(kind("n"))).alias("sizes"), F.min(F.struct("rank", "sid", "n", "place")).alias("head"))
     together = scratch.save(together.where("sets > 1").drop("sets"), "together", rows)  # by itself, so that a cell of many sets can be split where it is joined
-    cells = cells.join(together, "cell").where(F.expr(f"exists(sizes, k -> k between {kind('least')} - 1 and {kind('most')} + 1)"))
-    return scratch.save(cells.select("cell", "sid", "n", "place", "rank", "bits", "head"), "kept", rows)
+    cells = cells.join(together, "cell").where(F.expr(f"exists(sizes, k -> k between {kind(least)} - 1 and {kind(most)} + 1)"))
+    kept = scratch.save(cells.select("cell", "sid", "n", "place", "rank", "head"), "kept", rows)
+    return kept, blocks.select("sids", "sizes", "cells").mapInArrow(sketches, "sid long, bits array<long>")
 
 
 def parity_bits(hashes: np.ndarray) -> list[int]:
@@ -425,17 +431,25 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= LEAST * (len(x) + len(y) - common)
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``sid, text`` for ``wanted`` (key, sid), without shuffling other texts.
+def _perhaps_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose value of ``column`` isn't in ``wanted`` (of the same column), without a shuffle of them.
+
+    A filter of FILTER_BITS bits, as a broadcast table of bounded size, says which values may be there. Where it is full, rows just stay.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = wanted.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    found = rows.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(words), "_word")
+    return found.where(F.expr("(shiftright(_bits, cast(_bit % 64 as int)) & 1) = 1")).select(*rows.columns)
+
 
-    A filter of FILTER_BITS bits, as a broadcast table of bounded size, drops most of the others first.
+def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, scratch: Scratch, buckets: int) -> DataFrame:
+    """``sid, text`` for ``wanted`` (key, sid), each set once, in buckets of their ids; other texts aren't shuffled.
+
+    A repeated key may have several texts, so that sets are told by their own ids.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = wanted.select(bit(key).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    found = docs.select(F.col(key), F.col(text).cast("string").alias("text")).withColumn("bit", bit(key))
-    found = found.withColumn("word", F.floor(F.col("bit") / 64)).join(F.broadcast(words), "word")
-    found = found.where(F.expr("(shiftright(bits, cast(bit % 64 as int)) & 1) = 1")).select(key, "text")
-    return found.join(wanted, key).select("sid", "text")
+    found = _perhaps_in(docs.select(F.col(key), F.col(text).cast("string").alias("text")), key, wanted.select(key))
+    own = found.select(F.lit(0).alias("none"), "text").mapInArrow(_with_own_id, "sid long, text string").repartition(buckets, "sid")
+    return scratch.save_by(own.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "texts", "sid", buckets, dealt=True)
 
 
 def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -457,16 +471,16 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     going_on = scratch.save(shared.repartition(buckets, "part").groupBy("part").applyInArrow(_going_on, "sid long"), "going-on", total)
     least = scratch.save(sets.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("sid").agg(F.min(key).alias("least")), "least", total)
     wanted = scratch.save(going_on.join(least, "sid").select(F.col("least").alias(key), "sid"), "wanted", total)
-    # a repeated key may have several texts: its sets are told apart again by their ids
-    texts = _texts_of(docs, wanted, key, text).mapInArrow(_with_own_id, "own long, sid long, text string").where("own = sid").select("sid", "text")
-    texts = scratch.save(texts.dropDuplicates(["sid"]), "texts", wanted.count(), TEXTS)
-    kept = _finest(texts, scratch)
-    links = _linked(kept, texts, scratch)
+    found = wanted.count()
+    texts = _texts_of(docs, wanted, key, text, scratch, max(files(found, TEXTS), min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    kept, sketches = _finest(texts, scratch)
+    links = _linked(kept, sketches, texts, scratch)
+    scratch.forget()
     links = links.unionByName(_same_key(sets, key))
     roots = connected_components(links, scratch, "components", total)
     by_set = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     by_set = scratch.save(by_set, "roots", total)
-    smallest = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = scratch.save(by_set.groupBy("root").agg(F.min("least").alias("component_id")), "smallest", total)  # by itself, so that a large group can be split where it is joined
     by_set = by_set.join(smallest, "root").select("sid", "component_id")
     out = sets.join(by_set, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key))
@@ -480,7 +494,8 @@ def _with_own_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(batch.num_rows, np.int64)
         for row, hashes in shingle_sets(raw, at):
             own[row] = set_id(hashes)
-        yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0), batch.column(1)], ["own", "sid", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(1)], ["sid", "text"])
+    trim()
 
 
 def _same_key(sets: DataFrame, key: str) -> DataFrame:
@@ -489,7 +504,7 @@ def _same_key(sets: DataFrame, key: str) -> DataFrame:
     return spans.select(F.col("sids")[0].alias("a"), F.explode("sids").alias("b")).where("a <> b")
 
 
-def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _linked(kept: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that join the same sets as all links between sets that share a kept cell do.
 
     A cell's first set is its most central one: that whose cells are shared by the most sets, on average. An original
@@ -497,10 +512,10 @@ def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     components meet in blocks of MEET sets of a cell, and a pair leaves its task only if sizes, places and sketches allow a link.
     """
     rows = kept.count()
-    own = F.struct("rank", "sid", "n", "place", "bits")
+    own = F.struct("rank", "sid", "n", "place")
     apart = " + ".join(f"bit_count({{0}}.bits[{i}] ^ {{1}}.bits[{i}])" for i in range(SKETCH // 64))
     possible = f"{LEAST} * greatest({{0}}.n, {{1}}.n) <= 100 * least({{0}}.n, {{1}}.n) and {100 + LEAST} * least({{0}}.n - {{0}}.place, {{1}}.n - {{1}}.place) >= {LEAST} * ({{0}}.n + {{1}}.n)"
-    possible += f" and {100 + LEAST} * ({apart}) <= {100 - LEAST} * ({{0}}.n + {{1}}.n)"
+    alike = possible + f" and {100 + LEAST} * ({apart}) <= {100 - LEAST} * ({{0}}.n + {{1}}.n)"
     stars = kept.withColumn("own", own).where("head.sid <> sid").where(possible.format("head", "own"))
     tried = stars.groupBy(F.col("sid").alias("b")).agg(F.min("head").alias("a")).select("a.sid", "b").toDF("a", "b")
     links = _verify(tried, texts, scratch, "first", rows)
@@ -509,16 +524,18 @@ def _linked(kept: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         roots = connected_components(links, scratch, f"{turn}-components", rows)
         open_ = kept.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_ = scratch.save(open_.drop("head"), f"{turn}-roots", rows)
-        heads = F.min(F.struct("rank", "sid", "n", "place", "bits", "root")).alias("a")
+        heads = F.min(F.struct("rank", "sid", "n", "place", "root")).alias("a")
         several = open_.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets"), heads).where("low <> high").drop("low", "high")
         several = scratch.save(several, f"{turn}-several", rows)
+        open_ = _perhaps_in(open_, "cell", several.select("cell"))
         if all_pairs:
             blocks = F.ceil(F.col("sets") / MEET).cast("int")
             meet = open_.join(several.select("cell", blocks.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
             meet = meet.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+            meet = meet.join(_perhaps_in(sketches, "sid", meet.select("sid").distinct()), "sid")
             meet = scratch.save(meet.select("cell", "i", "j", "block", "sid", "n", "place", "bits", "root"), "all-meet", rows)
             left, right = meet.where("block = i").alias("l"), meet.where("block = j").alias("r")
-            more = left.join(right, F.expr("l.cell = r.cell and l.i = r.i and l.j = r.j and (l.i < l.j or l.sid < r.sid) and l.root <> r.root and " + possible.format("l", "r")))
+            more = left.join(right, F.expr("l.cell = r.cell and l.i = r.i and l.j = r.j and (l.i < l.j or l.sid < r.sid) and l.root <> r.root and " + alike.format("l", "r")))
             more = more.select(F.least("l.sid", "r.sid").alias("a"), F.greatest("l.sid", "r.sid").alias("b")).distinct()
         else:
             more = open_.withColumn("own", own).join(several.select("cell", "a"), "cell").where("root <> a.root").where(possible.format("a", "own")).select(F.col("a.sid").alias("a"), F.col("sid").alias("b")).distinct()

@@ -96,15 +96,16 @@ class Scratch:
             frame.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
 
-    def save_by(self, frame: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    def save_by(self, frame: DataFrame, name: str, column: str, buckets: int, dealt: bool = False) -> DataFrame:
         """Writes a table in so many buckets of ``column``, by which it is grouped or joined later on without a shuffle.
 
-        The catalog of the session knows it until ``forget``; its files are in the shared folder like all others.
+        The catalog of the session knows it until ``forget``; its files are in the shared folder like all others. ``dealt``: whether the
+        frame's partitions are so many, by this column, already.
         """
         table = f"{name}_{uuid.uuid4().hex}"
         self.tables.append(table)
         with self._cleaned():
-            frame.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", f"{self.root}/{name}").saveAsTable(table)
+            (frame if dealt else frame.repartition(buckets, column)).write.format("parquet").bucketBy(buckets, column).option("path", f"{self.root}/{name}").saveAsTable(table)
         return self.spark.table(table)
 
     def forget(self) -> None:
