@@ -431,15 +431,20 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= LEAST * (len(x) + len(y) - common)
 
 
-def _perhaps_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose value of ``column`` isn't in ``wanted`` (of the same column), without a shuffle of them.
+def _filtered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Adds ``_perhaps``: whether the value of ``column`` may be in ``wanted`` (of the same column); false only if it isn't.
 
-    A filter of FILTER_BITS bits, as a broadcast table of bounded size, says which values may be there. Where it is full, rows just stay.
+    A filter of FILTER_BITS bits, as a broadcast table of bounded size, says so without a shuffle of ``rows``. Where it is full, all may be there.
     """
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     words = wanted.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
-    found = rows.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(words), "_word")
-    return found.where(F.expr("(shiftright(_bits, cast(_bit % 64 as int)) & 1) = 1")).select(*rows.columns)
+    found = rows.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(words), "_word", "left")
+    return found.withColumn("_perhaps", F.coalesce(F.expr("(shiftright(_bits, cast(_bit % 64 as int)) & 1) = 1"), F.lit(False))).select(*rows.columns, "_perhaps")
+
+
+def _perhaps_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose value of ``column`` isn't in ``wanted``."""
+    return _filtered(rows, column, wanted).where("_perhaps").drop("_perhaps")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, scratch: Scratch, buckets: int) -> DataFrame:
@@ -557,7 +562,8 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     groups = jaccard_groups(docs, key=key, text=text).where(F.col(key).isNotNull())
     groups = scratch.save(groups.select(key, (F.col(key) != F.col("component_id")).alias("other")), "groups")
     others = scratch.save(groups.where("other").select(key).distinct(), "others", groups.count())
-    out = docs.join(others, key, "left_anti").select(*docs.columns)
+    marked = _filtered(docs, key, others)  # only the texts of few other documents are shuffled
+    out = marked.where("not _perhaps").unionByName(marked.where("_perhaps").join(others, key, "left_anti")).select(*docs.columns)
     if groups.groupBy(key).count().where("count > 1").isEmpty():
         return out
     return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
