@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths, at most ``capacity`` numbers, goes to the driver. There, large lengths
 are split into groups of equal cardinality and rounded up to their group's largest; configurations of these
-few sizes are chosen; the actual lengths, which are no larger, take their slots; small lengths are then
+few sizes are optimised, by a linear programme with generated columns where they are few; the actual lengths, which are no larger, take their slots; small lengths are then
 best-fitted into what is left. The outcome is a bounded list of runs, which the executors look up by
 a piece's rank among those of its length.
 """
@@ -27,6 +27,8 @@ from marginalia.llm.shared import Scratch, trim
 #: Numbers of groups of equal cardinality, and shares of the capacity above which a length is large, to try; the plan
 #: with the fewest sequences is taken.
 GROUPS, SHARES = (4, 8, 16, 32, 64, 128), (2, 3, 4)
+#: Up to so many sizes configurations are optimised together; among more the fullest are taken one by one.
+FEW = 16
 
 
 @dataclass
@@ -123,6 +125,53 @@ def _configurations(sizes: list[int], counts: list[int], capacity: int) -> Itera
             yield list(chosen), times
 
 
+def _optimised(sizes: list[int], counts: list[int], capacity: int, most: int) -> Iterator[tuple[list[int], int]]:
+    """As ``_configurations``, but chosen together: the fewest sequences if a configuration may be used in part, by generated columns.
+
+    The simplex method starts from sequences of one size each. Prices of the sizes say which configuration of up to ``most`` pieces would
+    help most; it enters until none does. Whole numbers of the configurations are taken, and what is left goes to the fullest ones.
+    """
+    g = len(sizes)
+    basis = np.zeros((g, g))
+    np.fill_diagonal(basis, [min(most, capacity // x) for x in sizes])
+    wanted = np.array(counts, float)
+    for _ in range(20 * g):
+        inverse = np.linalg.inv(basis)
+        used, price = inverse @ wanted, inverse.T @ np.ones(g)
+        column = _best_column(sizes, price, capacity, most)
+        if price @ column <= 1 + 1e-9:
+            break
+        change = inverse @ column
+        can = change > 1e-12
+        leaves = int(np.argmin(np.where(can, used / np.where(can, change, 1), np.inf)))
+        basis[:, leaves] = column
+    left = list(counts)
+    for column, times in zip(basis.T.astype(int).tolist(), np.floor(np.linalg.solve(basis, wanted) + 1e-9).astype(int).tolist(), strict=True):
+        times = min([times, *(left[k] // n for k, n in enumerate(column) if n)])
+        if times > 0:
+            left = [a - times * n for a, n in zip(left, column, strict=True)]
+            yield [k for k, n in enumerate(column) for _ in range(n)], times
+    yield from _configurations(sizes, left, capacity)
+
+
+def _best_column(sizes: list[int], price: np.ndarray, capacity: int, most: int) -> np.ndarray:
+    """The configuration of at most ``most`` pieces with the highest price, as a number of each size; by one more piece at a time."""
+    room = np.arange(capacity + 1)
+    best, taken = np.zeros(capacity + 1), []
+    for _ in range(most):
+        more = np.stack([np.where(room >= x, p + best[np.maximum(room - x, 0)], -np.inf) for x, p in zip(sizes, price, strict=True)])
+        which = more.argmax(0)
+        better = more[which, room] > best + 1e-12
+        taken.append(np.where(better, which, -1))
+        best = np.where(better, more[which, room], best)
+    column, at = np.zeros(len(sizes)), capacity
+    for layer in reversed(taken):
+        if layer[at] >= 0:
+            column[layer[at]] += 1
+            at -= sizes[layer[at]]
+    return column
+
+
 def plan_packing(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS, shares: tuple[int, ...] = SHARES) -> Plan:
     """Where pieces go, by length and rank, in as few sequences as found; lengths are 1..capacity."""
     if any(not 1 <= x <= capacity for x in histogram):
@@ -149,7 +198,9 @@ def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, share_o
             members[-1].append([x, taken])
             n, room = n - taken, room - taken
     sizes = [m[0][0] for m in members]
-    for chosen, times in _configurations(sizes, [sum(n for _, n in m) for m in members], capacity):
+    numbers = [sum(n for _, n in m) for m in members]
+    chosen_ones = _optimised(sizes, numbers, capacity, share_of) if sizes and groups <= FEW else _configurations(sizes, numbers, capacity)
+    for chosen, times in chosen_ones:
         while times:  # substitute actual lengths, as long as none of the slots changes its length
             tops = [members[k][0] for k in chosen]
             n = min([times, *(members[k][0][1] // chosen.count(k) for k in chosen)])

@@ -43,6 +43,33 @@ def test_plans_are_gapless_and_near_the_bound(seed):
     assert plan.bins <= exact * 1.12 + 1
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_configurations_are_optimised(seed):
+    from marginalia.llm.packing import _configurations, _optimised
+
+    r = np.random.default_rng(seed)
+    sizes = sorted(r.choice(np.arange(26, 100), 6, replace=False).tolist(), reverse=True)
+    counts = r.integers(1, 400, 6).tolist()
+    for find in (_configurations, lambda *a: _optimised(*a, 3)):
+        left = list(counts)
+        for chosen, times in find(sizes, counts, 100):
+            assert times > 0 and sum(sizes[k] for k in chosen) <= 100
+            for k in chosen:
+                left[k] -= times
+        assert left == [0] * 6
+    fewest = sum(times for _, times in _optimised(sizes, counts, 100, 3))
+    assert fewest <= sum(times for _, times in _configurations(sizes, counts, 100)) + 6
+    assert fewest >= max(sum(c for x, c in zip(sizes, counts, strict=True) if x > 50), sum(x * c for x, c in zip(sizes, counts, strict=True)) / 100)
+
+
+def test_optimised_configurations_beat_the_fullest():
+    from marginalia.llm.packing import _configurations, _optimised
+
+    sizes, counts = [44, 24, 22], [100, 100, 300]  # taking 44 + 24 + 24 first leaves 22s for themselves
+    best = sum(t for _, t in _optimised(sizes, counts, 100, 4))
+    assert best <= sum(t for _, t in _configurations(sizes, counts, 100))
+
+
 def test_best_possible_plans():
     for histogram, best in (({1: 5}, 1), ({100: 3}, 3), ({51: 10, 49: 10}, 10), ({60: 4, 40: 4}, 4), ({34: 4, 33: 8}, 4)):
         assert plan_packing(histogram, 100).bins == best
