@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.components import connected_components, forest
-from marginalia.llm.shared import Scratch, trim
+from marginalia.llm.shared import Scratch, files, trim
 
 #: Pivots of a vector, of which candidates share so many.
 NEAREST, SHARED = 8, 4
 #: Vectors to a pivot, pivots at most, the sample they come from (vectors, and bytes of the whole), and how many angles of a link they keep apart.
 VECTORS_TO_A_PIVOT, PIVOTS, SAMPLE, SAMPLE_BYTES, APART = 16, 1024, 8192, 32 << 20, 2.2
-#: Rows of a list or of a block.
-BLOCK = 1024
+#: Rows of a list or of a block, and rows of short lists that are handled at once.
+BLOCK, LIST_ROWS = 1024, 20_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -89,11 +89,13 @@ def candidates(p: np.ndarray, q: np.ndarray, key: list[int], share: int) -> np.n
 
     They share at least ``share`` pivots, of which the first are those of the list; so each pair is compared in one list.
     """
-    columns = np.unique(np.concatenate([p.ravel(), q.ravel()]))
-    found = _one_hot(p, columns) @ _one_hot(q, columns).T >= share
-    earlier = columns[columns < key[-1]]
-    if len(earlier):
-        found &= _one_hot(p, earlier) @ _one_hot(q, earlier).T == len(key) - 1
+    columns = np.unique(p if q is p else np.concatenate([p.ravel(), q.ravel()]))
+    left = _one_hot(p, columns)
+    right = left if q is p else _one_hot(q, columns)
+    found = left @ right.T >= share
+    earlier = int(np.searchsorted(columns, key[-1]))
+    if earlier:
+        found &= left[:, :earlier] @ right[:, :earlier].T == len(key) - 1
     return found
 
 
@@ -138,7 +140,8 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", embedding: str = "e
         by_length.setdefault(len(r[0]), []).append(r[0])
     pivots = {k: choose_pivots(np.array(v), most, threshold) for k, v in by_length.items()}
     described = scratch.save(_described(copies, pivots), "described", n)
-    members = scratch.save(_members(_lists(described, scratch, n)), "members", (NEAREST - SHARED + 1) * n)
+    most_rows = (NEAREST - SHARED + 1) * n
+    members = scratch.save(_members(_lists(described, scratch, n), most_rows), "members", most_rows)
     lists = ["length", "label", "key"]
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meet = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -208,21 +211,42 @@ def _lists(described: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     return out
 
 
-def _members(lists: DataFrame) -> DataFrame:
-    """Those rows of ``lists`` whose vector has a candidate in the list; all of a list that has more than BLOCK vectors. Without ``nearest``."""
+def _members(lists: DataFrame, rows: int) -> DataFrame:
+    """Those rows of ``lists`` whose vector has a candidate in the list; all of a list that has more than BLOCK vectors. Without ``nearest``.
+
+    Many short lists are handled at once, as they come by a hash.
+    """
     schema = lists.select("length", "label", "key", "n", "rep").schema
 
     def run(table: pa.Table) -> pa.Table:
-        nearest = _matrix(table.column("nearest"), np.int32)
-        some = candidates(nearest, nearest, table.column("key")[0].as_py(), needed(nearest.shape[1]))
-        np.fill_diagonal(some, False)
+        table = table.take(pa.array(np.argsort(table.column("list").to_numpy(), kind="stable")))
+        names = table.column("list").to_numpy()
+        (flat, at), (keys, key_at) = (_flat(table.column(c)) for c in ("nearest", "key"))
+        kept = np.zeros(len(names), bool)
+        start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        for a, b in zip(start.tolist(), np.append(start[1:], len(names)).tolist(), strict=True):
+            own = {tuple(keys[key_at[i] : key_at[i + 1]]) for i in range(a, b)} if b - a > 1 else set()
+            for key in own:  # more than one only if their hashes are equal
+                rows = np.arange(a, b) if len(own) == 1 else np.array([i for i in range(a, b) if tuple(keys[key_at[i] : key_at[i + 1]]) == key])
+                nearest = np.stack([flat[at[i] : at[i + 1]] for i in rows]) if len(own) > 1 else flat[at[a] : at[b]].reshape(b - a, -1)
+                some = candidates(nearest, nearest, [int(x) for x in key], needed(nearest.shape[1]))
+                np.fill_diagonal(some, False)
+                kept[rows] = some.any(1)
         trim()
-        return table.select(schema.names).filter(pa.array(some.any(1)))
+        return table.select(schema.names).filter(pa.array(kept))
 
-    short = lists.where(F.col("n") <= BLOCK).groupBy("length", "label", "key").applyInArrow(run, schema)
+    short = lists.where(F.col("n") <= BLOCK).withColumn("list", F.xxhash64("length", "label", "key")).withColumn("bucket", F.pmod("list", F.lit(files(rows, LIST_ROWS))))
+    short = short.groupBy("bucket").applyInArrow(run, schema)
     return short.unionByName(lists.where(F.col("n") > BLOCK).select(*schema.names))
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists one after another, and where each list's begin (n + 1)."""
+    column = column.combine_chunks()
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), at - at[0]
+
+
 def _described(copies: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """``length, label, rep, copies, nearest``: the pivots of each vector, the rarest first."""
     schema = T.StructType([T.StructField("length", T.IntegerType()), copies.schema["label"], copies.schema["rep"], T.StructField("copies", T.LongType()), T.StructField("nearest", T.ArrayType(T.IntegerType()))])
