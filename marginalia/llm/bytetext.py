@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once; temporaries are about forty times as large.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Ranges of more bytes are hashed one by one.
 SHORT = 64
 _SEED = np.uint64(0x9E3779B97F4A7C15)

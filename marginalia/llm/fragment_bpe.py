@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.bytetext import PIECE, buffers, gather_ranges, range_hashes, same_ranges
+from marginalia.llm.bytetext import buffers, gather_ranges, range_hashes, same_ranges
 
 _OTHER, _LETTER, _NUMBER, _WHITE, _EDGE = range(5)
+#: Bytes of text encoded at once; a larger piece has fewer distinct fragments for its size.
+PIECE = 1 << 20
 #: Distinct fragments that a worker remembers before it starts anew, and their bytes; bounds its memory.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
 

@@ -121,7 +121,7 @@ def in_parts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]
     """(first row, statistics) of some texts at once, whatever the batch."""
     row, n = 0, len(at) - 1
     while row < n:
-        last = min(max(row + 1, int(np.searchsorted(at, at[row] + (1 << 21), "right")) - 1), n)
+        last = min(max(row + 1, int(np.searchsorted(at, at[row] + 2 * PIECE, "right")) - 1), n)
         yield row, text_statistics(raw[at[row] : at[last]], at[row : last + 1] - at[row])
         row = last
 

@@ -36,7 +36,7 @@ def trim() -> None:
 
 
 #: Bytes of an Arrow batch, where the session leaves Spark's own limit, which suits narrower rows than texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

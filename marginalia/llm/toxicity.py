@@ -91,7 +91,7 @@ def fold(texts: list[str]) -> list[str]:
     return [f" {x} " for x in out[out != 0].astype("<u4").tobytes().decode("utf-32-le").split("\n")]
 
 
-def folded_parts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def folded_parts(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """(first row, folded texts) of some rows at once, about ``size`` bytes; nulls are empty."""
     _, at = buffers(column)
     row, n = 0, len(column)
