@@ -54,14 +54,21 @@ def pseudo_counts(n: np.ndarray) -> np.ndarray:
 
 
 def shrink(values: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    raw = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(raw.tobytes(), "zstd", asbytes=True)
+    """Numbers as compressed byte planes, as few as they need; the first byte says how many."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    raw = values.astype(f"<i{width}")
+    if width > 1:
+        raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
 def grow(blob: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(blob, n * 8, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").ravel()
+    width = blob[0]
+    raw = np.frombuffer(pa.decompress(memoryview(blob)[1:], n * width, "zstd", asbytes=True), np.uint8)
+    if width > 1:
+        raw = np.ascontiguousarray(raw.reshape(width, n).T).ravel()
+    return raw.view(f"<i{width}").astype(np.int64)
 
 
 def shrink_sorted(keys: np.ndarray) -> bytes:
