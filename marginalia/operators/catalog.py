@@ -36,25 +36,23 @@ def groups_in_order(rows: DataFrame, key: Column, order: str, name: str = "key")
     return found.withColumn("place", F.row_number().over(Window.orderBy("first_ord")))  # one row per group
 
 
-#: Ranges of first rows in which equally common keys are ranked.
-RANGES = 64
+#: Numbers of first rows in a range within which equally common keys are ranked.
+RANGE = 1 << 20
 
 
 def most_common(rows: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
     """``key, n, place``: the commonest first, of equals the one seen first.
 
-    Without a limit, keys are ranked within their count and a range of first rows; a small table of such groups says how many
-    stand before, so that no task has all keys.
+    Without a limit, keys are ranked within their count and a range of first rows (``order`` is a number); a small table of such
+    groups says how many stand before, so that no task has all keys.
     """
     found = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("first_ord"))
     if limit:
         found = found.orderBy(F.desc("n"), "first_ord").limit(limit)
         return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_ord"))).drop("first_ord")
-    low, high = rows.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    width = max(((high or 0) - (low or 0) + 1) / RANGES, 1e-9)
-    found = found.withColumn("range", F.floor((F.col("first_ord").cast("double") - (low or 0)) / width))
+    found = found.withColumn("range", F.floor(F.col("first_ord") / RANGE))
     before = Window.orderBy(F.desc("n"), "range").rowsBetween(Window.unboundedPreceding, -1)
-    groups = found.groupBy("n", "range").agg(F.count("*").alias("keys")).withColumn("base", F.coalesce(F.sum("keys").over(before), F.lit(0))).drop("keys")  # RANGES rows for each count
+    groups = found.groupBy("n", "range").agg(F.count("*").alias("keys")).withColumn("base", F.coalesce(F.sum("keys").over(before), F.lit(0))).drop("keys")  # a row for each count and range
     own = F.row_number().over(Window.partitionBy("n", "range").orderBy("first_ord"))
     return found.withColumn("own", own).join(groups, ["n", "range"]).select(key, "n", (F.col("base") + F.col("own")).alias("place"))
 
